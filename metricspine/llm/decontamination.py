@@ -135,7 +135,7 @@ class ItemIndex:
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """text without the words of the spans and what stands between them."""
-    ends = [m.span() for m in _WORD.finditer(text)]
+    ends = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
     kept, at = [], 0
     for first, after in spans:
         kept.append(text[at : ends[first][0]])
