@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_documents
+from . import queries_documents, queries_similarity
 
-QUERIES = {**queries_documents.QUERIES}
-ORACLES = {**queries_documents.ORACLES}
+QUERIES = {**queries_documents.QUERIES, **queries_similarity.QUERIES}
+ORACLES = {**queries_documents.ORACLES, **queries_similarity.ORACLES}
