@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_documents, queries_similarity
+from . import queries_documents, queries_quality, queries_similarity
 
-QUERIES = {**queries_documents.QUERIES, **queries_similarity.QUERIES}
-ORACLES = {**queries_documents.ORACLES, **queries_similarity.ORACLES}
+_MODULES = (queries_documents, queries_quality, queries_similarity)
+
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
