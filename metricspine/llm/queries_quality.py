@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .quality_classifier import score_quality
 from .quality_rules import MIN_WORDS, PRIOR, PSEUDO, ROUNDS, RULES, START, judge_quality
 from .queries_documents import _FOLD, table
 from .text_stats import FUNCTION_WORDS
@@ -14,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _vote_sql(rule) -> str:
     part, whole = (rule.part, "1") if rule.whole is None else (f"1000 * {rule.part}", rule.whole)
     tests = [f"WHEN {whole} > 0 AND {part} {t[0]} {t[1]} * {whole} THEN {v}" for v, t in ((1, rule.good), (-1, rule.bad)) if t]
@@ -65,5 +70,5 @@ def _rules_sql() -> str:
 
 OP1_SQL = _rules_sql()
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_quality_classifier)}
 ORACLES = {"op1_quality_rules": OP1_SQL}
