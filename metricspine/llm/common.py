@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -48,6 +49,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of data frames that nothing refers to any more.
+
+    Spark does so when its driver's garbage is collected, which may be long
+    after a large intermediate table was written.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scale_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
