@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .decontamination import decontaminate
 from .line_dedup import dedup_lines
+from .lm_scoring import score_texts
+from .packing import BUCKETS, MAX_LENGTH, PIECES, TOKEN_BUDGET, pack
 from .sharding import shard_documents
 from .url_filters import judge_urls
 
@@ -24,11 +26,19 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_items") >= 2).alias("contaminated"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
@@ -63,6 +73,30 @@ SELECT d.doc_id, CAST(coalesce(len(w.w), 0) AS BIGINT) AS n_words, CAST(coalesce
 FROM documents d JOIN words w ON w.kind = 'd' AND w.id = CAST(d.doc_id AS VARCHAR) LEFT JOIN hit h ON h.id = w.id LEFT JOIN items t ON t.id = w.id
 """
 
+
+def _packing_sql() -> str:
+    """The recurrence over bucket bounds, a bucket at a time, then ranks within buckets."""
+    steps = [
+        "sized AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) + 1 AS n FROM documents)",
+        f"chunks AS MATERIALIZED (SELECT doc_id, chunk, least({MAX_LENGTH}, n - chunk * {MAX_LENGTH}) AS n_tokens FROM (SELECT doc_id, n, unnest(range(0, (n + {MAX_LENGTH - 1}) // {MAX_LENGTH})) AS chunk FROM sized))",
+        "h AS MATERIALIZED (SELECT n_tokens AS len, row_number() OVER (ORDER BY n_tokens) AS j, sum(count(*)) OVER (ORDER BY n_tokens) AS c, sum(sum(n_tokens)) OVER (ORDER BY n_tokens) AS t FROM chunks GROUP BY n_tokens)",
+        "b1 AS MATERIALIZED (SELECT j, len * c - t AS best, [len] AS path FROM h)",
+    ]
+    for k in range(2, BUCKETS + 1):
+        steps.append(
+            f"m{k} AS MATERIALIZED (SELECT j, cost, path FROM (SELECT j.j, p.best + j.len * (j.c - i.c) - (j.t - i.t) AS cost, p.path, row_number() OVER (PARTITION BY j.j ORDER BY p.best + j.len * (j.c - i.c) - (j.t - i.t), i.j) AS nth "
+            f"FROM h j JOIN h i ON i.j < j.j JOIN b{k - 1} p ON p.j = i.j) WHERE nth = 1)"
+        )
+        steps.append(f"b{k} AS MATERIALIZED (SELECT b.j, CASE WHEN m.cost < b.best THEN m.cost ELSE b.best END AS best, CASE WHEN m.cost < b.best THEN list_append(m.path, h.len) ELSE b.path END AS path FROM b{k - 1} b JOIN h USING (j) LEFT JOIN m{k} m USING (j))")
+    steps.append(f"bounds AS (SELECT unnest(path) AS bucket FROM b{BUCKETS} WHERE j = (SELECT max(j) FROM h))")
+    steps.append("placed AS (SELECT doc_id, chunk, n_tokens, (SELECT min(bucket) FROM bounds WHERE bucket >= n_tokens) AS bucket FROM chunks)")
+    piece = f"(((doc_id % 2147483648) * 2654435761) >> 16) % {PIECES}"
+    steps.append(f"ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {piece}, doc_id, chunk, n_tokens) - 1 AS r, greatest(1, {TOKEN_BUDGET} // bucket) AS room FROM placed)")
+    return f"WITH {',\n'.join(steps)}\nSELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(bucket AS BIGINT) AS bucket, CAST(r // room AS BIGINT) AS batch, CAST(r % room AS BIGINT) AS place, CAST(bucket - n_tokens AS BIGINT) AS padding FROM ranked"
+
+
+OP3_SQL = _packing_sql()
+
 OP6_SQL = f"""
 WITH rules(rh, rp, v) AS (VALUES {', '.join(map(str, RULES))}),
 parts AS (
@@ -95,5 +129,5 @@ WITH RECURSIVE jump(n, doc_id, k, b, j) AS (
   FROM (SELECT n, doc_id, j, (k * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS nk FROM jump WHERE j < n)
 )"""
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op6_url_filters, op8_line_dedup, op9_sharding)}
-ORACLES = {"op2_decontamination": OP2_SQL, "op6_url_filters": OP6_SQL, "op8_line_dedup": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_packing, op6_url_filters, op7_lm_scoring, op8_line_dedup, op9_sharding)}
+ORACLES = {"op2_decontamination": OP2_SQL, "op3_packing": OP3_SQL, "op6_url_filters": OP6_SQL, "op8_line_dedup": OP8_SQL}
