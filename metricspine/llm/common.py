@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -68,6 +69,12 @@ def sources(docs: DataFrame, **wanted: Column) -> DataFrame:
     return docs.select(*[c.alias(k) for k, c in wanted.items()])
 
 
+def carried(docs: DataFrame, names: tuple[str, ...]) -> tuple[dict[str, Column], list[pa.Field]]:
+    """Columns that pass through Python unchanged: as inputs _c0, _c1, ... and as Arrow fields with their own names."""
+    types = [docs.select(F.col(f"`{n}`")).schema[0].dataType for n in names]
+    return {f"_c{k}": F.col(f"`{n}`") for k, n in enumerate(names)}, [pa.field(n, to_arrow_type(t)) for n, t in zip(names, types, strict=True)]
+
+
 def text_bytes(name: str = "text") -> Column:
     """UTF-8 bytes of a text column, null as null."""
     return F.col(name).cast("string").cast("binary")
@@ -101,8 +108,6 @@ def to_batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def spark_schema(schema: pa.Schema) -> T.StructType:
-    from pyspark.sql.pandas.types import from_arrow_schema
-
     return from_arrow_schema(schema)
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emitter, rows_of, sources, spark_schema, text_bytes, written
+from .common import carried, emitter, rows_of, sources, spark_schema, text_bytes, written
 
 WINDOW = 8
 #: Words of benchmark text in one automaton; more items make more automata, run one after another.
@@ -143,16 +143,14 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-_FOUND = pa.schema(
-    [
-        pa.field("doc_id", pa.int64()),
-        pa.field("_text", pa.binary()),
-        pa.field("spans", pa.list_(pa.list_(pa.int32()))),
-        pa.field("items", pa.list_(pa.string())),
-        pa.field("n_words", pa.int64()),
-        pa.field("longest", pa.int64()),
-    ]
-)
+_FOUND = [
+    pa.field("doc_id", pa.int64()),
+    pa.field("_text", pa.binary()),
+    pa.field("spans", pa.list_(pa.list_(pa.int32()))),
+    pa.field("items", pa.list_(pa.string())),
+    pa.field("n_words", pa.int64()),
+    pa.field("longest", pa.int64()),
+]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -165,13 +163,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """What of docs (doc_id, text) occurs in items (item_id, text), and the texts without it.
 
     Returns doc_id, n_words, n_hit, n_items, items (ids as sorted strings),
     spans (word ranges), longest (the longest matching length in words),
-    clean_text (the text without its spans; null where nothing was found) and
-    rejected (more than max_coverage of the words are hit).
+    clean_text (the text without its spans; null where nothing was found),
+    rejected (more than max_coverage of the words are hit) and the columns in
+    carry.
 
     Texts are lower-cased in A-Z and split into words of letters, digits and
     non-ASCII characters. A window is window consecutive item words, or a whole
@@ -190,13 +189,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     tests = items.select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("body")).where(F.col("body").isNotNull() & F.col("item_id").isNotNull())
     # a word takes two bytes at least, with its separator; so this bounds the words without counting them
     blocks = max(1, -(-int((tests.agg(F.sum(F.octet_length("body"))).first()[0] or 0)) // (2 * block_words)))
-    found = sources(docs, doc_id=F.col("doc_id").cast("long"), _text=text_bytes(), spans=F.expr("cast(array() as array<array<int>>)"), items=F.expr("cast(array() as array<string>)"), n_words=F.lit(0).cast("long"), longest=F.lit(0).cast("long"))
-    schema = pa.schema([pa.field(n, pa.int64()) for n in ("doc_id", "n_words", "n_hit", "n_items", "longest")] + [pa.field("items", pa.list_(pa.string())), pa.field("items_sha256", pa.string()), pa.field("spans", pa.list_(pa.list_(pa.int32()))), pa.field("clean_text", pa.string()), pa.field("rejected", pa.bool_())])
+    more, fields = carried(docs, carry)
+    between = pa.schema([*_FOUND, *(pa.field(k, f.type) for k, f in zip(more, fields, strict=True))])
+    found = sources(docs, doc_id=F.col("doc_id").cast("long"), _text=text_bytes(), spans=F.expr("cast(array() as array<array<int>>)"), items=F.expr("cast(array() as array<string>)"), n_words=F.lit(0).cast("long"), longest=F.lit(0).cast("long"), **more)
+    schema = pa.schema([pa.field(n, pa.int64()) for n in ("doc_id", "n_words", "n_hit", "n_items", "longest")] + [pa.field("items", pa.list_(pa.string())), pa.field("items_sha256", pa.string()), pa.field("spans", pa.list_(pa.list_(pa.int32()))), pa.field("clean_text", pa.string()), pa.field("rejected", pa.bool_())] + fields)
 
-    def finish(doc_id, text, spans, names, n_words, longest) -> tuple:
+    def finish(doc_id, text, spans, names, n_words, longest, *rest) -> tuple:
         hit = sum(b - a for a, b in spans)
         clean = cut(text, spans).decode("utf-8", "replace") if spans else None
-        return doc_id, n_words, hit, len(names), longest, names, hashlib.sha256(",".join(names).encode()).hexdigest(), spans, clean, hit > max_coverage * n_words
+        return doc_id, n_words, hit, len(names), longest, names, hashlib.sha256(",".join(names).encode()).hexdigest(), spans, clean, hit > max_coverage * n_words, *rest
 
     def text_of(row: tuple, last: bool) -> str | bytes:
         return (row[8] if last else row[1]) or ""
@@ -213,13 +214,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
             known = index.value
 
             def rows():
-                for doc_id, text, spans, names, _, longest in rows_of(batches, *_FOUND.names):
+                for doc_id, text, spans, names, _, longest, *rest in rows_of(batches, *between.names):
                     words = words_of(text)
                     more, which, length = known.scan(words)
-                    row = doc_id, text, _merged([*map(tuple, spans), *more]), sorted({*names, *which}), len(words), max(longest, length)
+                    row = doc_id, text, _merged([*map(tuple, spans), *more]), sorted({*names, *which}), len(words), max(longest, length), *rest
                     yield finish(*row) if last else row
 
-            yield from emitter(schema if last else _FOUND, rows(), weigh=lambda r: 200 + len(text_of(r, last)))
+            yield from emitter(schema if last else between, rows(), weigh=lambda r: 200 + len(text_of(r, last)))
 
-        found = found.mapInArrow(look, spark_schema(schema if last else _FOUND))
+        found = found.mapInArrow(look, spark_schema(schema if last else between))
     return found

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emitter, rows_of, scale_partitions, sources, spark_schema, text_bytes, written
+from .common import carried, emitter, rows_of, scale_partitions, sources, spark_schema, text_bytes, written
 
 #: Bits of a filter for each line of the corpus, and the most that a filter has. Beyond that the filters fill up, and more lines are confirmed by the shuffle; results stay the same.
 BITS_PER_LINE = 16
@@ -102,8 +102,8 @@ def _twice_seen(docs: DataFrame, m: int, min_chars: int) -> np.ndarray:
     return out
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text: str = "text", max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
-    """doc_id, n_lines, n_dropped and clean_text: texts without repeated lines.
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text: str = "text", max_filter_bits: int = MAX_FILTER_BITS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_dropped, clean_text, kept_sha256 and the columns in carry: texts without repeated lines.
 
     A line's key is the line stripped of ASCII white space at both ends and
     lower-cased in A-Z. A key of at least min_chars code points that occurs in
@@ -151,19 +151,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, text: s
     confirmed = found.groupBy("key").agg(F.max("doc_id").alias("_home"), F.count_distinct("doc_id").alias("_docs")).where(F.col("_docs") >= min_docs)
     confirmed = confirmed.select(F.col("key"), "_home")
     drops = found.join(confirmed, "key").where(F.col("doc_id") != F.col("_home")).groupBy("doc_id").agg(F.collect_set("digest").alias("_drops"))
-    return body.join(drops, "doc_id", "left").mapInArrow(_rewrite, spark_schema(_REWRITTEN))
-
-
-_REWRITTEN = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("clean_text", pa.string()), ("kept_sha256", pa.string())])
+    more, fields = carried(docs, carry)
+    extra = tuple(more)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("clean_text", pa.string()), ("kept_sha256", pa.string()), *fields])
 
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for doc_id, text, drops, *rest in rows_of(batches, "doc_id", "text", "_drops", *extra):
+                lines = (text or b"").split(b"\n")
+                gone = set(drops or ())
+                kept = [x for x in lines if hashlib.md5(x.strip().lower()).digest() not in gone] if gone else lines
+                out = b"\n".join(kept)
+                yield doc_id, len(lines), len(lines) - len(kept), None if text is None else out.decode("utf-8", "replace"), hashlib.sha256(out).hexdigest(), *rest
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
-        for doc_id, text, drops in rows_of(batches, "doc_id", "text", "_drops"):
-            lines = (text or b"").split(b"\n")
-            gone = set(drops or ())
-            kept = [x for x in lines if hashlib.md5(x.strip().lower()).digest() not in gone] if gone else lines
-            out = b"\n".join(kept)
-            yield doc_id, len(lines), len(lines) - len(kept), None if text is None else out.decode("utf-8", "replace"), hashlib.sha256(out).hexdigest()
+        yield from emitter(schema, rows(), weigh=lambda r: len(r[3] or ""))
 
-    yield from emitter(_REWRITTEN, rows(), weigh=lambda r: len(r[3] or ""))
+    whole = sources(docs, doc_id=F.col("doc_id").cast("long"), text=text_bytes(text), **more)
+    return whole.join(drops, "doc_id", "left").mapInArrow(rewrite, spark_schema(schema))
