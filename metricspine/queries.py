@@ -130,8 +130,8 @@ ask("dotted_filter_direct", {**_CUSTOMER_ORDERS, "filters": [{"property": "Custo
     f"SELECT c_mktsegment AS segment, {_money(f'sum({_ORDER})')} AS order_total, count(DISTINCT c_custkey) AS customer_count FROM {_CUSTOMERS} JOIN orders ON o_custkey = c_custkey WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE {_ORDER} > 400000) GROUP BY 1")
 ask("dotted_filter_through", {"object": "Supplier", "filters": [{"property": "Supplier_Parts.size", "op": "eq", "value": 50}, {"property": "Supplier_Parts.brand", "op": "like", "value": "%1%"}], "group_by": ["id", "nation"]},
     f"SELECT s_suppkey AS id, n_name AS nation FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey IN (SELECT suppkey FROM {_PAIRS} JOIN part ON p_partkey = partkey WHERE p_size = 50) AND s_suppkey IN (SELECT suppkey FROM {_PAIRS} JOIN part ON p_partkey = partkey WHERE p_brand LIKE '%1%')")
-ask("dotted_filter_spanned", {"object": "Order", "filters": [{"property": "Order_Customer.nation", "op": "in", "value": ["NATION_1", "FRANCE", "GERMANY"]}], "group_by": ["priority"], "metrics": ["order_count"]},
-    f"SELECT o_orderpriority AS priority, count(*) AS order_count FROM orders WHERE o_custkey IN (SELECT c_custkey FROM {_CUSTOMERS} WHERE n_name IN ('NATION_1', 'FRANCE', 'GERMANY')) GROUP BY 1")
+ask("dotted_filter_spanned", {"object": "Order", "filters": [{"property": "Order_Customer.nation", "op": "in", "value": ["NATION_1", "NATION_7", "NATION_12"]}], "group_by": ["priority"], "metrics": ["order_count"]},
+    f"SELECT o_orderpriority AS priority, count(*) AS order_count FROM orders WHERE o_custkey IN (SELECT c_custkey FROM {_CUSTOMERS} WHERE n_name IN ('NATION_1', 'NATION_7', 'NATION_12')) GROUP BY 1")
 ask("dotted_filter_selfref", {"object": "Supplier", "filters": [{"property": "Supplier_Compatriots.id", "op": "lte", "value": 5}], "group_by": ["id"]}, "SELECT s_suppkey AS id FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 5)")
 ask("dotted_filter_recursive_step", {"object": "Turn", "filters": [{"property": "Turn_Previous.number", "op": "eq", "value": 2}], "group_by": ["number"], "metrics": ["turn_count"]}, f"SELECT t.turn AS number, count(*) AS turn_count FROM {_TURNS} t JOIN {_TURNS} p ON p.id = t.previous WHERE p.turn = 2 GROUP BY 1")
 
