@@ -103,7 +103,7 @@ class ItemIndex:
                     self.items.setdefault((self.automaton.shortened(state, size), size), set()).add(item)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
-        """Maximal covered word ranges, items with occurring windows, and the longest match."""
+        """Covered word ranges, items with occurring windows, and the longest match (0 if shorter than any window)."""
         if not self.sizes:
             return [], set(), 0
         get = self.vocabulary.get
@@ -130,7 +130,7 @@ class ItemIndex:
                         while spans and spans[-1][1] >= start:
                             start = min(start, spans.pop()[0])
                         spans.append((start, at + 1))
-        return spans, items, longest
+        return spans, items, longest if longest >= self.sizes[0] else 0
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -167,7 +167,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     """What of docs (doc_id, text) occurs in items (item_id, text), and the texts without it.
 
     Returns doc_id, n_words, n_hit, n_items, items (ids as sorted strings),
-    spans (word ranges), longest (the longest matching length in words),
+    spans (word ranges), longest (the longest matching length in words, 0 if shorter than
+    any window),
     clean_text (the text without its spans; null where nothing was found),
     rejected (more than max_coverage of the words are hit) and the columns in
     carry.
