@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from ..errors import NOT_ON_PATH, FanOutRefused, GrainError, KeyBeyondGrain, NonAdditiveRefused, NoKeyForGrain, StockRefused
 from ..model import FANNING, REVERSE_FANNING, Metric, Ontology
 from ..sources.catalog import Catalog
-from .resolve import Resolved
+from .resolve import Edge, Resolved
 
 INLINE = "inline"
 PREAGGREGATE = "aggregate_then_join"
@@ -98,19 +98,28 @@ def _effective(rq: Resolved, link: str) -> str:
     return next((e.link.effective_cardinality for e in rq.path if e.link.name == link), "a spanned table")
 
 
-def _repeating(rq: Resolved, metric: Metric, at: int, pinned: set[int]) -> tuple[list[str], list[str]]:
+def _pairs_repeat(edge: Edge, catalog: Catalog) -> bool:
+    """Whether a junction may hold a pair of rows twice: no declared key of it lies within the link's columns."""
+    link = edge.link
+    if link.kind != "through":
+        return False
+    own = {ref.column.lower() for p in (*link.on_from, *link.on_to) for ref in (p.source, p.target) if ref.table == link.via}
+    return not any({c.lower() for c in key} <= own for key in catalog[link.via].keys)
+
+
+def _repeating(rq: Resolved, catalog: Catalog, metric: Metric, at: int, pinned: set[int]) -> tuple[list[str], list[str]]:
     """Links that may repeat the metric's rows within a group: before its position, and after it."""
     before = []
     for i, edge in enumerate(rq.path[:at]):
         through_junction = edge.link.via == metric.grain and i == at - 1 and metric.grain not in edge.target.tables
-        if edge.link.effective_cardinality in REVERSE_FANNING and not through_junction and i not in pinned:
+        if edge.link.effective_cardinality in REVERSE_FANNING and not through_junction and (i not in pinned or _pairs_repeat(edge, catalog)):
             before.append(edge.link.name)
     obj = rq.object_at(at)
     if metric.grain in obj.tables and metric.grain != obj.primary:
         join = next(j for j in obj.joins.values() if j.to == metric.grain)
         if join.cardinality in REVERSE_FANNING and at not in pinned:
             before.append(f"{obj.name}.{metric.grain}")
-    after = [e.link.name for j, e in enumerate(rq.path[at:], at + 1) if e.link.effective_cardinality in FANNING and j not in pinned]
+    after = [e.link.name for j, e in enumerate(rq.path[at:], at + 1) if e.link.effective_cardinality in FANNING and (j not in pinned or _pairs_repeat(e, catalog))]
     return before, after
 
 
@@ -118,7 +127,7 @@ def _metric_plan(rq: Resolved, o: Ontology, catalog: Catalog, m: Metric, pinned:
     at = grain_position(rq, m.grain)
     if at is None:
         raise FanOutRefused(m.name, m.grain, NOT_ON_PATH, _ways_to(o, rq, m.grain))
-    before, after = _repeating(rq, m, at, pinned)
+    before, after = _repeating(rq, catalog, m, at, pinned)
     stock = m.over_time is not None
     beyond = next((k for k in rq.keys if k.position > at and any(e.link.effective_cardinality in FANNING for e in rq.path[at : k.position])), None)
     if strict:
