@@ -147,8 +147,26 @@ _SIGNED = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("near", pa.bo
 _HELD = 3_000_000
 
 
+def _rooted(edges: np.ndarray) -> np.ndarray:
+    """Edges (root, node) that connect what edges connect, with the smallest node of each component as its root."""
+    nodes, at = np.unique(edges, return_inverse=True)
+    at = at.reshape(edges.shape)
+    root = np.arange(len(nodes))
+    while True:
+        least = root.copy()
+        low = np.minimum(root[at[:, 0]], root[at[:, 1]])
+        np.minimum.at(least, at[:, 0], low)
+        np.minimum.at(least, at[:, 1], low)
+        least = np.minimum(least, least[least])
+        if (least == root).all():
+            break
+        root = least
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[root[other]], nodes[other]], axis=1)
+
+
 def _reduce(sig: np.ndarray, doc: np.ndarray, near: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """What must stay of the signatures, and the distinct edges from each group's centre to its members.
+    """What must stay of the signatures, and edges that connect each group's members.
 
     A centre holds the signature in full. Neighbourhood signatures that no full
     one has met yet stay, for one may come.
@@ -162,7 +180,7 @@ def _reduce(sig: np.ndarray, doc: np.ndarray, near: np.ndarray) -> tuple[tuple[n
     centre = doc[first][group] if len(sig) else doc
     edge = has_full & (centre != doc)
     stay = new | ~has_full
-    edges = np.unique(np.stack([centre[edge], doc[edge]], axis=1), axis=0)
+    edges = _rooted(np.stack([centre[edge], doc[edge]], axis=1))
     return (sig[stay], doc[stay], near[stay]), edges
 
 
