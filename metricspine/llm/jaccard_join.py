@@ -82,21 +82,36 @@ def bands(largest: int, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def _spare(bound: int, deletion: int, size: int) -> int:
+    """How many exact segments of less than two elements a set of size elements may have, two deviations above the mean."""
+    spare = 0
+    for _ in range(50):
+        exact = bound + spare - 2 * deletion
+        unit = size / (bound + spare)
+        small = exact * np.exp(-unit) * (1 + unit)
+        need = int(np.ceil(small + 2 * np.sqrt(small))) if exact > 1 else 0
+        if need <= spare or spare > bound // 4:
+            break
+        spare += 1
+    return spare
+
+
 def allocate(low: int, high: int, number: int, percent: int, sets: int, shared: float = 0.3, partners: float = 1e-3) -> Scheme:
     """The cheapest split of the distance bound among segments, for sets up to high.
 
     Sets of similarity percent % differ in at most h elements. An exact segment
     takes one from the bound, a segment with its one-deletion neighbourhood
     takes two, so h + 1 + spare must be taken for some segment to match;
-    the spare pays for segments with few elements (see signatures). The cost is
-    a row for each signature, plus the sets that meet by chance: of sets sets,
-    the share partners has the share shared of its elements in common.
+    the spare pays for exact segments of less than two elements (see
+    signatures), so that few sets have more of them. The cost is a row for each
+    signature, plus the sets that meet by chance: of sets sets, the share
+    partners has the share shared of its elements in common.
     """
     h = 2 * high * (100 - percent) // (100 + percent)
     best = None
     for tenths in range(0, 11):
         deletion = (h + 1) * tenths // 20
-        spare = 0 if h < 4 else 1 + (h + 1) // 25
+        spare = _spare(h + 1, deletion, low * percent // 100)
         exact = h + 1 + spare - 2 * deletion
         if exact < 0 or exact + deletion < 1:
             continue
@@ -114,9 +129,10 @@ def signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarr
     """Signatures of a set under a scheme, and which of them are one-deletion neighbours.
 
     Two sets of the needed similarity have at least 1 + spare matching
-    segments (equal, or one element apart where neighbourhoods are kept). Empty
-    segments match anything empty; a set with at most spare of them has a
-    matching segment besides, so it leaves them out. A set with more keeps them.
+    segments (equal, or one element apart where neighbourhoods are kept). Exact
+    segments of less than two elements meet many others by chance; a set with at
+    most spare of them has a matching segment besides, so it leaves them out. A
+    set with more keeps them.
     """
     weights = scheme.exact + 2 * scheme.deletion
     with np.errstate(over="ignore"):
@@ -131,10 +147,10 @@ def signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarr
     sums = np.zeros(scheme.segments, dtype=np.uint64)
     with np.errstate(over="ignore"):
         sums[segment[first]] = np.add.reduceat(values, first)
-        filled = np.zeros(scheme.segments, dtype=bool)
-        filled[segment[first]] = True
+        small = np.bincount(segment, minlength=scheme.segments) < 2
+        small[scheme.exact :] = False
         label = _mix(np.arange(scheme.segments, dtype=np.uint64) + (_U(scheme.number) << _U(32)) + _U(1))
-        kept = np.ones(scheme.segments, dtype=bool) if np.count_nonzero(~filled) > scheme.spare else filled
+        kept = np.ones(scheme.segments, dtype=bool) if np.count_nonzero(small) > scheme.spare else ~small
         full = _mix(sums + label)[kept]
         near = segment >= scheme.exact
         fewer = _mix(sums[segment[near]] - values[near] + label[segment[near]])
