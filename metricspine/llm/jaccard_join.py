@@ -306,15 +306,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     2. Sets are cut by universe partition for their size band and the next,
        the distance bound dealt among segments by cost (see allocate), and the
        signatures are grouped: what meets nobody is finished.
-    3. The rest is cut again with one-deletion neighbourhoods of larger
-       segments, which few sets meet by chance. Sets that meet form families.
+    3. Sets that meet form families. Those of more than block sets are cut again
+       with one-deletion neighbourhoods of larger segments, which few sets meet
+       by chance, and form smaller families.
     4. Families are compared exactly, in pairs of blocks of about block sets,
        however large they are; a block sends a spanning forest of its links and
        a count for each member, never all pairs.
     5. Links join classes into components by alternating stars.
 
     Only ids, digests and signatures are shuffled, and the texts once to pick
-    those that go to step 3; nothing goes to the driver but sizes. Steps hand
+    those that go to step 4; nothing goes to the driver but sizes. Steps hand
     over written tables.
 
     Null and empty texts have empty sets and link with nothing; rows with one
@@ -352,7 +353,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     left = reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
     met = written(coarse.join(left, "a").join(right, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "jaccard-met")
-    rest = met.select(F.col("a").alias("doc_id")).unionByName(met.select(F.col("b").alias("doc_id"))).distinct()
+    wide = connected_components(met).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    wide = written(wide.join(wide.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family"), "jaccard-wide")
 
     token_schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
 
@@ -360,11 +362,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
         yield from emitter(token_schema, ((i, s.tobytes()) for i, s in from_text(batches)), weigh=lambda r: len(r[1]))
 
     copies = owned.where("rep = doc_id").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    kept = body.join(rest, "doc_id", "left_semi").mapInArrow(keep, spark_schema(token_schema))
+    kept = body.join(wide, "doc_id", "left_semi").mapInArrow(keep, spark_schema(token_schema))
     kept = written(kept.where(F.length("tokens") > 0), "jaccard-rest")
-    fine = _candidates(kept, from_tokens, schemes(1.0, count or 0), percent, int((total or 0) * 0.5))
+    large = kept.join(wide.where(F.col("size") > block), "doc_id", "left_semi")
+    fine = _candidates(large, from_tokens, schemes(1.0, count or 0), percent, int((total or 0) * 0.2))
     families = connected_components(fine).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    families = written(families, "jaccard-families")
+    families = written(families.unionByName(wide.where(F.col("size") <= block).select("doc_id", "family")), "jaccard-families")
     blocks = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = kept.join(families.join(blocks, "family"), "doc_id").join(copies, "doc_id")
     members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
