@@ -132,7 +132,9 @@ def signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarr
     segments (equal, or one element apart where neighbourhoods are kept). Exact
     segments of less than two elements meet many others by chance; a set with at
     most spare of them has a matching segment besides, so it leaves them out. A
-    set with more keeps them.
+    set with more keeps those of one element, and the empty ones only if these
+    alone are more than spare: matching segments that are all small are small
+    in both sets, so both keep them.
     """
     weights = scheme.exact + 2 * scheme.deletion
     with np.errstate(over="ignore"):
@@ -159,6 +161,8 @@ def signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarr
 
 _STARS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SIGNED = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("near", pa.bool_())])
+#: Signatures of a scheme that are grouped together. The sets that meet in a unit are sent on as one edge each, so a few large units send less than many small ones.
+_UNIT = 250_000
 #: Signatures that a task holds at once before it reduces them to one for each group.
 _HELD = 3_000_000
 
@@ -220,9 +224,27 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield reduced()
 
 
-def _candidates(rows: DataFrame, read, schemes: list[Scheme], percent: int, expected: int) -> DataFrame:
-    """Distinct candidate edges (a, b) among the sets that read yields from the batches of rows."""
+def _units(schemes: list[Scheme], sizes: dict[int, int], percent: int) -> tuple[list[int], int]:
+    """How many units each scheme's signatures are dealt into, and how many signatures are expected in all; sizes: sets by size."""
     lows = np.array([s.low for s in schemes])
+    rows = [0.0] * len(schemes)
+    for size, count in sizes.items():
+        band = int(np.searchsorted(lows, size, side="right")) - 1
+        for s in schemes[band : band + 2]:
+            if 100 * size >= percent * s.low:
+                rows[s.number] += count * (s.segments + 2 * s.deletion * size / (s.exact + 2 * s.deletion))
+    return [int(r // _UNIT) + 1 for r in rows], int(sum(rows))
+
+
+def _candidates(rows: DataFrame, read, schemes: list[Scheme], percent: int, sizes: dict[int, int]) -> DataFrame:
+    """Distinct candidate edges (a, b) among the sets that read yields from the batches of rows.
+
+    A signature's upper 24 bits name its unit, the lower 40 tell it apart there;
+    two that agree by chance make a candidate that verification refuses.
+    """
+    lows = np.array([s.low for s in schemes])
+    units, expected = _units(schemes, sizes, percent)
+    base = np.concatenate(([0], np.cumsum(units))).astype(np.uint64)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -234,6 +256,8 @@ def _candidates(rows: DataFrame, read, schemes: list[Scheme], percent: int, expe
             for scheme in schemes[band : band + 2]:
                 if 100 * len(tokens) >= percent * scheme.low:
                     sig, near = signatures(tokens, scheme)
+                    unit = base[scheme.number] + sig % _U(units[scheme.number])
+                    sig = (unit << _U(40)) | (sig >> _U(24))
                     out.append((sig.view(np.int64), np.full(len(sig), doc_id, dtype=np.int64), near))
                     size += len(sig)
             if size >= 100_000:
@@ -245,7 +269,7 @@ def _candidates(rows: DataFrame, read, schemes: list[Scheme], percent: int, expe
     spark = rows.sparkSession
     parts = max(scale_partitions(spark), expected // _HELD + 1)
     signed = rows.mapInArrow(sign, spark_schema(_SIGNED))
-    return signed.repartition(parts, "sig").mapInArrow(_stars, spark_schema(_STARS)).distinct()
+    return signed.repartition(parts, F.shiftrightunsigned("sig", 40)).mapInArrow(_stars, spark_schema(_STARS)).distinct()
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -341,15 +365,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     named = sets.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
     owned = written(sets.join(classes, "digest", "left").select("doc_id", "n_shingles", "rep", "copies"), "jaccard-classes")
-    largest, total, count = owned.where("rep = doc_id").agg(F.max("n_shingles"), F.sum("n_shingles"), F.count(F.lit(1))).first()
+    largest, count = owned.where("rep = doc_id").agg(F.max("n_shingles"), F.count(F.lit(1))).first()
     sized = bands(largest or 1, percent)
     sized.append((sized[-1][1] + 1, 100 * (sized[-1][1] + 1) // percent))
 
     def schemes(partners: float, sets: int) -> list[Scheme]:
         return [allocate(low, high, k, percent, sets, partners=partners) for k, (low, high) in enumerate(sized)]
 
+    # at most one row for each size that occurs
+    sizes = {r[0]: r[1] for r in owned.where("rep is not null").groupBy("n_shingles").count().collect()}
+
     reps = owned.where("rep is not null").select("doc_id", "rep").distinct()
-    coarse = _candidates(body.where("doc_id is not null"), from_text, schemes(1e-6, count or 0), percent, int((total or 0) * 0.45))
+    coarse = _candidates(body.where("doc_id is not null"), from_text, schemes(1e-6, count or 0), percent, sizes)
     left = reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
     met = written(coarse.join(left, "a").join(right, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "jaccard-met")
@@ -365,7 +392,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     kept = body.join(wide, "doc_id", "left_semi").mapInArrow(keep, spark_schema(token_schema))
     kept = written(kept.where(F.length("tokens") > 0), "jaccard-rest")
     large = kept.join(wide.where(F.col("size") > block), "doc_id", "left_semi")
-    fine = _candidates(large, from_tokens, schemes(1.0, count or 0), percent, int((total or 0) * 0.2))
+    sizes = {r[0]: r[1] for r in large.groupBy((F.length("tokens") / 8).cast("int")).count().collect()}
+    fine = _candidates(large, from_tokens, schemes(1.0, count or 0), percent, sizes)
     families = connected_components(fine).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     families = written(families.unionByName(wide.where(F.col("size") <= block).select("doc_id", "family")), "jaccard-families")
     blocks = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
