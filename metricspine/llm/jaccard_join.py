@@ -149,10 +149,11 @@ def signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarr
     sums = np.zeros(scheme.segments, dtype=np.uint64)
     with np.errstate(over="ignore"):
         sums[segment[first]] = np.add.reduceat(values, first)
-        small = np.bincount(segment, minlength=scheme.segments) < 2
-        small[scheme.exact :] = False
+        held = np.bincount(segment, minlength=scheme.segments)
+        held[scheme.exact :] = 2
+        least = 2 if np.count_nonzero(held < 2) <= scheme.spare else 1 if np.count_nonzero(held < 1) <= scheme.spare else 0
         label = _mix(np.arange(scheme.segments, dtype=np.uint64) + (_U(scheme.number) << _U(32)) + _U(1))
-        kept = np.ones(scheme.segments, dtype=bool) if np.count_nonzero(small) > scheme.spare else ~small
+        kept = held >= least
         full = _mix(sums + label)[kept]
         near = segment >= scheme.exact
         fewer = _mix(sums[segment[near]] - values[near] + label[segment[near]])
