@@ -83,14 +83,16 @@ def bands(largest: int, percent: int) -> list[tuple[int, int]]:
 
 
 def _spare(bound: int, deletion: int, size: int) -> int:
-    """How many exact segments of less than two elements a set of size elements may have, two deviations above the mean."""
+    """The weight of small segments that a set of size elements may have, two deviations above the mean (see signatures)."""
     spare = 0
-    for _ in range(50):
+    for _ in range(100):
         exact = bound + spare - 2 * deletion
         unit = size / (bound + spare)
-        small = exact * np.exp(-unit) * (1 + unit)
-        need = int(np.ceil(small + 2 * np.sqrt(small))) if exact > 1 else 0
-        if need <= spare or spare > bound // 4:
+        few = exact * np.exp(-unit) * (1 + unit) if exact > 1 else 0.0
+        pair = 2 * unit
+        near = deletion * np.exp(-pair) * (1 + pair + pair**2 / 2 + pair**3 / 6) if deletion > 1 else 0.0
+        need = int(np.ceil(few + 2 * near + 2 * np.sqrt(few + 4 * near)))
+        if need <= spare or spare > bound // 3:
             break
         spare += 1
     return spare
@@ -128,13 +130,13 @@ def allocate(low: int, high: int, number: int, percent: int, sets: int, shared:
 def signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set under a scheme, and which of them are one-deletion neighbours.
 
-    Two sets of the needed similarity have at least 1 + spare matching
-    segments (equal, or one element apart where neighbourhoods are kept). Exact
-    segments of less than two elements meet many others by chance; a set with at
-    most spare of them has a matching segment besides, so it leaves them out. A
-    set with more keeps those of one element, and the empty ones only if these
-    alone are more than spare: matching segments that are all small are small
-    in both sets, so both keep them.
+    Of two sets of the needed similarity, segments that match (equal, or one
+    element apart where neighbourhoods are kept) weigh at least 1 + spare, an
+    exact one 1 and one with neighbourhoods 2. Small segments meet many others
+    by chance, so a set leaves out exact ones of less than two elements and
+    others of less than three, if those that are small, or match a small one,
+    weigh at most spare: then something else matches too. Failing that, it
+    leaves out only empty ones, on the same condition, or else nothing.
     """
     weights = scheme.exact + 2 * scheme.deletion
     with np.errstate(over="ignore"):
@@ -150,12 +152,15 @@ def signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarr
     with np.errstate(over="ignore"):
         sums[segment[first]] = np.add.reduceat(values, first)
         held = np.bincount(segment, minlength=scheme.segments)
-        held[scheme.exact :] = 2
-        least = 2 if np.count_nonzero(held < 2) <= scheme.spare else 1 if np.count_nonzero(held < 1) <= scheme.spare else 0
+        exact, pair = held[: scheme.exact], held[scheme.exact :]
+        kept = np.ones(scheme.segments, dtype=bool)
+        for least, other in ((2, 3), (1, 1)):
+            if np.count_nonzero(exact < least) + 2 * np.count_nonzero(pair <= other) <= scheme.spare:
+                kept = np.concatenate((exact >= least, pair >= other))
+                break
         label = _mix(np.arange(scheme.segments, dtype=np.uint64) + (_U(scheme.number) << _U(32)) + _U(1))
-        kept = held >= least
         full = _mix(sums + label)[kept]
-        near = segment >= scheme.exact
+        near = (segment >= scheme.exact) & kept[segment]
         fewer = _mix(sums[segment[near]] - values[near] + label[segment[near]])
     return np.concatenate((full, fewer)), np.concatenate((np.zeros(len(full), dtype=bool), np.ones(len(fewer), dtype=bool)))
 

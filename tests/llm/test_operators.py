@@ -201,20 +201,20 @@ def test_jaccard_join_of_random_sets(spark):
 def test_signatures_never_miss():
     """The pigeonhole claim itself, for both kinds of allocation."""
     r = np.random.default_rng(2)
-    for partners in (0.0, 1e9):
-        schemes = [jaccard_join.allocate(low, high, k, 85, 1000, partners=partners) for k, (low, high) in enumerate(jaccard_join.bands(400, 85))]
+    for partners, percent in ((0.0, 85), (1e9, 85), (0.0, 70), (1e9, 80)):
+        schemes = [jaccard_join.allocate(low, high, k, percent, 1000, partners=partners) for k, (low, high) in enumerate(jaccard_join.bands(600, percent))]
         for _ in range(400):
             n = int(r.integers(1, 330))
             a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
             b = np.setdiff1d(a, r.choice(a, int(r.integers(0, max(1, len(a) // 6) + 1)), replace=False))
             b = np.unique(np.concatenate((b, r.integers(0, 2**63, int(r.integers(0, max(1, len(a) // 6) + 1))).astype(np.uint64))))
             both = len(np.intersect1d(a, b))
-            if not len(b) or 100 * both < 85 * (len(a) + len(b) - both):
+            if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
                 continue
             signed = []
             for s in (a, b):
                 k = next(i for i, x in enumerate(schemes) if x.low <= len(s) <= x.high)
-                parts = [jaccard_join.signatures(s, x) for x in schemes[k : k + 2] if 100 * len(s) >= 85 * x.low]
+                parts = [jaccard_join.signatures(s, x) for x in schemes[k : k + 2] if 100 * len(s) >= percent * x.low]
                 signed.append(({int(v) for x, near in parts for v in x[~near]}, {int(v) for x, near in parts for v in x[near]}))
             (fa, na), (fb, nb) = signed
             assert fa & fb or fa & nb or na & fb
