@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -42,24 +42,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again.
 
     This cuts the lineage in a way that outlives any executor, and each later
-    reader scans columns instead of computing df again.
+    reader scans columns instead of computing df again. The shuffle files of the
+    write go when it ends; left to the driver's garbage collection, those of
+    several steps would fill the disks together.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of data frames that nothing refers to any more.
-
-    Spark does so when its driver's garbage is collected, which may be long
-    after a large intermediate table was written.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def scale_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, emitter, release, rows_of, scale_partitions, sources, spark_schema, text_bytes, written
+from .common import crc_bucket, emitter, rows_of, scale_partitions, sources, spark_schema, text_bytes, written
 
 #: The token that ends each text; no word holds a line break.
 END = b"\n"
@@ -180,7 +180,6 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, context
 
     words = parts.mapInArrow(_count_words, spark_schema(_UNIGRAMS)).groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts"))
     words = written(words.where("n > 0"), "lm-words")
-    release(spark)
     total, types, once, twice = (int(x or 0) for x in words.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
     discount = once / (once + 2 * twice) if once else 0.5
     frequent = words.where(F.col("n") >= max(2.0, context_share * total)).select("word", "n")
@@ -206,7 +205,6 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, context
     reducers = max(scale_partitions(spark), total // (2 * _REDUCE_ROWS) + 1)
     pairs = parts.mapInArrow(count_pairs, spark_schema(_BIGRAMS)).repartition(reducers, "code").mapInArrow(_reduce_codes(size), spark_schema(_BIGRAMS))
     pairs = written(pairs, "lm-pairs")
-    release(spark)
     after, kinds = np.zeros(size), np.zeros(size)
     for h, n, k in pairs.where("part = -1").groupBy("code").agg(F.sum("n"), F.sum("types")).collect():  # one row for each context
         after[h], kinds[h] = n, k

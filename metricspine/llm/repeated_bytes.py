@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emitter, release, rows_of, scale_partitions, sources, spark_schema, text_bytes, written
+from .common import emitter, rows_of, scale_partitions, sources, spark_schema, text_bytes, written
 from .jaccard_join import _mix
 from .suffix_array import least_by_window
 
@@ -118,7 +118,7 @@ def _shared_anchors(body: DataFrame, depth: int, expected: int) -> DataFrame:
 
 
 _PIECES = pa.schema([("sig", pa.int64()), ("ident", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("piece", pa.binary())])
-_SPANS = pa.schema([("ident", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+_SOLVED = pa.schema([("sig", pa.int64()), ("digest", pa.int64()), ("least", pa.int64()), ("inner", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 
 
 def _pieces(depth: int):
@@ -140,14 +140,15 @@ def _pieces(depth: int):
     return cut
 
 
-def _spans_of_shard(rows: list[tuple], depth: int, shard_bytes: int) -> pa.RecordBatch:
-    """Spans to remove from the documents behind the pieces; all pieces of an anchor are among rows."""
-    pieces: dict[tuple[int, bytes], int] = {}
-    of_piece = np.fromiter((pieces.setdefault((r[0], r[4]), len(pieces)) for r in rows), dtype=np.int64, count=len(rows))
-    doc, start, ident = (np.array([r[k] for r in rows], dtype=np.int64) for k in (2, 3, 1))
-    least = np.full(len(pieces), np.iinfo(np.int64).max)
-    np.minimum.at(least, of_piece, doc)
-    contents = list(pieces)
+def _solve(rows: list[tuple], depth: int, shard_bytes: int) -> Iterator[tuple]:
+    """(sig, digest, least, spans) for distinct pieces (sig, digest, piece, least), all those of an anchor among them.
+
+    least is the smallest document that holds the piece. spans are the parts of
+    the piece that a smaller document holds in another piece; they matter to that
+    smallest document alone, for in all others the whole piece repeats.
+    """
+    contents = [(r[0], r[2]) for r in rows]
+    least = np.array([r[3] for r in rows], dtype=np.int64)
     order = sorted(range(len(contents)), key=lambda k: contents[k][0])
     widths = np.array([len(c[1]) - depth + 1 for c in contents], dtype=np.int64)
     base = np.concatenate(([0], np.cumsum(widths)))
@@ -191,21 +192,18 @@ def _spans_of_shard(rows: list[tuple], depth: int, shard_bytes: int) -> pa.Recor
     if shard:
         solve([shard])
 
-    out = []
-    for low in range(0, len(rows), 50_000):
-        own = slice(low, low + 50_000)
-        w = widths[of_piece[own]]
-        offset = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-        gone = by_window[np.repeat(base[of_piece[own]], w) + offset] < np.repeat(doc[own], w)
-        row = np.repeat(np.arange(low, low + len(w)), w)
-        row, offset = row[gone], offset[gone]
-        if len(row):
-            new = np.concatenate(([True], (row[1:] != row[:-1]) | (offset[1:] > offset[:-1] + depth)))
-            first = np.flatnonzero(new)
-            last = np.concatenate((first[1:] - 1, [len(row) - 1]))
-            out.append((ident[row[first]], start[row[first]] + offset[first], start[row[first]] + offset[last] + depth))
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, dtype=np.int64)] * 3
-    return pa.RecordBatch.from_arrays([pa.array(columns[0]), *(pa.array(c.astype(np.int32)) for c in columns[1:])], schema=_SPANS)
+    gone = np.flatnonzero(by_window < np.repeat(least, widths))
+    owner = np.searchsorted(base, gone, side="right") - 1
+    offset = gone - base[owner]
+    inner: dict[int, list[dict[str, int]]] = {}
+    if len(gone):
+        new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (offset[1:] > offset[:-1] + depth)))
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:] - 1, [len(gone) - 1]))
+        for k, s, e in zip(owner[first].tolist(), offset[first].tolist(), offset[last].tolist(), strict=True):
+            inner.setdefault(k, []).append({"start": s, "stop": e + depth})
+    for k, r in enumerate(rows):
+        yield r[0], r[1], r[3], inner.get(k, [])
 
 
 def _repeated_spans(body: DataFrame, homes: DataFrame, depth: int, shard_bytes: int) -> DataFrame:
@@ -214,20 +212,25 @@ def _repeated_spans(body: DataFrame, homes: DataFrame, depth: int, shard_bytes:
     per_window = (depth - max(1, 2 * depth // 5) + 2) / 2
     sigs = _shared_anchors(body, depth, int((total or 0) / per_window))
     sigs = written(sigs.join(homes.select("ident", "home"), "ident"), "repeats-anchors")
-    release(spark)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(rows_of(batches, *_PIECES.names))
-        if rows:
-            yield _spans_of_shard(rows, depth, shard_bytes)
+        yield from emitter(_SOLVED, _solve(list(rows_of(batches, "sig", "digest", "piece", "least")), depth, shard_bytes), size=20_000)
 
     parts = max(scale_partitions(spark), int((total or 0) // (16 << 20)) + 1)
+    pieces = _cut(body, sigs, depth)
+    distinct = pieces.groupBy("sig", "piece").agg(F.min("doc_id").alias("least")).select("sig", F.xxhash64("piece").alias("digest"), "piece", "least")
+    solved = distinct.repartition(parts, "sig").mapInArrow(solve, spark_schema(_SOLVED))
+    placed = pieces.select("sig", F.xxhash64("piece").alias("digest"), "ident", "doc_id", "start", F.octet_length("piece").alias("n")).join(solved, ["sig", "digest"])
+    whole = F.array(F.struct(F.col("start"), (F.col("start") + F.col("n")).alias("stop")))
+    shifted = F.transform("inner", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), (F.col("start") + x["stop"]).alias("stop")))
+    found = placed.select("ident", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(shifted).alias("spans")).where(F.size("spans") > 0)
+    return written(found.groupBy("ident").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeats-spans")
+
+
+def _cut(body: DataFrame, sigs: DataFrame, depth: int) -> DataFrame:
+    """The pieces of the texts that stand for their class, as a table."""
     chosen = body.join(sigs, "ident").where("doc_id = home").select("ident", "doc_id", "text", "sigs")
-    pieces = chosen.mapInArrow(_pieces(depth), spark_schema(_PIECES)).repartition(parts, "sig")
-    spans = pieces.mapInArrow(solve, spark_schema(_SPANS)).groupBy("ident").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    spans = written(spans, "repeats-spans")
-    release(spark)
-    return spans
+    return written(chosen.mapInArrow(_pieces(depth), spark_schema(_PIECES)), "repeats-pieces")
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -244,12 +247,15 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD
        short strings in it; equal windows have equal anchors. Texts and anchors
        are shuffled as numbers, and anchors of one text alone end here: their
        windows occur nowhere else.
-    3. Windows with a shared anchor are sent, as the pieces of text around it,
-       to the shard of the anchor. A shard's suffix arrays (Larsson-Sadakane)
-       and common prefixes (Kasai) give classes of equal windows and the
-       smallest doc_id of each; an anchor with more text than shard_bytes is
-       spread over several suffix arrays, which are merged by binary search.
-    4. The spans return to their documents.
+    3. Windows with a shared anchor are written as the pieces of text around it.
+       Equal pieces are reduced to one with its smallest doc_id before they are
+       sent to the shard of their anchor, so a passage in a third of all documents
+       arrives once. A shard's suffix arrays (Larsson-Sadakane) and common
+       prefixes (Kasai) give classes of equal windows and the smallest doc_id of
+       each; an anchor with more text than shard_bytes is spread over several
+       suffix arrays, which are merged by binary search.
+    4. Occurrences join their pieces again, by a join that adaptive execution
+       splits, and the spans return to their documents.
 
     Each step hands over a table in the shared folder; nothing but sizes goes to
     the driver. A null or empty text has no bytes; rows with one doc_id never
