@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +18,11 @@ from .common import crc_bucket, emitter, rows_of, scale_partitions, sources, spa
 
 #: The token that ends each text; no word holds a line break.
 END = b"\n"
-#: Words with at least this share of the training tokens are contexts and have n-gram arcs: at most 1 / CONTEXT_SHARE words, whatever the corpus.
-CONTEXT_SHARE = 1e-5
+#: Histories with at least this share of the training tokens are dealt to all groups; this says where they are summed, and leaves nothing out.
+WIDE_SHARE = 1e-4
 #: Bytes of text that are scored together with the counts of their n-grams.
 PART_BYTES = 12 << 20
-_REDUCE_ROWS = 2_000_000
+_GROUP_ROWS = 1_000_000
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -29,63 +31,129 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return words
 
 
+def word_codes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), dtype="<u8").astype(np.uint64)
+
+
+def longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit codes of n-grams from those of their histories and last words."""
+    x = history * np.uint64(0x9E3779B97F4A7C15) + word
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+class Tokens:
+    """The tokens of a part's texts one after another, each text led by the end before it."""
+
+    def __init__(self, group: list[tuple[bool, bytes, int]]) -> None:
+        index: defaultdict[bytes, int] = defaultdict(count().__next__)
+        index[END]
+        found = [np.fromiter(map(index.__getitem__, [END, *tokens_of(_unpack(packed, n))]), dtype=np.int32) for _, packed, n in group]
+        sizes = np.array([len(x) for x in found])
+        self.words = list(index)
+        self.ids = np.concatenate(found)
+        self.starts = np.cumsum(sizes) - sizes
+        self.place = np.arange(len(self.ids)) - np.repeat(self.starts, sizes)
+        self.train = np.repeat(np.array([t for t, _, _ in group], dtype=bool), sizes)
+
+
+@dataclass
+class Level:
+    """The n-grams of one length in a part: at are the tokens that end one, gram their places in code, history those of its histories in states."""
+
+    at: np.ndarray
+    gram: np.ndarray
+    code: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
+    states: np.ndarray
+    history: np.ndarray
+
+    def after(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training tokens and types after each history, as far as the part shows."""
+        return np.bincount(self.history, self.n, len(self.states)), np.bincount(self.history, self.n > 0, len(self.states))
+
+
+def levels_of(tokens: Tokens, order: int, contexts: set[bytes] | None) -> Iterator[Level]:
+    """Levels 2 to order; with contexts, histories and counted words are these alone."""
+    word = word_codes(tokens.words)[tokens.ids]
+    counted = np.ones(len(word), dtype=bool) if contexts is None else np.array([w in contexts for w in tokens.words])[tokens.ids]
+    code, state = word, counted
+    for k in range(2, order + 1):
+        at = np.flatnonzero(state[:-1] & (tokens.place[1:] >= k - 1)) + 1
+        grams, first, gram = np.unique(longer(code[at - 1], word[at]), return_index=True, return_inverse=True)
+        n = np.bincount(gram, tokens.train[at] & counted[at], len(grams)).astype(np.int64)
+        states, history = np.unique(code[at - 1][first], return_inverse=True)
+        yield Level(at, gram, grams, first, n, states, history)
+        code, state = np.zeros_like(word), np.zeros(len(word), dtype=bool)
+        code[at], state[at] = grams[gram], counted[at]
+
+
 @dataclass
 class BackoffAutomaton:
-    """States are the root and one per context word; an arc reads a word, a failure arc leads to the root at a cost.
+    """States are the root and one per history of up to order - 1 words; an arc reads a word, a failure arc leads to the history less its first word at a cost.
 
-    Smoothing is Witten-Bell's: a context h with c tokens of n types after it
-    reads w at (count(h w) + n P(w)) / (c + n), and fails at n / (c + n), where the
-    root reads w at P(w). The root discounts counts absolutely, and gives what
+    Smoothing is Witten-Bell's: a history h with c tokens of n types after it
+    reads w at (count(h w) + n P(w)) / (c + n), where P is that of the shorter
+    history, and fails at n / (c + n). The shortest history fails to the root,
+    which reads w at P(w). The root discounts counts absolutely, and gives what
     that saves to unknown words. The probabilities from each state sum to one.
     """
 
-    codes: np.ndarray
-    arcs: np.ndarray
-    fail: np.ndarray
-    start: int
+    levels: list[Level]
+    arcs: list[np.ndarray]
+    fail: list[np.ndarray]
 
     @classmethod
-    def build(cls, codes: np.ndarray, counts: np.ndarray, after: np.ndarray, types: np.ndarray, root: np.ndarray, start: int) -> BackoffAutomaton:
-        """codes: context * contexts + word of the known n-grams; after, types: tokens and types after each context; root: P of each context word."""
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order]
-        size = max(len(after), 1)
-        h, w = codes // size, codes % size
-        with np.errstate(divide="ignore", invalid="ignore"):
-            arcs = np.log10((counts + types[h] * root[w]) / (after[h] + types[h]))
-            fail = np.where(after > 0, np.log10(types / (after + types)), 0.0)
-        return cls(codes, arcs, fail, start)
-
-    def traverse(self, states: np.ndarray, root: np.ndarray) -> float:
-        """log10 probability of a text: states[i] is the context word of token i (-1: none), root[i] its log10 P at the root.
-
-        Reading a token leads to its own state from anywhere, so the state
-        before each token is known, and all steps are looked up at once.
+    def build(cls, levels: list[Level], after: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray) -> BackoffAutomaton:
+        """levels: with counts of the whole corpus; after: tokens and types after the states of each; root: P of each token at the root."""
+        p, arcs, fail = root.copy(), [], []
+        for level, (tokens, types) in zip(levels, after, strict=True):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = types[level.history]
+                read = (level.n + t * p[level.at[level.first]]) / (tokens[level.history] + t)
+                arcs.append(np.log10(read))
+                fail.append(np.where(tokens > 0, np.log10(types / (tokens + types)), 0.0))
+            known = tokens[level.history] > 0
+            p[level.at] = np.where(known[level.gram], read[level.gram], p[level.at])
+        return cls(levels, arcs, fail)
+
+    def traverse(self, root: np.ndarray) -> np.ndarray:
+        """log10 probability of each token; root: that at the root.
+
+        The state before a token is the longest known history, wherever it was
+        reached from, so all tokens start from theirs at once: each reads an arc
+        or takes the failure arc to the next shorter history, down to the root.
         """
-        before = np.concatenate(([self.start], states[:-1]))
-        total = root.copy()
-        inside = before >= 0
-        total[inside] += self.fail[before[inside]]
-        reads = np.flatnonzero(inside & (states >= 0))
-        if len(reads) and len(self.codes):
-            code = before[reads] * len(self.fail) + states[reads]
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            known = self.codes[at] == code
-            total[reads[known]] = self.arcs[at[known]]
-        return float(total.sum())
+        total, waiting = np.zeros(len(root)), np.ones(len(root), dtype=bool)
+        for level, arcs, fail in zip(self.levels[::-1], self.arcs[::-1], self.fail[::-1], strict=True):
+            here = waiting[level.at]
+            at, gram = level.at[here], level.gram[here]
+            known = level.n[gram] > 0
+            total[at] += np.where(known, arcs[gram], fail[level.history[gram]])
+            waiting[at[known]] = False
+        total[waiting] += root[waiting]
+        return total
 
 
 _PARTS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("train", pa.bool_()), ("packed", pa.binary()), ("n_bytes", pa.int64())])
 _UNIGRAMS = pa.schema([("word", pa.binary()), ("part", pa.int64()), ("n", pa.int64())])
-_BIGRAMS = pa.schema([("part", pa.int64()), ("code", pa.int64()), ("n", pa.int64()), ("types", pa.int64())])
+#: What a part sends to a group: n-grams with history and count, and tokens and types after histories that it does not send. All as packed numbers.
+_SENT = pa.schema([("to", pa.int64()), ("part", pa.int64()), *((c, pa.binary()) for c in ("code", "h", "followers", "n", "rest", "rest_n", "rest_types"))])
+#: What returns to a part: counts of n-grams that others hold as well, and tokens and types after histories.
+_TOLD = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("code", "n", "state", "after", "types"))])
+_STATES = pa.schema([("state", pa.int64()), ("after", pa.int64()), ("types", pa.int64())])
+#: Parts of _TOLD that are none: sums of a group after wide histories, and n-grams that are wide histories of the next length.
+_WIDE, _NEXT = -1, -2
 
 
 def _unpack(packed: bytes, n: int) -> bytes:
     return pa.decompress(packed, decompressed_size=n, codec="zstd", asbytes=True) if n else b""
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[bool, list[bytes]]]]]:
-    """(part, [(train, tokens)]) for runs of rows of one part."""
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bool, bytes, int]]]]:
+    """(part, [(train, packed, n_bytes)]) for runs of rows of one part."""
     at, group = None, []
     for part, train, packed, n in rows_of(batches, "part", "train", "packed", "n_bytes"):
         if part != at and group:
@@ -97,6 +165,10 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[
         yield at, group
 
 
+def _group(texts: pa.Table) -> list[tuple[bool, bytes, int]]:
+    return list(zip(*(texts.column(c).to_pylist() for c in ("train", "packed", "n_bytes")), strict=True))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for part, group in _by_part(batches):
@@ -117,52 +189,143 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from emitter(_UNIGRAMS, rows(), size=20_000)
 
 
-def _reduce_codes(contexts: int):
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each part that asked for a code its total (no row if it is zero), and under part -1 tokens and types after each context."""
-        own = [tuple(b.column(k).to_numpy() for k in range(3)) for b in batches]
-        if not own:
-            return
-        part, code, n = (np.concatenate(c) for c in zip(*own, strict=True))
-        del own
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of eight bytes, first bytes first: what is sorted or small takes little."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+
+
+def _plain(packed: bytes | None, dtype: type = np.uint64) -> np.ndarray:
+    if not packed:
+        return np.empty(0, dtype=dtype)
+    planes = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view(dtype).ravel()
+
+
+def _numbers(table: pa.Table, name: str, dtype: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The packed numbers of all rows, and how many each row has."""
+    own = [_plain(x, dtype) for x in table.column(name).to_pylist()]
+    return np.concatenate([np.empty(0, dtype=dtype), *own]), np.array([len(x) for x in own], dtype=np.int64)
+
+
+def _places(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where codes are in sorted_codes, and which are."""
+    if not len(sorted_codes):
+        return np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
+    return at, sorted_codes[at] == codes
+
+
+def _sent(part: int, level: Level, shorter: tuple[Level, np.ndarray] | None, wide: np.ndarray, groups: int) -> pa.RecordBatch:
+    """A part's n-grams by group: that of the history, or of the n-gram itself if its history is wide.
+
+    shorter: the level below and the n-grams of it that other parts hold as
+    well. An n-gram without two such is in no other part and is not sent, but
+    counted as rest if others hold its history.
+    """
+    h = level.states[level.history]
+    send, rest = np.ones(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
+    if shorter is not None:
+        below, shared = shorter
+        last = np.empty(int(below.at.max(initial=-1)) + 1, dtype=np.uint64)
+        last[below.at] = below.code[below.gram]
+        held = _places(shared, h)[1]
+        send = held & _places(shared, last[level.at[level.first]])[1]
+        rest = held & ~send
+    code, n, own = level.code[send], level.n[send], h[send]
+    to = (np.where(_places(wide, own)[1], code, own) % np.uint64(groups)).astype(np.int64)
+    states, inverse = np.unique(h[rest], return_inverse=True)
+    rest_n, rest_types = np.bincount(inverse, level.n[rest], len(states)), np.bincount(inverse, level.n[rest] > 0, len(states))
+    rest_to = (states % np.uint64(groups)).astype(np.int64)
+    order, rest_order = np.lexsort((own, to)), np.argsort(rest_to, kind="stable")
+    bounds, rest_bounds = np.searchsorted(to[order], np.arange(groups + 1)), np.searchsorted(rest_to[rest_order], np.arange(groups + 1))
+    used = np.flatnonzero((np.diff(bounds) > 0) | (np.diff(rest_bounds) > 0))
+    columns = [pa.array(used, type=pa.int64()), pa.array(np.full(len(used), part), type=pa.int64())]
+    own, to = own[order], to[order]
+    head = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (to[1:] != to[:-1])))) if len(own) else np.empty(0, dtype=np.int64)
+    followers, head_bounds = np.diff(np.concatenate((head, [len(own)]))), np.searchsorted(to[head], np.arange(groups + 1))
+    for x, b in ((code[order], bounds), (own[head], head_bounds), (followers, head_bounds), (n[order], bounds), (states[rest_order], rest_bounds), (rest_n[rest_order], rest_bounds), (rest_types[rest_order], rest_bounds)):
+        x = x.astype(np.uint64)
+        columns.append(pa.array([_packed(x[b[g] : b[g + 1]]) for g in used], type=pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, schema=_SENT)
+
+
+def _told(wide: np.ndarray, wide_next: float):
+    def reduce(table: pa.Table) -> pa.Table:
+        """Sums over a group's n-grams, and who must be told what."""
+        parts = table.column("part").to_numpy()
+        code, sizes = _numbers(table, "code")
+        part, n = np.repeat(parts, sizes), _numbers(table, "n", np.int64)[0]
+        h = np.repeat(_numbers(table, "h")[0], _numbers(table, "followers", np.int64)[0])
+        rest, sizes = _numbers(table, "rest")
+        rest_part, rest_n, rest_types = np.repeat(parts, sizes), _numbers(table, "rest_n")[0], _numbers(table, "rest_types")[0]
         order = np.argsort(code, kind="stable")
-        part, code, n = part[order], code[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-        totals = np.add.reduceat(n, first)
-        each = np.repeat(totals, np.diff(np.concatenate((first, [len(code)]))))
-        kept = each > 0
-        distinct, totals = code[first][totals > 0], totals[totals > 0]
-        h, inverse = np.unique(distinct // contexts, return_inverse=True)
-        tokens, types = np.bincount(inverse, totals, len(h)).astype(np.int64), np.bincount(inverse, minlength=len(h)).astype(np.int64)
-        for p, c, t, k in ((part[kept], code[kept], each[kept], np.zeros(int(kept.sum()), dtype=np.int64)), (np.full(len(h), -1), h, tokens, types)):
-            for low in range(0, len(p), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 50_000]) for x in (p, c, t, k)], schema=_BIGRAMS)
+        part, code, h, n = part[order], code[order], h[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.empty(0, dtype=np.int64)
+        holders = np.diff(np.concatenate((first, [len(code)])))
+        totals = np.add.reduceat(n, first) if len(first) else n
+        tell, each = np.repeat(holders > 1, holders), np.repeat(totals, holders)
+        states = np.unique(np.concatenate((h[first], rest)))
+        own, others = np.searchsorted(states, h[first]), np.searchsorted(states, rest)
+        after = (np.bincount(own, totals, len(states)) + np.bincount(others, rest_n, len(states))).astype(np.int64)
+        types = (np.bincount(own, totals > 0, len(states)) + np.bincount(others, rest_types, len(states))).astype(np.int64)
+        is_wide = _places(wide, states)[1]
+        names, which = np.unique(np.concatenate((part, rest_part)), return_inverse=True)
+        pairs = np.unique(np.searchsorted(states, np.concatenate((h, rest))) * len(names) + which)
+        state, of = pairs // max(len(names), 1), names[pairs % max(len(names), 1)] if len(pairs) else pairs
+        told = ~is_wide[state]
+        state, of = state[told], of[told]
+        often = totals >= wide_next
+        grams = [(_NEXT, code[first][often], totals[often]), *_split(part[tell], code[tell], each[tell])]
+        about = [(_WIDE, states[is_wide], after[is_wide], types[is_wide]), *_split(of, states[state], after[state], types[state])]
+        rows = {p: [_packed(c), _packed(t), b"", b"", b""] for p, c, t in grams}
+        for p, *x in about:
+            rows.setdefault(p, [b""] * 5)[2:] = [_packed(y) for y in x]
+        columns = zip(*((p, *x) for p, x in rows.items()), strict=True)
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _TOLD, strict=True)], schema=_TOLD)
 
     return reduce
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, context_share: float = CONTEXT_SHARE, part_bytes: int = PART_BYTES) -> DataFrame:
+def _split(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    order = np.argsort(part, kind="stable")
+    names, at = np.unique(part[order], return_index=True)
+    for p, low, high in zip(names, at, [*at[1:], len(part)][: len(names)], strict=True):
+        yield int(p), *(c[order[low:high]] for c in columns)
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        yield pa.RecordBatch.from_arrays([pa.array(_numbers(t, c, np.int64)[0]) for c in ("state", "after", "types")], schema=_STATES)
+
+
+def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, context_share: float | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs.
 
     Tokens are the words of the text lower-cased in A-Z, and one end. The model
     learns from all documents outside the held-out fold (crc32 of the doc_id as
-    text, modulo folds): counts of every word, and of every pair of words that
-    both are contexts (context_share). score is the automaton's log10
-    probability of the whole text, base_score that of add-one smoothed words.
+    text, modulo folds): counts of every word, and of every pair of words,
+    however rare. Only a caller who sets context_share thins the model out, to
+    pairs of words that both occur twice and have this share of the tokens.
+    score is the automaton's log10 probability of the whole text, base_score
+    that of add-one smoothed words.
 
     Texts are dealt into parts of about part_bytes where they lie. Each part
-    sends the distinct words, then pairs, that it holds; these are summed over
-    the corpus and the sums return to the parts that asked, so a part builds
-    the automaton of its own n-grams with weights from the whole corpus, and no
-    task needs more than its part's share of the model. Word counts are exact
-    for every word, however rare. Steps hand over tables in the shared folder.
+    sends the distinct words, then n-grams, that it holds; these are summed over
+    the corpus, and sums return to the parts that hold what other parts hold as
+    well (what is in one part alone, this part has counted itself). So a part
+    builds the automaton of its own n-grams with weights from the whole corpus,
+    and no task needs more than its part's share of the model. Word counts are
+    exact; n-grams go by 64-bit codes, of which two among n are the same with a
+    chance of about n * n / 2 ** 65. Steps hand over tables in the shared folder.
 
     A null or empty text is an end alone; rows with one doc_id are scored and
     counted one by one; a null doc_id counts as the empty text in the fold;
     extra columns are ignored; without training documents all scores are 0; an
     empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, order = docs.sparkSession, 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -182,60 +345,75 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, context
     words = written(words.where("n > 0"), "lm-words")
     total, types, once, twice = (int(x or 0) for x in words.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
     discount = once / (once + 2 * twice) if once else 0.5
-    frequent = words.where(F.col("n") >= max(2.0, context_share * total)).select("word", "n")
-    contexts = sorted((bytes(r[0]), int(r[1])) for r in frequent.collect())  # at most 1 / context_share
-    size = max(len(contexts), 1)
-    state_of = spark.sparkContext.broadcast({w: k for k, (w, _) in enumerate(contexts)})
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, end = state_of.value.get, state_of.value.get(END, -1)
-        for part, group in _by_part(batches):
-            found, weight = [], []
-            for train, packed, n in group:
-                s = np.array([end, *(get(w, -1) for w in tokens_of(_unpack(packed, n)))], dtype=np.int64)
-                code = (s[:-1] * size + s[1:])[(s[:-1] >= 0) & (s[1:] >= 0)]
-                found.append(code)
-                weight.append(np.full(len(code), int(train), dtype=np.int64))
-            code, inverse = np.unique(np.concatenate(found), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(weight), len(code)).astype(np.int64)
-            for low in range(0, len(code), 50_000):
-                own = code[low : low + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part)), pa.array(own), pa.array(n[low : low + 50_000]), pa.array(np.zeros(len(own), dtype=np.int64))], schema=_BIGRAMS)
-
-    reducers = max(scale_partitions(spark), total // (2 * _REDUCE_ROWS) + 1)
-    pairs = parts.mapInArrow(count_pairs, spark_schema(_BIGRAMS)).repartition(reducers, "code").mapInArrow(_reduce_codes(size), spark_schema(_BIGRAMS))
-    pairs = written(pairs, "lm-pairs")
-    after, kinds = np.zeros(size), np.zeros(size)
-    for h, n, k in pairs.where("part = -1").groupBy("code").agg(F.sum("n"), F.sum("types")).collect():  # one row for each context
-        after[h], kinds[h] = n, k
-    root = np.array([(n - discount) / total for _, n in contexts] or [0.0])
-    model = spark.sparkContext.broadcast((after, kinds, root))
+    often = max(2.0, WIDE_SHARE * total)
+    groups = max(2 * scale_partitions(spark), total // _GROUP_ROWS + 1)
+    only = None
+    if context_share is not None:
+        only = spark.sparkContext.broadcast({bytes(r[0]) for r in words.where(F.col("n") >= max(2.0, context_share * total)).select("word").collect()})
+    wide = np.sort(word_codes([bytes(r[0]) for r in words.where(F.col("n") >= often).select("word").collect()]))  # at most 1 / WIDE_SHARE
+
+    def levels(group: list[tuple[bool, bytes, int]], k: int) -> tuple[Tokens, list[Level]]:
+        tokens = Tokens(group)
+        return tokens, list(levels_of(tokens, k, only and only.value))
+
+    told, after_wide = [], {}
+    for k in range(2, order + 1):
+        wide_of = spark.sparkContext.broadcast(wide)
+
+        def pairs(batches: Iterator[pa.RecordBatch], wide_of=wide_of) -> Iterator[pa.RecordBatch]:
+            for part, group in _by_part(batches):
+                yield _sent(part, levels(group, 2)[1][-1], None, wide_of.value, groups)
+
+        def grams(texts: pa.Table, answers: pa.Table, k=k, wide_of=wide_of) -> pa.Table:
+            below, level = levels(_group(texts), k)[1][-2:]
+            return pa.Table.from_batches([_sent(texts.column("part")[0].as_py(), level, (below, np.sort(_numbers(answers, "code")[0])), wide_of.value, groups)])
+
+        if k == 2:
+            sent = parts.mapInArrow(pairs, spark_schema(_SENT))
+        else:
+            sent = parts.groupBy("part").cogroup(told[-1].where("part >= 0").groupBy("part")).applyInArrow(grams, spark_schema(_SENT))
+        told.append(written(sent.groupBy("to").applyInArrow(_told(wide, often), spark_schema(_TOLD)), f"lm-told-{k}"))
+        sums = told[-1].where(f"part = {_WIDE}").select("state", "after", "types").mapInArrow(_states, spark_schema(_STATES))
+        sums = sums.groupBy("state").agg(F.sum("after"), F.sum("types")).collect()  # one row for each wide history
+        columns = [np.array(c, dtype=np.int64) for c in zip(*sums, strict=True)] or [np.empty(0, dtype=np.int64)] * 3
+        by_code = np.argsort(columns[0].view(np.uint64))
+        after_wide[k] = (columns[0].view(np.uint64)[by_code], columns[1][by_code], columns[2][by_code])
+        if k < order:
+            wide = np.sort(np.concatenate([np.empty(0, dtype=np.uint64), *(_plain(bytes(r[0])) for r in told[-1].where(f"part = {_NEXT}").select("code").collect())]))
+    model = spark.sparkContext.broadcast(after_wide)
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        after, kinds, root = model.value
-        get_state = state_of.value.get
-        is_word = np.array(answers.column("word").is_valid())
-        local = answers.filter(pa.array(is_word)).column("word").to_pylist()
-        count = answers.column("n").to_numpy()
-        c = np.concatenate((count[is_word], [0])).astype(float)
-        index = {w: k for k, w in enumerate(local)}
-        states = np.array([get_state(w, -1) for w in local] + [-1], dtype=np.int64)
+        tokens, found = levels(_group(texts), order)
+        kind = answers.column("k").to_numpy()
+        own = answers.filter(pa.array(kind == 1))
+        times = dict(zip(own.column("word").to_pylist(), own.column("times").to_pylist(), strict=True))
+        c = np.array([times.get(w, 0) for w in tokens.words], dtype=float)
         with np.errstate(divide="ignore"):
-            p = np.where(c > 0, (c - discount) / max(total, 1), discount * types / total if total else 1.0)
-            at_root, base = np.log10(p), np.log10((c + 1) / (total + types + 1))
-        automaton = BackoffAutomaton.build(answers.column("code").to_numpy()[~is_word].astype(np.int64), count[~is_word], after, kinds, root, get_state(END, -1))
-        unknown = len(local)
-
-        def rows():
-            columns = (texts.column(n) for n in ("doc_id", "train", "packed", "n_bytes"))
-            for doc_id, train, packed, n in zip(*columns, strict=True):
-                at = np.array([index.get(w, unknown) for w in tokens_of(_unpack(packed.as_py(), n.as_py()))], dtype=np.int64)
-                yield doc_id.as_py(), not train.as_py(), len(at), int((c[at] > 0).sum()), total, float(base[at].sum()), automaton.traverse(states[at], at_root[at])
-
-        return pa.Table.from_batches(list(emitter(out, rows())), schema=out)
-
-    asked = words.select(F.explode("parts").alias("part"), "word", F.lit(-1).cast("long").alias("code"), "n")
-    asked = asked.unionByName(pairs.where("part >= 0").select("part", F.lit(None).cast("binary").alias("word"), "code", "n"))
+            p = np.where(c > 0, (c - discount) / max(total, 1), discount * types / total if total else 1.0)[tokens.ids]
+            base = np.log10((c + 1) / (total + types + 1))[tokens.ids]
+        after = []
+        for k, level in enumerate(found, 2):
+            own = answers.filter(pa.array(kind == k))
+            state_tokens, state_types = level.after()
+            at, known = _places(level.code, _numbers(own, "code")[0])
+            level.n[at[known]] = _numbers(own, "n", np.int64)[0][known]
+            for states, n, t in ((_numbers(own, "state")[0], _numbers(own, "after", np.int64)[0], _numbers(own, "types", np.int64)[0]), model.value[k]):
+                at, known = _places(level.states, states)
+                state_tokens[at[known]], state_types[at[known]] = n[known], t[known]
+            after.append((state_tokens, state_types))
+        each = BackoffAutomaton.build(found, after, p).traverse(np.log10(p))
+        lead = tokens.place == 0
+        each[lead] = base[lead] = 0.0
+        seen = (c > 0)[tokens.ids] & ~lead
+        n_tokens, n_known = (np.add.reduceat(x.astype(np.int64), tokens.starts) for x in (~lead, seen))
+        scores = [np.add.reduceat(x, tokens.starts) for x in (base, each)]
+        held_out = [not t for t in texts.column("train").to_pylist()]
+        columns = (texts.column("doc_id").combine_chunks(), held_out, n_tokens, n_known, np.full(len(n_tokens), total), *scores)
+        return pa.Table.from_arrays([pa.array(x, type=f.type) if not isinstance(x, pa.Array) else x for x, f in zip(columns, out, strict=True)], schema=out)
+
+    asked = words.select(F.lit(1).alias("k"), F.explode("parts").alias("part"), "word", F.col("n").alias("times"))
+    for k, answers in enumerate(told, 2):
+        asked = asked.unionByName(answers.where("part >= 0").withColumn("k", F.lit(k)), allowMissingColumns=True)
     return parts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(score, spark_schema(out))

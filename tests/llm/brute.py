@@ -144,6 +144,32 @@ def language_model(docs, share, folds=7, held=2):
     return rows, p, uni, contexts
 
 
+def every_gram(docs, order, folds=7, held=2):
+    """The rows of the Witten-Bell model of all n-grams up to order, none left out."""
+    texts = [(d, fold_of(d, folds) == held, ["\n", *words(fold(t)), "\n"]) for d, t in docs]
+    uni = Counter(w for _, out, t in texts if not out for w in t[1:])
+    total, types = sum(uni.values()), len(uni)
+    once, twice = sum(v == 1 for v in uni.values()), sum(v == 2 for v in uni.values())
+    discount = once / (once + 2 * twice) if once else 0.5
+    follow = defaultdict(Counter)
+    for _, out, t in texts:
+        for k in range(1, order):
+            for i in range(k, len(t)):
+                if not out:
+                    follow[tuple(t[i - k : i])][t[i]] += 1
+
+    def p(h, w):
+        if not h:
+            return (uni[w] - discount) / total if w in uni else discount * types / total
+        if h not in follow:
+            return p(h[1:], w)
+        return (follow[h][w] + len(follow[h]) * p(h[1:], w)) / (follow[h].total() + len(follow[h]))
+
+    for d, out, t in texts:
+        base = sum(math.log10((uni[w] + 1) / (total + types + 1)) for w in t[1:])
+        yield d, out, len(t) - 1, sum(w in uni for w in t[1:]), total, base, sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), t[i])) for i in range(1, len(t)))
+
+
 def line_dedup(docs, min_chars=20, min_docs=3):
     keys = defaultdict(set)
 

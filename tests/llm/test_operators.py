@@ -248,6 +248,16 @@ def test_language_model(docs, none, rows):
     assert {(r.train_tokens, r.score) for r in lm_scoring.score_texts(alone).collect()} == {(0, 0.0)}
 
 
+@pytest.mark.parametrize("wide", [1e-4, 0.01, 1.0])
+def test_language_model_learns_every_pair(docs, rows, monkeypatch, wide):
+    """Rare words are histories too, wherever their pairs are summed."""
+    monkeypatch.setattr(lm_scoring, "WIDE_SHARE", wide)
+    want = sorted(((d, *x[:-2], *(round(v, 6) for v in x[-2:])) for d, *x in brute.every_gram(rows, 2)), key=repr)
+    for size in (12 << 20, 2000):
+        out = lm_scoring.score_texts(docs, part_bytes=size).collect()
+        assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out), key=repr) == want
+
+
 @pytest.mark.parametrize("bits", [1 << 28, 1 << 16])
 def test_line_dedup(docs, none, rows, bits):
     df = line_dedup.dedup_lines(docs, max_filter_bits=bits, carry=("lang",))
