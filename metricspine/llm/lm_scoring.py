@@ -300,14 +300,14 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_numbers(t, c, np.int64)[0]) for c in ("state", "after", "types")], schema=_STATES)
 
 
-def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, context_share: float | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, context_share: float | None = None, part_bytes: int = PART_BYTES, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs.
 
     Tokens are the words of the text lower-cased in A-Z, and one end. The model
     learns from all documents outside the held-out fold (crc32 of the doc_id as
-    text, modulo folds): counts of every word, and of every pair of words,
-    however rare. Only a caller who sets context_share thins the model out, to
-    pairs of words that both occur twice and have this share of the tokens.
+    text, modulo folds): counts of every word, and of every n-gram of 2 to order
+    words, however rare. Only a caller who sets context_share thins the model
+    out, to n-grams of words that all occur twice and have this share of the tokens.
     score is the automaton's log10 probability of the whole text, base_score
     that of add-one smoothed words.
 
@@ -325,7 +325,9 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, context
     extra columns are ignored; without training documents all scores are 0; an
     empty table gives no rows.
     """
-    spark, order = docs.sparkSession, 2
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    spark = docs.sparkSession
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -356,22 +358,27 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, context
         tokens = Tokens(group)
         return tokens, list(levels_of(tokens, k, only and only.value))
 
-    told, after_wide = [], {}
-    for k in range(2, order + 1):
-        wide_of = spark.sparkContext.broadcast(wide)
-
-        def pairs(batches: Iterator[pa.RecordBatch], wide_of=wide_of) -> Iterator[pa.RecordBatch]:
+    def pairs(wide_of):
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, group in _by_part(batches):
                 yield _sent(part, levels(group, 2)[1][-1], None, wide_of.value, groups)
 
-        def grams(texts: pa.Table, answers: pa.Table, k=k, wide_of=wide_of) -> pa.Table:
+        return send
+
+    def grams(k: int, wide_of):
+        def send(texts: pa.Table, answers: pa.Table) -> pa.Table:
             below, level = levels(_group(texts), k)[1][-2:]
-            return pa.Table.from_batches([_sent(texts.column("part")[0].as_py(), level, (below, np.sort(_numbers(answers, "code")[0])), wide_of.value, groups)])
+            return pa.Table.from_batches([_sent(texts.column("part")[0].as_py(), level, (below, np.unique(_numbers(answers, "code")[0])), wide_of.value, groups)])
 
+        return send
+
+    told, after_wide = [], {}
+    for k in range(2, order + 1):
+        wide_of = spark.sparkContext.broadcast(wide)
         if k == 2:
-            sent = parts.mapInArrow(pairs, spark_schema(_SENT))
+            sent = parts.mapInArrow(pairs(wide_of), spark_schema(_SENT))
         else:
-            sent = parts.groupBy("part").cogroup(told[-1].where("part >= 0").groupBy("part")).applyInArrow(grams, spark_schema(_SENT))
+            sent = parts.groupBy("part").cogroup(told[-1].where("part >= 0").groupBy("part")).applyInArrow(grams(k, wide_of), spark_schema(_SENT))
         told.append(written(sent.groupBy("to").applyInArrow(_told(wide, often), spark_schema(_TOLD)), f"lm-told-{k}"))
         sums = told[-1].where(f"part = {_WIDE}").select("state", "after", "types").mapInArrow(_states, spark_schema(_STATES))
         sums = sums.groupBy("state").agg(F.sum("after"), F.sum("types")).collect()  # one row for each wide history

@@ -13,6 +13,8 @@ from .sharding import shard_documents
 from .url_filters import judge_urls
 
 SHARDS = 40
+#: Words in the longest n-grams of the language model.
+LM_ORDER = 3
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -36,7 +38,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"))
+    return score_texts(table(spark, sf_dir, "documents"), order=LM_ORDER)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

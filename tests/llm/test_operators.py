@@ -258,6 +258,15 @@ def test_language_model_learns_every_pair(docs, rows, monkeypatch, wide):
         assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out), key=repr) == want
 
 
+@pytest.mark.parametrize(("order", "wide"), [(3, 1e-4), (3, 0.01), (4, 1.0)])
+def test_language_model_of_longer_histories(docs, rows, monkeypatch, order, wide):
+    monkeypatch.setattr(lm_scoring, "WIDE_SHARE", wide)
+    want = sorted(((d, round(score, 6)) for d, *_, score in brute.every_gram(rows, order)), key=repr)
+    for size in (12 << 20, 2000):
+        out = lm_scoring.score_texts(docs, part_bytes=size, order=order).collect()
+        assert sorted(((r.doc_id, round(r.score, 6)) for r in out), key=repr) == want
+
+
 @pytest.mark.parametrize("bits", [1 << 28, 1 << 16])
 def test_line_dedup(docs, none, rows, bits):
     df = line_dedup.dedup_lines(docs, max_filter_bits=bits, carry=("lang",))
