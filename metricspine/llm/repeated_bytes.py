@@ -251,7 +251,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD
        Equal pieces are reduced to one with its smallest doc_id before they are
        sent to the shard of their anchor, so a passage in a third of all documents
        arrives once. A shard's suffix arrays (Larsson-Sadakane) and common
-       prefixes (Kasai) give classes of equal windows and the smallest doc_id of
+       prefixes give classes of equal windows and the smallest doc_id of
        each; an anchor with more text than shard_bytes is spread over several
        suffix arrays, which are merged by binary search.
     4. Occurrences join their pieces again, by a join that adaptive execution

@@ -1,4 +1,4 @@
-"""Suffix arrays in numpy: Larsson-Sadakane refinement, Kasai common prefixes, merging by binary search."""
+"""Suffix arrays in numpy: Larsson-Sadakane refinement, common prefixes by direct comparison, merging by binary search."""
 
 from __future__ import annotations
 
@@ -60,8 +60,9 @@ def suffix_array(text: np.ndarray, depth: int, starts: np.ndarray | None = None)
 def common_prefixes(text: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
     """For each suffix the length, at most depth, of the prefix it shares with the one before it in sa.
 
-    Kasai's permuted order: each suffix is compared with its predecessor in sa,
-    in the order of the text, eight bytes at a time; those that differ drop out.
+    Each suffix is compared with its predecessor in sa from the first byte, in
+    the order of the text, eight bytes at a time; those that differ drop out.
+    Kasai's carried length is not used: depth bounds the comparison instead.
     """
     lcp = np.zeros(len(sa), dtype=np.int64)
     if len(sa) < 2:
