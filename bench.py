@@ -24,8 +24,8 @@ from metricspine.queries import QUERIES  # noqa: E402
 from metricspine.sources.catalog import Catalog  # noqa: E402
 
 HEADLINE = [
-    "fan_preagg_by_segment", "fan_preagg_two_grains", "fan_two_hops", "identity_matches_preaggregate", "through_then_fan_identity", "many_to_one_hop",
-    "many_to_one_far_grain", "dotted_filter_direct", "median_fan", "median_global", "stock_last_by_user", "stock_last_global", "recursive_closure", "topk_order_desc",
+    "fan_preagg_by_segment", "fan_preagg_two_tables", "fan_two_hops", "identity_matches_preaggregate", "through_then_fan_identity", "many_to_one_hop",
+    "many_to_one_far_table", "dotted_filter_direct", "median_fan", "median_global", "stock_last_by_user", "stock_last_global", "recursive_closure", "topk_order_desc",
 ]
 
 SHAPES = """
@@ -41,13 +41,13 @@ objects:
     primary: level
     properties:
       group: {column: level.dim_id, type: integer}
-      t: {column: level.t, type: date, time_grain: day}
+      t: {column: level.t, type: date, time_unit: day}
 links:
   Children: {from: Parent, to: Child, cardinality: one_to_many, on: [{from: parent.id, to: child.parent_id}]}
 metrics:
-  total: {grain: parent, agg: sum, value: parent.v}
-  level: {grain: level, agg: sum, value: level.v, quantity: stock, over_time: {dimension: t, choice: last}}
-  flat: {grain: level, agg: sum, value: level.v, quantity: flow}
+  total: {measured_on: parent, agg: sum, value: parent.v}
+  level: {measured_on: level, agg: sum, value: level.v, quantity: stock, over_time: {dimension: t, choice: last}}
+  flat: {measured_on: level, agg: sum, value: level.v, quantity: flow}
 """
 
 

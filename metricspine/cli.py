@@ -12,7 +12,7 @@ from pathlib import Path
 from pydantic import ValidationError
 from pyspark.sql import SparkSession
 
-from .errors import GrainError
+from .errors import SpineError
 from .facade import Guard, Spine
 from .tools import Tools, refusal, serve
 
@@ -51,7 +51,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             else:
                 r = spine.query(spec)
                 out = {"columns": r.columns, "rows": r.rows, "additive": r.additive, "non_additive_reason": r.non_additive_reason, "rewrites": r.rewrites, "limit_reached": r.limit_reached, "ontology_elements_used": r.elements, "engine": r.engine}
-    except (GrainError, ValidationError) as e:
+    except (SpineError, ValidationError) as e:
         print(json.dumps(refusal(e)), file=sys.stderr)
         return 1
     print(json.dumps(out, default=plain, indent=2, ensure_ascii=False))

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from .describe import describe
-from .errors import GrainError, GuardTripped
+from .errors import SpineError, GuardTripped
 from .model import Ontology
 from .plans.build import build
 from .plans.resolve import resolve
@@ -49,7 +49,7 @@ class Spine:
 
     def __init__(self, ontology: Ontology, catalog: Catalog, engine: str = "preaggregate", guard: Guard | None = None):
         if engine not in ENGINES:
-            raise GrainError(f"There is no engine called '{engine}'", sorted(ENGINES))
+            raise SpineError(f"There is no engine called '{engine}'", sorted(ENGINES))
         self.ontology, self.catalog, self.engine, self.guard = ontology, catalog, engine, guard or Guard()
 
     @classmethod

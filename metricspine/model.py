@@ -10,9 +10,10 @@ from pydantic import BaseModel, ConfigDict, Field, field_validator, model_valida
 ValueType = Literal["string", "integer", "decimal", "boolean", "date", "datetime"]
 Cardinality = Literal["one_to_one", "many_to_one", "one_to_many", "many_to_many"]
 Quantity = Literal["flow", "stock", "value_per_unit"]
-TimeGrain = Literal["day", "week", "month", "quarter", "year"]
+TimeUnit = Literal["day", "week", "month", "quarter", "year"]
 Aggregate = Literal["sum", "count", "count_distinct", "min", "max", "avg", "median", "percentile"]
 
+# Which cardinalities repeat rows, and which aggregates don't mind.
 #: One source row may meet several target rows.
 FANNING = frozenset({"one_to_many", "many_to_many"})
 #: One target row may meet several source rows.
@@ -58,14 +59,14 @@ class Property(BaseModel):
     nullable: bool = False
     unique: bool = False
     quantity: Quantity | None = None
-    time_grain: TimeGrain | None = None
+    time_unit: TimeUnit | None = None
     via: str | None = None
     description: str | None = None
 
     @model_validator(mode="after")
     def _time(self) -> Property:
-        if self.time_grain and self.type not in ("date", "datetime"):
-            raise ValueError("time_grain needs a date or datetime property")
+        if self.time_unit and self.type not in ("date", "datetime"):
+            raise ValueError("time_unit needs a date or datetime property")
         return self
 
 
@@ -132,7 +133,7 @@ class OverTime(BaseModel):
 class Metric(BaseModel):
     model_config = ConfigDict(extra="forbid")
     name: str = ""
-    grain: str
+    measured_on: str
     description: str | None = None
     expr: str | None = None
     agg: Aggregate | None = None
@@ -165,7 +166,7 @@ class Metric(BaseModel):
 
     @property
     def body(self) -> str:
-        """The text whose columns must all be of the grain table."""
+        """The text whose columns must all be of the metric's own table."""
         return self.expr if self.expr is not None else self.value
 
     @property

@@ -21,14 +21,14 @@ def quoted(label: str) -> Column:
 
 
 def place(rq: Resolved, p: MetricPlan) -> int | str:
-    """Where the grain table stands: an object's position, or the junction of its hop."""
+    """Where the metric's table stands: an object's position, or the junction of its hop."""
     obj = rq.object_at(p.position)
-    return p.position if p.metric.grain in obj.tables else f"{p.position}j"
+    return p.position if p.metric.measured_on in obj.tables else f"{p.position}j"
 
 
 def _bind(rq: Resolved, p: MetricPlan, catalog: Catalog):
     at = place(rq, p)
-    return lambda table, column: f"`{name(at, p.metric.grain, catalog[p.metric.grain].column(column))}`"
+    return lambda table, column: f"`{name(at, p.metric.measured_on, catalog[p.metric.measured_on].column(column))}`"
 
 
 def value(rq: Resolved, p: MetricPlan, catalog: Catalog) -> Column:
@@ -73,9 +73,9 @@ def grouped(df: DataFrame, rq: Resolved, plans: list[MetricPlan], catalog: Catal
 
 
 def told_apart(df: DataFrame, rq: Resolved, plans: list[MetricPlan], catalog: Catalog, extra: list[str] = ()) -> DataFrame:
-    """Each row of the grain table once in each group: grouped by the keys and the table's own key."""
+    """Each row of the metric's table once in each group: grouped by the keys and the table's own key."""
     p = plans[0]
-    at, table = place(rq, p), catalog[p.metric.grain]
+    at, table = place(rq, p), catalog[p.metric.measured_on]
     own = [name(at, table.name, table.column(c)) for c in table.keys[0]]
     used = {name(at, table.name, table.column(c)) for q in plans for _, c in columns_of(q.metric.body)} | set(extra)
     columns = [F.any_value(F.col(c)).alias(c) for c in sorted(used - set(own))]

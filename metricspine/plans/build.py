@@ -32,13 +32,13 @@ def build(plan: Plan, o: Ontology, catalog: Catalog) -> DataFrame:
     for position in dict.fromkeys(p.position for p in before):
         rows = surviving(catalog, extended(catalog, root, rq.path, 0, position), rq.path, position)
         frames.append(grouped(keyed(rows, rq), rq, [p for p in before if p.position == position], catalog))
-    for where in dict.fromkeys((place(rq, p), p.metric.grain) for p in apart):
-        group = [p for p in apart if (place(rq, p), p.metric.grain) == where]
+    for where in dict.fromkeys((place(rq, p), p.metric.measured_on) for p in apart):
+        group = [p for p in apart if (place(rq, p), p.metric.measured_on) == where]
         frames.append(grouped(told_apart(whole, rq, group, catalog), rq, group, catalog))
     frames += [_stock(whole, p, plan, o, catalog) for p in plan.metrics if p.stock]
 
     keys = labels(rq)
-    spanned = any(p.metric.grain != rq.object_at(p.position).primary for p in apart)
+    spanned = any(p.metric.measured_on != rq.object_at(p.position).primary for p in apart)
     if keys and spanned and not inline and not before:
         # a left-joined table may have no row for a group
         frames.insert(0, whole.select(*map(quoted, keys)).distinct())
@@ -54,7 +54,7 @@ def build(plan: Plan, o: Ontology, catalog: Catalog) -> DataFrame:
 
 def _stock(whole: DataFrame, p: MetricPlan, plan: Plan, o: Ontology, catalog: Catalog) -> DataFrame:
     rq = plan.resolved
-    dimension = o.object_for_table(p.metric.grain).properties[p.metric.over_time.dimension]
-    time = name(place(rq, p), p.metric.grain, dimension.column.column)
+    dimension = o.object_for_table(p.metric.measured_on).properties[p.metric.over_time.dimension]
+    time = name(place(rq, p), p.metric.measured_on, dimension.column.column)
     rows = told_apart(whole, rq, [p], catalog, [time]) if p.strategy == IDENTITY else whole
     return grouped(at_one_instant(rows, rq, time, p.metric.over_time.choice), rq, [p], catalog)

@@ -6,7 +6,7 @@ import datetime as dt
 import difflib
 from dataclasses import dataclass
 
-from ..errors import AmbiguousGroupKey, GrainError, GroupKeyNotOnPath, NoPath, UnknownName
+from ..errors import AmbiguousGroupKey, GroupKeyNotOnPath, NoPath, SpineError, UnknownName
 from ..model import LinkType, Metric, ObjectType, Ontology, Property
 from ..spec import Filter, OrderBy, QuerySpec
 
@@ -94,7 +94,7 @@ def _condition(o: Ontology, root: ObjectType, f: Filter) -> Condition:
     prop = _property(edge.target if edge else root, name)
     for v in f.value if isinstance(f.value, list) else [f.value]:
         if v is not None and (f.op == "like" and prop.type != "string" or not _fits(v, prop.type)):
-            raise GrainError(f"Filter on '{f.property}' compares a {prop.type} with {v!r} by {f.op}", [f"a {prop.type} value"])
+            raise SpineError(f"Filter on '{f.property}' compares a {prop.type} with {v!r} by {f.op}", [f"a {prop.type} value"])
     return Condition(f, prop, edge)
 
 
@@ -124,7 +124,7 @@ def resolve(spec: QuerySpec, o: Ontology) -> Resolved:
         edge = _edge(o, hop.link, path[-1].target if path else root)
         if hop.max_depth is not None:
             if edge.link.kind != "recursive":
-                raise GrainError(f"Link '{hop.link}' is a single step and takes no max_depth", ["leave max_depth out"])
+                raise SpineError(f"Link '{hop.link}' is a single step and takes no max_depth", ["leave max_depth out"])
             edge = Edge(edge.link.model_copy(update={"max_depth": hop.max_depth}), edge.source, edge.target)
         path.append(edge)
     conditions = [_condition(o, root, f) for f in spec.filters]
@@ -135,7 +135,7 @@ def resolve(spec: QuerySpec, o: Ontology) -> Resolved:
             raise UnknownName("metric", name, near(name, o.metrics))
         metrics.append(o.metrics[name])
     if not keys and not metrics:
-        raise GrainError("The query asks for nothing", ["name a metric", "name a group key"])
+        raise SpineError("The query asks for nothing", ["name a metric", "name a group key"])
     labels = [k.label for k in keys] + [m.name for m in metrics]
     for order in spec.order_by:
         if order.key not in labels:

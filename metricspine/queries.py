@@ -76,7 +76,7 @@ ask("global_total", {"object": "Order", "metrics": ["order_total", "order_count"
 ask("group_inline", {**_CUSTOMER_ORDERS, "group_by": ["segment"], "metrics": ["order_total"]}, f"SELECT c_mktsegment AS segment, {_money(f'sum({_ORDER})')} AS order_total FROM {_CUSTOMERS} JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 ask("fan_preagg_by_segment", {**_TO_LINES, "group_by": ["segment"], "metrics": ["order_total"]}, f"SELECT c_mktsegment AS segment, {_money(f'sum({_ORDER})')} AS order_total FROM {_CUSTOMERS} JOIN orders ON o_custkey = c_custkey WHERE {_SOLD} GROUP BY 1")
 ask(
-    "fan_preagg_two_grains",
+    "fan_preagg_two_tables",
     {**_TO_LINES, "group_by": ["segment"], "metrics": ["order_total", "revenue", "order_count", "line_count"]},
     f"""WITH a AS (SELECT c_mktsegment AS segment, sum({_ORDER}) AS t, count(*) AS n FROM {_CUSTOMERS} JOIN orders ON o_custkey = c_custkey WHERE {_SOLD} GROUP BY 1),
     b AS (SELECT c_mktsegment AS segment, sum({_REVENUE}) AS r, count(*) AS n FROM {_CUSTOMERS} JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
@@ -104,10 +104,10 @@ ask("through_then_fan_identity", {"object": "Supplier", "traverse": ["Supplier_P
 ask("pinned_fan_inline", {"object": "Customer", "traverse": ["Customer_Orders"], "group_by": ["segment", "Customer_Orders.id"], "metrics": ["customer_count"]}, f"SELECT c_mktsegment AS segment, o_orderkey AS \"Customer_Orders.id\", 1::BIGINT AS customer_count FROM {_CUSTOMERS} JOIN orders ON o_custkey = c_custkey")
 ask("pinned_fan_sum", {"object": "Nation", "traverse": ["Nation_Customers"], "group_by": ["Nation_Customers.id"], "metrics": ["nation_rows"]}, "SELECT c_custkey AS \"Nation_Customers.id\", 1::BIGINT AS nation_rows FROM customer")
 ask("many_to_one_hop", {"object": "LineItem", "traverse": ["Line_Part"], "group_by": ["Line_Part.brand"], "metrics": ["revenue", "units"]}, f"SELECT p_brand AS \"Line_Part.brand\", {_money(f'sum({_REVENUE})')} AS revenue, {_money('sum(CAST(l_quantity AS DECIMAL(12,2)))')} AS units FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
-ask("many_to_one_far_grain", {"object": "LineItem", "traverse": ["Line_Order"], "group_by": ["flag"], "metrics": ["order_total"]}, f"SELECT flag, {_money('sum(t)')} AS order_total FROM (SELECT DISTINCT l_returnflag AS flag, o_orderkey, {_ORDER} AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1")
+ask("many_to_one_far_table", {"object": "LineItem", "traverse": ["Line_Order"], "group_by": ["flag"], "metrics": ["order_total"]}, f"SELECT flag, {_money('sum(t)')} AS order_total FROM (SELECT DISTINCT l_returnflag AS flag, o_orderkey, {_ORDER} AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1")
 ask("spanned_property_left", {"object": "Nation", "traverse": ["Nation_Customers"], "group_by": ["region"], "metrics": ["customer_count"]}, "SELECT r_name AS region, count(*) AS customer_count FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
 ask("spanned_property_inner", {**_CUSTOMER_ORDERS, "group_by": ["nation"], "metrics": ["order_total"]}, f"SELECT n_name AS nation, {_money(f'sum({_ORDER})')} AS order_total FROM {_CUSTOMERS} JOIN orders ON o_custkey = c_custkey GROUP BY 1")
-ask("spanned_grain", {"object": "Supplier", "group_by": ["nation"], "metrics": ["nation_rows"]}, "SELECT n_name AS nation, count(DISTINCT n_nationkey) AS nation_rows FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
+ask("spanned_table", {"object": "Supplier", "group_by": ["nation"], "metrics": ["nation_rows"]}, "SELECT n_name AS nation, count(DISTINCT n_nationkey) AS nation_rows FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
 
 
 def _filtered(name: str, op: str, value, where: str, prop: str = "total", spec: dict | None = None) -> None:

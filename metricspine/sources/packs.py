@@ -109,11 +109,11 @@ def _check_object(o: Ontology, obj: ObjectType, catalog: Catalog) -> None:
             raise OntologyError(f"{at} comes over a left join, so it may be null", ["nullable: true"])
         if not p.nullable and p.column.column.lower() not in catalog[p.column.table].not_null:
             raise OntologyError(f"{at} is declared not null, which its table doesn't say of the column", ["nullable: true", "list the column under not_null"])
-        if p.time_grain:
+        if p.time_unit:
             if not isinstance(catalog[p.column.table].type(p.column.column), (T.DateType, T.TimestampType, T.TimestampNTZType)):
-                raise OntologyError(f"{at} has a time_grain, but its column is no date or timestamp")
+                raise OntologyError(f"{at} has a time_unit, but its column is no date or timestamp")
             if p.nullable or p.via is not None and obj.joins[p.via].kind == "left":
-                raise OntologyError(f"{at} has a time_grain, but may be null")
+                raise OntologyError(f"{at} has a time_unit, but may be null")
 
 
 def _check_link(o: Ontology, link: LinkType, catalog: Catalog) -> None:
@@ -151,20 +151,20 @@ def effective_quantity(o: Ontology, metric: Metric) -> str | None:
 
 
 def time_property(o: Ontology, metric: Metric):
-    obj = o.object_for_table(metric.grain)
+    obj = o.object_for_table(metric.measured_on)
     return obj.properties.get(metric.over_time.dimension) if obj and metric.over_time else None
 
 
 def _check_metric(o: Ontology, m: Metric, catalog: Catalog) -> None:
     who = f"metric {m.name}"
-    _table(catalog, m.grain, who)
+    _table(catalog, m.measured_on, who)
     for table, column in columns_of(m.body):
-        if table.lower() != m.grain.lower():
-            raise OntologyError(f"{who} is measured on '{m.grain}' but uses {table}.{column}", [f"use columns of {m.grain}"])
-        _column(catalog, m.grain, column, who)
+        if table.lower() != m.measured_on.lower():
+            raise OntologyError(f"{who} is measured on '{m.measured_on}' but uses {table}.{column}", [f"use columns of {m.measured_on}"])
+        _column(catalog, m.measured_on, column, who)
     word = stray_word(m.body)
     if word is not None:
-        raise OntologyError(f"{who} holds '{word}', which is no qualified column, function or SQL word", [f"{m.grain}.{word}"])
+        raise OntologyError(f"{who} holds '{word}', which is no qualified column, function or SQL word", [f"{m.measured_on}.{word}"])
     if m.expr is not None and has_window(m.expr):
         raise OntologyError(f"{who} has a window over rows that are not aggregated yet", ["aggregate inside the window, as in sum(sum(x)) over ()"])
     quantity = effective_quantity(o, m)
@@ -177,9 +177,9 @@ def _check_metric(o: Ontology, m: Metric, catalog: Catalog) -> None:
         raise OntologyError(f"{who}: " + ("a stock says over which time it is taken" if quantity == "stock" else "over_time belongs to a stock"), ["over_time: {dimension: ..., choice: last}", "quantity: stock"])
     if m.over_time is not None:
         p = time_property(o, m)
-        if p is None or not p.time_grain:
-            obj = o.object_for_table(m.grain)
-            raise OntologyError(f"{who} is taken over '{m.over_time.dimension}', which is no property with a time_grain of the object over {m.grain}", [n for n, x in (obj.properties if obj else {}).items() if x.time_grain])
+        if p is None or not p.time_unit:
+            obj = o.object_for_table(m.measured_on)
+            raise OntologyError(f"{who} is taken over '{m.over_time.dimension}', which is no property with a time_unit of the object over {m.measured_on}", [n for n, x in (obj.properties if obj else {}).items() if x.time_unit])
         if m.agg is None:
             raise OntologyError(f"{who} is a stock given by expr, which cannot be taken at one instant", ["agg and value"])
 

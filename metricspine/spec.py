@@ -8,6 +8,7 @@ from typing import Any, Literal
 
 from pydantic import BaseModel, ConfigDict, Field, field_validator, model_validator
 
+# The vocabulary and the limits of a request.
 Scalar = bool | int | Decimal | float | dt.datetime | dt.date | str
 FilterOp = Literal["eq", "ne", "gt", "gte", "lt", "lte", "in", "like", "is_null"]
 
@@ -27,14 +28,14 @@ class Filter(_Strict):
     def _fits(self) -> Filter:
         if self.op == "in":
             if not isinstance(self.value, list):
-                raise ValueError("'in' takes a list")
+                raise ValueError("a filter by 'in' wants the values as a list")
         elif self.op == "is_null":
             if self.value is not None:
-                raise ValueError("'is_null' takes no value")
+                raise ValueError("a filter by 'is_null' stands without a value")
         elif isinstance(self.value, (list, dict)):
-            raise ValueError(f"'{self.op}' takes one value")
+            raise ValueError(f"a filter by '{self.op}' compares with a single value")
         elif self.value is None and self.op not in ("eq", "ne"):
-            raise ValueError(f"'{self.op}' needs a value")
+            raise ValueError(f"a filter by '{self.op}' compares with something; give a value")
         for v in self.value if isinstance(self.value, list) else [self.value]:
             if v is not None and not isinstance(v, Scalar):
                 raise ValueError(f"{v!r} is not a scalar")

@@ -6,7 +6,7 @@ from typing import Any
 
 from pydantic import ValidationError
 
-from .errors import GrainError
+from .errors import SpineError
 from .facade import Result, Spine
 
 
@@ -42,7 +42,7 @@ class Tools:
     def _try(self, f, *args) -> dict[str, Any]:
         try:
             return f(*args)
-        except (GrainError, ValidationError) as e:
+        except (SpineError, ValidationError) as e:
             return refusal(e)
 
     def describe_ontology(self, object: str | None = None) -> dict[str, Any]:
@@ -62,7 +62,7 @@ class Tools:
         """A table, or why there is none and what to ask instead."""
         try:
             return as_table(self.spine.query(spec))
-        except (GrainError, ValidationError) as e:
+        except (SpineError, ValidationError) as e:
             found = refusal(e)
             return f"REFUSED ({found['error']}): {found['message']}"
 

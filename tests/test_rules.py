@@ -31,7 +31,7 @@ GOOD = {
                 "price": {"column": "orders.price", "type": "decimal", "quantity": "value_per_unit"},
                 "stock": {"column": "orders.stock", "type": "integer", "quantity": "stock"},
                 "note": {"column": "orders.note", "type": "string", "nullable": True},
-                "day": {"column": "orders.day", "type": "date", "time_grain": "day"},
+                "day": {"column": "orders.day", "type": "date", "time_unit": "day"},
                 "shop": {"column": "shop.name", "type": "string", "via": "shop", "nullable": True},
             },
         },
@@ -39,11 +39,11 @@ GOOD = {
     },
     "links": {"Lines": {"from": "Order", "to": "Line", "cardinality": "one_to_many", "on": [{"from": "orders.id", "to": "line.order_id"}]}},
     "metrics": {
-        "sum_total": {"grain": "orders", "agg": "sum", "value": "orders.total"},
-        "worth": {"grain": "orders", "agg": "sum", "value": "orders.price * orders.stock"},
-        "held": {"grain": "orders", "agg": "sum", "value": "orders.stock", "over_time": {"dimension": "day", "choice": "last"}},
-        "p": {"grain": "orders", "agg": "percentile", "percentile": 0.9, "value": "orders.price"},
-        "free": {"grain": "orders", "expr": "sum(case when orders.note like 'a%' then 1 else 0 end) / nullif(count(*), 0)"},
+        "sum_total": {"measured_on": "orders", "agg": "sum", "value": "orders.total"},
+        "worth": {"measured_on": "orders", "agg": "sum", "value": "orders.price * orders.stock"},
+        "held": {"measured_on": "orders", "agg": "sum", "value": "orders.stock", "over_time": {"dimension": "day", "choice": "last"}},
+        "p": {"measured_on": "orders", "agg": "percentile", "percentile": 0.9, "value": "orders.price"},
+        "free": {"measured_on": "orders", "expr": "sum(case when orders.note like 'a%' then 1 else 0 end) / nullif(count(*), 0)"},
     },
 }
 
@@ -106,13 +106,13 @@ def test_good_pack(catalog):
         ("L11 time without stock", "metrics/sum_total/over_time", {"dimension": "day"}),
         ("L12 no date", "objects/Order/properties/day/column", "orders.note"),
         ("L12 nullable", "objects/Order/properties/day/nullable", True),
-        ("L12 type", "objects/Order/properties/id/time_grain", "day"),
+        ("L12 type", "objects/Order/properties/id/time_unit", "day"),
         ("L13 dimension", "metrics/held/over_time", {"dimension": "shop"}),
         ("L14 range", "metrics/p/percentile", 1.5),
         ("L14 misplaced", "metrics/sum_total/percentile", 0.5),
         ("L15 both forms", "metrics/sum_total/expr", "sum(orders.total)"),
-        ("L15 no form", "metrics/sum_total", {"grain": "orders"}),
-        ("L15 half a form", "metrics/sum_total", {"grain": "orders", "agg": "sum"}),
+        ("L15 no form", "metrics/sum_total", {"measured_on": "orders"}),
+        ("L15 half a form", "metrics/sum_total", {"measured_on": "orders", "agg": "sum"}),
         ("L16 typo", "metrics/sum_total/quantitty", "flow"),
         ("L16 typo in a property", "objects/Order/properties/id/uniqe", True),
         ("L17 no on", "links/Lines/on", []),
@@ -129,7 +129,7 @@ def test_broken_packs(catalog, rule, path, value):
 
 def test_stock_by_expression_is_refused(catalog):
     with pytest.raises(errors.OntologyError):
-        load_pack(changed("metrics/held", {"grain": "orders", "expr": "sum(orders.stock)", "quantity": "stock", "over_time": {"dimension": "day"}}), catalog)
+        load_pack(changed("metrics/held", {"measured_on": "orders", "expr": "sum(orders.stock)", "quantity": "stock", "over_time": {"dimension": "day"}}), catalog)
 
 
 def test_data_is_checked_on_request(spark, catalog):
@@ -146,7 +146,7 @@ def test_data_is_checked_on_request(spark, catalog):
 
 
 def test_on_stays_a_key_and_yes_a_word():
-    o, tables = parse_pack("objects: {}\ntables: {t: {source: on}}\nmetrics: {m: {grain: t, agg: count, value: t.x, description: yes}}\n")
+    o, tables = parse_pack("objects: {}\ntables: {t: {source: on}}\nmetrics: {m: {measured_on: t, agg: count, value: t.x, description: yes}}\n")
     assert tables["t"]["source"] == "on" and o.metrics["m"].description == "yes"
     with pytest.raises(errors.OntologyError):
         parse_pack("- a\n- b\n")

@@ -30,19 +30,19 @@ METRICS = ["order_total", "order_count", "line_count", "units", "avg_order", "me
 def answered(s, spec, engine):
     try:
         return sorted((tuple(r) for r in s.df(spec, engine).collect()), key=repr)
-    except errors.GrainError as e:
+    except errors.SpineError as e:
         assert e.alternatives, e
         return None
 
 
 def oracle(s, spec):
-    """Distinct rows of the grain table for each group, by a plain join of collected rows; for counts and sums at one grain."""
+    """Distinct rows of the metric's table for each group, by a plain join of collected rows; for counts and sums of one table."""
     plan = s.plan(spec, "identity")
     from metricspine.operators.aggregate import keyed, labels, place
     from metricspine.operators.frames import name, walk
 
     p = plan.metrics[0]
-    table = s.catalog[p.metric.grain]
+    table = s.catalog[p.metric.measured_on]
     at = place(plan.resolved, p)
     own = [name(at, table.name, table.column(c)) for c in table.keys[0]]
     groups = defaultdict(set)
