@@ -6,9 +6,11 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,24 +20,44 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_DIRS: dict[str, str] = {}
+_WRITES = threading.Lock()
+_WRITING: dict[str, tuple[int, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset, a temporary folder in local mode (one machine), else a
-    folder below the warehouse, which a cluster shares as well.
+    Where it is unset, a temporary folder in local mode (one machine); a cluster must name one.
     """
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
     app = spark.sparkContext.applicationId
-    if spark.sparkContext.master.split("[")[0] == "local":
-        if app not in _LOCAL_DIRS:
-            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="metricspine-")
-            atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
-        return _LOCAL_DIRS[app]
-    return os.path.join(spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), "_intermediate", app)
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="metricspine-")
+        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], ignore_errors=True)
+    return _LOCAL_DIRS[app]
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the queries inside end; the setting is restored when the last of several threads leaves."""
+    app = spark.sparkContext.applicationId
+    with _WRITES:
+        users, before = _WRITING.get(app) or (0, spark.conf.get(_CLEANUP, "false"))
+        _WRITING[app] = users + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _WRITES:
+            users, before = _WRITING.pop(app)
+            if users > 1:
+                _WRITING[app] = users - 1, before
+            else:
+                spark.conf.set(_CLEANUP, before)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -48,13 +70,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _shuffles_removed(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of written() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scale_partitions(spark: SparkSession) -> int:

@@ -42,7 +42,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return dedup_lines(table(spark, sf_dir, "documents"), keep_text=False).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

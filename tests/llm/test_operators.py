@@ -267,10 +267,12 @@ def test_language_model_of_longer_histories(docs, rows, monkeypatch, order, wide
         assert sorted(((r.doc_id, round(r.score, 6)) for r in out), key=repr) == want
 
 
-@pytest.mark.parametrize("bits", [1 << 28, 1 << 16])
-def test_line_dedup(docs, none, rows, bits):
-    df = line_dedup.dedup_lines(docs, max_filter_bits=bits, carry=("lang",))
+@pytest.mark.parametrize(("bits", "keys"), [(1 << 30, 1_000_000), (1 << 16, 1), (1 << 16, 40)])
+def test_line_dedup(docs, none, rows, bits, keys):
+    """All repeated lines broadcast, none, and the most frequent."""
+    df = line_dedup.dedup_lines(docs, max_filter_bits=bits, max_broadcast_keys=keys, carry=("lang",))
     want = brute.line_dedup(rows)
+    assert found(df, "doc_id", "clean_text") == sorted(((d, x if t is not None else None) for (d, _, _, x), (_, t) in zip(want, rows, strict=True)), key=repr)
     assert found(df, "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(((d, n, k, brute.sha(t)) for d, n, k, t in want), key=repr)
     assert line_dedup.dedup_lines(none).count() == 0
 
