@@ -2,425 +2,571 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, emitter, rows_of, scale_partitions, sources, spark_schema, text_bytes, written
+from .common import crc_bucket, discard, scale_partitions, sources, spark_schema, written
 
 #: The token that ends each text; no word holds a line break.
 END = b"\n"
-#: Histories with at least this share of the training tokens are dealt to all groups; this says where they are summed, and leaves nothing out.
-WIDE_SHARE = 1e-4
-#: Bytes of text that are scored together with the counts of their n-grams.
-PART_BYTES = 12 << 20
-_GROUP_ROWS = 1_000_000
+#: A history with this share of its part's tokens may be wide: its n-grams are dealt to all groups. This says where they are summed, and leaves nothing out.
+WIDE_SHARE = 2e-4
+#: Bytes of text that make a part. A part is scored by one task.
+PART_BYTES = 8 << 20
+#: Distinct n-grams of parts that a group sums.
+GROUP_ROWS = 2_000_000
+#: Tokens that are walked from one start; walks go on side by side.
+SEGMENT = 256
 
+_U = np.uint64
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    words = (text or b"").lower().split()
-    words.append(END)
-    return words
 
-
-def word_codes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in words), dtype="<u8").astype(np.uint64)
+def word_code(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
 def longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     """64-bit codes of n-grams from those of their histories and last words."""
-    x = history * np.uint64(0x9E3779B97F4A7C15) + word
+    x = history * _U(0x9E3779B97F4A7C15) + word
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+        x = (x ^ (x >> _U(shift))) * _U(factor)
+    return x ^ (x >> _U(31))
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers, first bytes first: what is sorted or small takes little."""
+    if not len(x):
+        return b""
+    wide = x.dtype.itemsize
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, wide).T).tobytes()
+    return bytes([wide]) + len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def plain(data: bytes | None) -> np.ndarray:
+    """What packed() packed, as unsigned numbers."""
+    if not data:
+        return np.empty(0, dtype=np.uint64)
+    planes = pa.decompress(data[9:], decompressed_size=int.from_bytes(data[1:9], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(data[0], -1).T).view(f"<u{data[0]}").ravel()
+
 
+def counts(rows: list[dict], name: str) -> np.ndarray:
+    """The packed numbers of all rows one after another."""
+    return np.concatenate([np.empty(0, dtype=np.int64), *(plain(r[name]).astype(np.int64) for r in rows)])
 
-class Tokens:
-    """The tokens of a part's texts one after another, each text led by the end before it."""
 
-    def __init__(self, group: list[tuple[bool, bytes, int]]) -> None:
-        index: defaultdict[bytes, int] = defaultdict(count().__next__)
-        index[END]
-        found = [np.fromiter(map(index.__getitem__, [END, *tokens_of(_unpack(packed, n))]), dtype=np.int32) for _, packed, n in group]
-        sizes = np.array([len(x) for x in found])
-        self.words = list(index)
-        self.ids = np.concatenate(found)
-        self.starts = np.cumsum(sizes) - sizes
-        self.place = np.arange(len(self.ids)) - np.repeat(self.starts, sizes)
-        self.train = np.repeat(np.array([t for t, _, _ in group], dtype=bool), sizes)
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts in four bytes where they fit."""
+    return x.astype(np.uint32) if not len(x) or int(x.max()) < 1 << 32 else x.astype(np.uint64)
+
+
+@dataclass
+class Part:
+    """Texts one after another as numbers of words, which are places in words, their sorted codes; each text is led by the end before it."""
+
+    doc_id: np.ndarray
+    known: np.ndarray
+    train: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+    ids: np.ndarray
+
+    def __post_init__(self):
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.place = np.arange(len(self.ids), dtype=np.int32) - np.repeat(self.starts, self.sizes).astype(np.int32)
+        self.learned = np.repeat(self.train, self.sizes)
 
 
 @dataclass
 class Level:
-    """The n-grams of one length in a part: at are the tokens that end one, gram their places in code, history those of its histories in states."""
+    """The n-grams of one length in a part, sorted by history and last word; a history is an n-gram of the level below.
+
+    gram: the n-gram that ends at each token, or -1; n: how often training texts
+    hold it; state: its history; below: the n-gram less its first word; states:
+    codes of the histories; end: a token at which it ends.
+    """
 
-    at: np.ndarray
     gram: np.ndarray
     code: np.ndarray
-    first: np.ndarray
     n: np.ndarray
+    state: np.ndarray
+    below: np.ndarray
     states: np.ndarray
-    history: np.ndarray
-
-    def after(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training tokens and types after each history, as far as the part shows."""
-        return np.bincount(self.history, self.n, len(self.states)), np.bincount(self.history, self.n > 0, len(self.states))
-
-
-def levels_of(tokens: Tokens, order: int, contexts: set[bytes] | None) -> Iterator[Level]:
-    """Levels 2 to order; with contexts, histories and counted words are these alone."""
-    word = word_codes(tokens.words)[tokens.ids]
-    counted = np.ones(len(word), dtype=bool) if contexts is None else np.array([w in contexts for w in tokens.words])[tokens.ids]
-    code, state = word, counted
+    end: np.ndarray
+
+
+def _grouped(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs in sorted order, and where a new pair begins there."""
+    size = len(major)
+    if not size:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    high, bits = int(major.max()) + 1, (size - 1).bit_length()
+    low = int(minor.max()) + 1
+    if (high * low - 1).bit_length() + bits <= 64:
+        # pair and place in one number, which sorts several times faster than places do
+        key = (major.astype(np.uint64) * _U(low) + minor.astype(np.uint64)) << _U(bits) | np.arange(size, dtype=np.uint64)
+        key.sort()
+        order = (key & _U((1 << bits) - 1)).astype(np.int64)
+        key >>= _U(bits)
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort((minor, major))
+        new = (major[order][1:] != major[order][:-1]) | (minor[order][1:] != minor[order][:-1])
+    return order, np.flatnonzero(np.concatenate(([True], new)))
+
+
+def levels_of(part: Part, order: int) -> Iterator[Level]:
+    """Levels 1 (single words after the empty history) to order, one after another."""
+    size = len(part.ids)
+    lead = part.place == 0
+    own = np.where(lead, -1, part.ids)
+    n = np.bincount(part.ids[~lead & part.learned], minlength=len(part.words))
+    end = np.zeros(len(part.words), dtype=np.int64)
+    end[part.ids] = np.arange(size)
+    zeros = np.zeros(len(part.words), dtype=np.int64)
+    level = Level(own, part.words, n, zeros, zeros, np.zeros(1, dtype=np.uint64), end)
+    yield level
     for k in range(2, order + 1):
-        at = np.flatnonzero(state[:-1] & (tokens.place[1:] >= k - 1)) + 1
-        grams, first, gram = np.unique(longer(code[at - 1], word[at]), return_index=True, return_inverse=True)
-        n = np.bincount(gram, tokens.train[at] & counted[at], len(grams)).astype(np.int64)
-        states, history = np.unique(code[at - 1][first], return_inverse=True)
-        yield Level(at, gram, grams, first, n, states, history)
-        code, state = np.zeros_like(word), np.zeros(len(word), dtype=bool)
-        code[at], state[at] = grams[gram], counted[at]
+        # the history of the first word is the end before the text
+        at = np.flatnonzero(part.place >= k - 1)
+        history = (part.ids if k == 2 else level.gram)[at - 1]
+        by, first = _grouped(history, part.ids[at])
+        number = np.empty(len(at), dtype=np.int32)
+        number[by] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.concatenate((first, [len(by)]))))
+        gram = np.full(size, -1, dtype=np.int32)
+        gram[at] = number
+        end = at[by[first]]
+        state = history[by[first]]
+        n = np.bincount(number[part.learned[at]], minlength=len(first))
+        level = Level(gram, longer(level.code[state], part.words[part.ids[end]]), n, state, level.gram[end], level.code, end)
+        yield level
 
 
 @dataclass
 class BackoffAutomaton:
-    """States are the root and one per history of up to order - 1 words; an arc reads a word, a failure arc leads to the history less its first word at a cost.
+    """A weighted automaton over the n-grams of a part: a state for each history of 0 to order - 1 words, an arc for each n-gram, a failure arc for each state.
+
+    The state after reading an n-gram is its longest suffix that is a known
+    history. From a state, the word is read along the arc of history and word if
+    that n-gram was learned, and else the failure arc leads, at a cost, to the
+    history less its first word, and so on to the root, which reads every word.
 
-    Smoothing is Witten-Bell's: a history h with c tokens of n types after it
-    reads w at (count(h w) + n P(w)) / (c + n), where P is that of the shorter
-    history, and fails at n / (c + n). The shortest history fails to the root,
-    which reads w at P(w). The root discounts counts absolutely, and gives what
-    that saves to unknown words. The probabilities from each state sum to one.
+    Smoothing is Witten-Bell's: a history h with c tokens of t types after it
+    reads w at (count(h w) + t P(w)) / (c + t), where P is that of the shorter
+    history, and fails at t / (c + t). The root discounts counts absolutely, and
+    gives what that saves to unknown words. Probabilities from each state sum to one.
     """
 
     levels: list[Level]
+    #: By level, log10 of the arcs; of the failure arcs of the states, which are histories; and whether a state is known.
     arcs: list[np.ndarray]
     fail: list[np.ndarray]
+    known: list[np.ndarray]
 
     @classmethod
     def build(cls, levels: list[Level], after: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray) -> BackoffAutomaton:
-        """levels: with counts of the whole corpus; after: tokens and types after the states of each; root: P of each token at the root."""
-        p, arcs, fail = root.copy(), [], []
-        for level, (tokens, types) in zip(levels, after, strict=True):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                t = types[level.history]
-                read = (level.n + t * p[level.at[level.first]]) / (tokens[level.history] + t)
-                arcs.append(np.log10(read))
-                fail.append(np.where(tokens > 0, np.log10(types / (tokens + types)), 0.0))
-            known = tokens[level.history] > 0
-            p[level.at] = np.where(known[level.gram], read[level.gram], p[level.at])
-        return cls(levels, arcs, fail)
-
-    def traverse(self, root: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; root: that at the root.
-
-        The state before a token is the longest known history, wherever it was
-        reached from, so all tokens start from theirs at once: each reads an arc
-        or takes the failure arc to the next shorter history, down to the root.
+        """levels: with counts of the whole corpus; after: tokens and types after the states of levels 2 and on; root: P of each word."""
+        p, arcs, fail, known = root, [np.log10(root)], [np.zeros(1)], [np.ones(1, dtype=bool)]
+        for level, (tokens, types) in zip(levels[1:], after, strict=True):
+            known.append(tokens > 0)
+            t, c = types[level.state], tokens[level.state]
+            # from an unknown history all goes on as from the shorter one
+            p = np.where(c > 0, (level.n + t * p[level.below]) / np.maximum(c + t, 1), p[level.below])
+            with np.errstate(divide="ignore"):
+                arcs.append(np.log10(p))
+                fail.append(np.where(tokens > 0, np.log10(types / np.maximum(tokens + types, 1)), 0.0))
+        return cls(levels, arcs, fail, known)
+
+    def traverse(self, part: Part, segment: int = SEGMENT) -> np.ndarray:
+        """log10 probability of each token, by one walk from left to right that carries the state.
+
+        Walks start at the texts, and in long texts again after each segment
+        tokens, from the state that the tokens before lead to; all walks take
+        a step at a time together. A state is a history's length and its place
+        among the states of that length.
         """
-        total, waiting = np.zeros(len(root)), np.ones(len(root), dtype=bool)
-        for level, arcs, fail in zip(self.levels[::-1], self.arcs[::-1], self.fail[::-1], strict=True):
-            here = waiting[level.at]
-            at, gram = level.at[here], level.gram[here]
-            known = level.n[gram] > 0
-            total[at] += np.where(known, arcs[gram], fail[level.history[gram]])
-            waiting[at[known]] = False
-        total[waiting] += root[waiting]
+        top = len(self.levels) - 1
+        total = np.zeros(len(part.ids))
+        pieces = -(-(part.sizes - 1) // segment)
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(part.starts + 1, pieces) + nth * segment
+        size = np.minimum(segment, np.repeat(part.starts + part.sizes, pieces) - begin)
+        by_size = np.argsort(-size, kind="stable")
+        begin, size = begin[by_size], size[by_size]
+        walking = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
+        depth = self._depth(begin, np.full(len(begin), top))
+        for step, n in enumerate(walking.tolist()):
+            at, depth = begin[:n] + step, depth[:n]
+            here = depth.copy()
+            for k in range(top, 0, -1):
+                on = np.flatnonzero(here == k)
+                level, gram = self.levels[k], self.levels[k].gram[at[on]]
+                learned = level.n[gram] > 0
+                total[at[on]] += np.where(learned, self.arcs[k][gram], self.fail[k][level.state[gram]])
+                here[on] = np.where(learned, -1, k - 1)
+            on = at[here == 0]
+            total[on] += self.arcs[0][self.levels[0].gram[on]]
+            if step + 1 < len(walking):
+                more = walking[step + 1]
+                depth = self._depth(at[:more] + 1, np.minimum(depth[:more] + 1, top))
         return total
 
+    def _depth(self, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The length of the state before the tokens at: the longest known history, at most `most` long."""
+        depth = np.zeros(len(at), dtype=np.int64)
+        for k in range(1, len(self.levels)):
+            gram = self.levels[k].gram[at]
+            fits = np.flatnonzero((gram >= 0) & (most >= k))
+            depth[fits[self.known[k][self.levels[k].state[gram[fits]]]]] = k
+        return depth
+
+
+_PART = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("doc_id", "known", "train", "sizes", "words", "ids", "often", "often_n"))])
+_OFTEN = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+#: What a part asks a group about n-grams of one length: their codes by history, the histories, how many n-grams each has, and how often the part has learned each; and tokens and types after histories that it doesn't ask about.
+_ASK = pa.schema([("to", pa.int64()), ("part", pa.int64()), ("k", pa.int64()), *((c, pa.binary()) for c in ("code", "n", "history", "followers", "rest", "rest_n", "rest_types"))])
+#: What the group answers, in the order asked: twice the counts, plus one if another part has the n-gram too; and tokens and types after the histories, then after the rest. Rows without a part are sums after wide histories, or counts of words.
+_TOLD = pa.schema([("part", pa.int64()), ("to", pa.int64()), ("k", pa.int64()), *((c, pa.binary()) for c in ("n", "after", "types", "state"))])
+_WIDE, _WORDS = -1, -2
+
+
+def _part_of(row: dict) -> Part:
+    signed = plain(row["doc_id"]).view(np.int64)
+    return Part(signed, plain(row["known"]) > 0, plain(row["train"]) > 0, plain(row["sizes"]).astype(np.int64), plain(row["words"]), plain(row["ids"]).view(np.int32))
+
+
+def _often(part: Part, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams shorter than order that have WIDE_SHARE of the part's tokens; at most order / WIDE_SHARE of them."""
+    least = max(2, WIDE_SHARE * len(part.ids))
+    held = np.bincount(part.ids, minlength=len(part.words))
+    frequent = held >= least
+    found, at, code = [(part.words[frequent], held[frequent])], np.flatnonzero(frequent[part.ids]), part.words[part.ids]
+    on = np.zeros(len(part.ids), dtype=bool)
+    on[at] = True
+    word, codes = code, code.copy()
+    for k in range(2, order):
+        at = np.flatnonzero(on[:-1] & frequent[part.ids[1:]] & (part.place[1:] >= k - 1)) + 1
+        own = longer(codes[at - 1], word[at])
+        grams, which, n = np.unique(own, return_inverse=True, return_counts=True)
+        found.append((grams[n >= least], n[n >= least]))
+        on, codes = np.zeros(len(part.ids), dtype=bool), codes.copy()
+        on[at], codes[at] = (n >= least)[which], own
+    return np.concatenate([c for c, _ in found]), np.concatenate([n for _, n in found])
 
-_PARTS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("train", pa.bool_()), ("packed", pa.binary()), ("n_bytes", pa.int64())])
-_UNIGRAMS = pa.schema([("word", pa.binary()), ("part", pa.int64()), ("n", pa.int64())])
-#: What a part sends to a group: n-grams with history and count, and tokens and types after histories that it does not send. All as packed numbers.
-_SENT = pa.schema([("to", pa.int64()), ("part", pa.int64()), *((c, pa.binary()) for c in ("code", "h", "followers", "n", "rest", "rest_n", "rest_types"))])
-#: What returns to a part: counts of n-grams that others hold as well, and tokens and types after histories.
-_TOLD = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("code", "n", "state", "after", "types"))])
-_STATES = pa.schema([("state", pa.int64()), ("after", pa.int64()), ("types", pa.int64())])
-#: Parts of _TOLD that are none: sums of a group after wide histories, and n-grams that are wide histories of the next length.
-_WIDE, _NEXT = -1, -2
-
-
-def _unpack(packed: bytes, n: int) -> bytes:
-    return pa.decompress(packed, decompressed_size=n, codec="zstd", asbytes=True) if n else b""
-
-
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[bool, bytes, int]]]]:
-    """(part, [(train, packed, n_bytes)]) for runs of rows of one part."""
-    at, group = None, []
-    for part, train, packed, n in rows_of(batches, "part", "train", "packed", "n_bytes"):
-        if part != at and group:
-            yield at, group
-            group = []
-        at = part
-        group.append((train, packed, n))
-    if group:
-        yield at, group
-
-
-def _group(texts: pa.Table) -> list[tuple[bool, bytes, int]]:
-    return list(zip(*(texts.column(c).to_pylist() for c in ("train", "packed", "n_bytes")), strict=True))
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
-        for part, group in _by_part(batches):
-            seen: Counter[bytes] = Counter()
-            other: set[bytes] = set()
-            for train, packed, n in group:
-                words = tokens_of(_unpack(packed, n))
-                if train:
-                    seen.update(words)
-                else:
-                    other.update(words)
-            for w, n in seen.items():
-                yield w, part, n
-            for w in other:
-                if w not in seen:
-                    yield w, part, 0
-
-    yield from emitter(_UNIGRAMS, rows(), size=20_000)
-
-
-def _packed(x: np.ndarray) -> bytes:
-    """Numbers of eight bytes, first bytes first: what is sorted or small takes little."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
-
-
-def _plain(packed: bytes | None, dtype: type = np.uint64) -> np.ndarray:
-    if not packed:
-        return np.empty(0, dtype=dtype)
-    planes = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T).view(dtype).ravel()
-
-
-def _numbers(table: pa.Table, name: str, dtype: type = np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """The packed numbers of all rows, and how many each row has."""
-    own = [_plain(x, dtype) for x in table.column(name).to_pylist()]
-    return np.concatenate([np.empty(0, dtype=dtype), *own]), np.array([len(x) for x in own], dtype=np.int64)
-
-
-def _places(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where codes are in sorted_codes, and which are."""
-    if not len(sorted_codes):
-        return np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
-    return at, sorted_codes[at] == codes
 
+@dataclass
+class Question:
+    """What of a level a part asks: the n-grams by group, their groups and where a history begins; and histories of which it only tells what follows."""
 
-def _sent(part: int, level: Level, shorter: tuple[Level, np.ndarray] | None, wide: np.ndarray, groups: int) -> pa.RecordBatch:
-    """A part's n-grams by group: that of the history, or of the n-gram itself if its history is wide.
+    grams: np.ndarray
+    to: np.ndarray
+    head: np.ndarray
+    rest: np.ndarray
+    rest_to: np.ndarray
 
-    shorter: the level below and the n-grams of it that other parts hold as
-    well. An n-gram without two such is in no other part and is not sent, but
-    counted as rest if others hold its history.
-    """
-    h = level.states[level.history]
-    send, rest = np.ones(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
-    if shorter is not None:
-        below, shared = shorter
-        last = np.empty(int(below.at.max(initial=-1)) + 1, dtype=np.uint64)
-        last[below.at] = below.code[below.gram]
-        held = _places(shared, h)[1]
-        send = held & _places(shared, last[level.at[level.first]])[1]
-        rest = held & ~send
-    code, n, own = level.code[send], level.n[send], h[send]
-    to = (np.where(_places(wide, own)[1], code, own) % np.uint64(groups)).astype(np.int64)
-    states, inverse = np.unique(h[rest], return_inverse=True)
-    rest_n, rest_types = np.bincount(inverse, level.n[rest], len(states)), np.bincount(inverse, level.n[rest] > 0, len(states))
-    rest_to = (states % np.uint64(groups)).astype(np.int64)
-    order, rest_order = np.lexsort((own, to)), np.argsort(rest_to, kind="stable")
-    bounds, rest_bounds = np.searchsorted(to[order], np.arange(groups + 1)), np.searchsorted(rest_to[rest_order], np.arange(groups + 1))
-    used = np.flatnonzero((np.diff(bounds) > 0) | (np.diff(rest_bounds) > 0))
-    columns = [pa.array(used, type=pa.int64()), pa.array(np.full(len(used), part), type=pa.int64())]
-    own, to = own[order], to[order]
-    head = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (to[1:] != to[:-1])))) if len(own) else np.empty(0, dtype=np.int64)
-    followers, head_bounds = np.diff(np.concatenate((head, [len(own)]))), np.searchsorted(to[head], np.arange(groups + 1))
-    for x, b in ((code[order], bounds), (own[head], head_bounds), (followers, head_bounds), (n[order], bounds), (states[rest_order], rest_bounds), (rest_n[rest_order], rest_bounds), (rest_types[rest_order], rest_bounds)):
-        x = x.astype(np.uint64)
-        columns.append(pa.array([_packed(x[b[g] : b[g + 1]]) for g in used], type=pa.binary()))
-    return pa.RecordBatch.from_arrays(columns, schema=_SENT)
-
-
-def _told(wide: np.ndarray, wide_next: float):
+    @classmethod
+    def of(cls, level: Level, k: int, shared: np.ndarray | None, wide: np.ndarray, groups: int) -> Question:
+        """shared: which n-grams of the level below other parts have too. An n-gram that holds one that no other part has is in no other part."""
+        send = np.arange(len(level.code)) if shared is None else np.flatnonzero(shared[level.state] & shared[level.below])
+        state = level.state[send]
+        own = level.code[send] if k == 1 else level.states[state]
+        if k > 1 and len(wide):
+            own = np.where(np.isin(level.states, wide)[state], level.code[send], own)
+        to = own % _U(groups)
+        by = _grouped(to, np.arange(len(to)))[0]
+        to, state = to[by].astype(np.int64), state[by]
+        head = np.flatnonzero(np.concatenate(([True], (state[1:] != state[:-1]) | (to[1:] != to[:-1])))) if len(to) else np.empty(0, dtype=np.int64)
+        rest = np.empty(0, dtype=np.int64)
+        if shared is not None:
+            rest = np.unique(level.state[shared[level.state] & ~shared[level.below]])
+        rest_to = (level.states[rest] % _U(groups)).astype(np.int64)
+        return cls(send[by], to, head, rest[np.argsort(rest_to, kind="stable")], np.sort(rest_to))
+
+    def rows(self, level: Level, k: int, part: int, groups: int, shared: np.ndarray | None) -> pa.RecordBatch:
+        state = level.state[self.grams]
+        n_rest = types_rest = np.empty(0, dtype=np.uint32)
+        if len(self.rest):
+            here = np.flatnonzero(shared[level.state] & ~shared[level.below])
+            n_rest, types_rest = (small(np.bincount(level.state[here], x, len(level.states))[self.rest].astype(np.int64)) for x in (level.n[here], level.n[here] > 0))
+        every, heads, rests = (np.searchsorted(x, np.arange(groups + 1)) for x in (self.to, self.to[self.head], self.rest_to))
+        used = np.flatnonzero((np.diff(every) > 0) | (np.diff(rests) > 0))
+        columns = [pa.array(used), *(pa.array(np.full(len(used), v), type=pa.int64()) for v in (part, k))]
+        followers = small(np.diff(np.concatenate((self.head, [len(self.to)]))))
+        sent = [(level.code[self.grams], every), (small(level.n[self.grams]), every)]
+        sent += [(level.states[state[self.head]], heads), (followers, heads)] if k > 1 else [(followers[:0], np.zeros(groups + 1, dtype=np.int64))] * 2
+        sent += [(level.states[self.rest], rests), (n_rest, rests), (types_rest, rests)]
+        columns += [pa.array([packed(x[b[g] : b[g + 1]]) for g in used], type=pa.binary()) for x, b in sent]
+        return pa.RecordBatch.from_arrays(columns, schema=_ASK)
+
+
+def _sum_group(wide: np.ndarray):
     def reduce(table: pa.Table) -> pa.Table:
-        """Sums over a group's n-grams, and who must be told what."""
-        parts = table.column("part").to_numpy()
-        code, sizes = _numbers(table, "code")
-        part, n = np.repeat(parts, sizes), _numbers(table, "n", np.int64)[0]
-        h = np.repeat(_numbers(table, "h")[0], _numbers(table, "followers", np.int64)[0])
-        rest, sizes = _numbers(table, "rest")
-        rest_part, rest_n, rest_types = np.repeat(parts, sizes), _numbers(table, "rest_n")[0], _numbers(table, "rest_types")[0]
-        order = np.argsort(code, kind="stable")
-        part, code, h, n = part[order], code[order], h[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.empty(0, dtype=np.int64)
-        holders = np.diff(np.concatenate((first, [len(code)])))
-        totals = np.add.reduceat(n, first) if len(first) else n
-        tell, each = np.repeat(holders > 1, holders), np.repeat(totals, holders)
-        states = np.unique(np.concatenate((h[first], rest)))
-        own, others = np.searchsorted(states, h[first]), np.searchsorted(states, rest)
-        after = (np.bincount(own, totals, len(states)) + np.bincount(others, rest_n, len(states))).astype(np.int64)
-        types = (np.bincount(own, totals > 0, len(states)) + np.bincount(others, rest_types, len(states))).astype(np.int64)
-        is_wide = _places(wide, states)[1]
-        names, which = np.unique(np.concatenate((part, rest_part)), return_inverse=True)
-        pairs = np.unique(np.searchsorted(states, np.concatenate((h, rest))) * len(names) + which)
-        state, of = pairs // max(len(names), 1), names[pairs % max(len(names), 1)] if len(pairs) else pairs
-        told = ~is_wide[state]
-        state, of = state[told], of[told]
-        often = totals >= wide_next
-        grams = [(_NEXT, code[first][often], totals[often]), *_split(part[tell], code[tell], each[tell])]
-        about = [(_WIDE, states[is_wide], after[is_wide], types[is_wide]), *_split(of, states[state], after[state], types[state])]
-        rows = {p: [_packed(c), _packed(t), b"", b"", b""] for p, c, t in grams}
-        for p, *x in about:
-            rows.setdefault(p, [b""] * 5)[2:] = [_packed(y) for y in x]
-        columns = zip(*((p, *x) for p, x in rows.items()), strict=True)
-        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _TOLD, strict=True)], schema=_TOLD)
+        """Sums over a group's n-grams, and answers to every part in the order in which it asked."""
+        rows = table.to_pylist()
+        out = []
+        for k in sorted({r["k"] for r in rows}):
+            mine = [r for r in rows if r["k"] == k]
+            code, sizes = _unpacked(mine, "code")
+            by, first = _grouped_codes(code)
+            which = np.empty(len(code), dtype=np.int64)
+            which[by] = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(by)]))))
+            total = np.bincount(which, counts(mine, "n"), len(first)).astype(np.int64)
+            several = np.bincount(which, minlength=len(first)) > 1
+            sums = np.split((total * 2 + several)[which], np.cumsum(sizes)[:-1])
+            after, types = [None] * len(mine), [None] * len(mine)
+            if k == 1:
+                out.append({"part": _WORDS, "k": 1, "n": packed(np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], dtype=np.uint64))})
+            else:
+                history, heads = _unpacked(mine, "history")
+                rest, rests = _unpacked(mine, "rest")
+                states, place = np.unique(np.concatenate((history, rest)), return_inverse=True)
+                state = np.empty(len(first), dtype=np.int64)
+                state[which] = np.repeat(place[: len(history)], counts(mine, "followers"))
+                place_rest = place[len(history) :]
+                tokens = (np.bincount(state, total, len(states)) + np.bincount(place_rest, counts(mine, "rest_n"), len(states))).astype(np.int64)
+                kinds = (np.bincount(state, total > 0, len(states)) + np.bincount(place_rest, counts(mine, "rest_types"), len(states))).astype(np.int64)
+                is_wide = np.isin(states, wide)
+                if is_wide.any():
+                    out.append({"part": _WIDE, "k": k, "state": packed(states[is_wide]), "after": packed(tokens[is_wide]), "types": packed(kinds[is_wide])})
+                asked = zip(np.split(place[: len(history)], np.cumsum(heads)[:-1]), np.split(place_rest, np.cumsum(rests)[:-1]), strict=True)
+                answers = [np.concatenate(x) for x in asked]
+                after, types = ([packed(small(x[a])) for a in answers] for x in (tokens, kinds))
+            out += [{"part": r["part"], "to": r["to"], "k": k, "n": packed(small(s)), "after": a, "types": t} for r, s, a, t in zip(mine, sums, after, types, strict=True)]
+        return pa.Table.from_pylist(out, schema=_TOLD)
 
     return reduce
 
 
-def _split(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    order = np.argsort(part, kind="stable")
-    names, at = np.unique(part[order], return_index=True)
-    for p, low, high in zip(names, at, [*at[1:], len(part)][: len(names)], strict=True):
-        yield int(p), *(c[order[low:high]] for c in columns)
-
-
-def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        yield pa.RecordBatch.from_arrays([pa.array(_numbers(t, c, np.int64)[0]) for c in ("state", "after", "types")], schema=_STATES)
-
-
-def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, context_share: float | None = None, part_bytes: int = PART_BYTES, order: int = 2) -> DataFrame:
+def _unpacked(rows: list[dict], name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all rows one after another, and how many each row has."""
+    own = [plain(r[name]) for r in rows]
+    return np.concatenate([np.empty(0, dtype=np.uint64), *own]), np.array([len(x) for x in own], dtype=np.int64)
+
+
+def _grouped_codes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    by = np.argsort(code)
+    if not len(by):
+        return by, by
+    return by, np.flatnonzero(np.concatenate(([True], code[by][1:] != code[by][:-1])))
+
+
+def _answered(level: Level, k: int, rows: list[dict], asked: Question, wide: tuple[np.ndarray, ...] | None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+    """Puts the corpus's counts in the level; returns which n-grams other parts have too, and tokens and types after the states."""
+    shared = np.zeros(len(level.code), dtype=bool)
+    if k > 1:
+        after = [np.bincount(level.state, x, len(level.states)).astype(np.int64) for x in (level.n, level.n > 0)]
+    rows = sorted(rows, key=lambda r: r["to"])
+    said = counts(rows, "n")
+    level.n = level.n.copy()
+    level.n[asked.grams], shared[asked.grams] = said >> 1, said & 1 == 1
+    if k == 1 or wide is None:
+        return shared, None
+    heads = level.state[asked.grams][asked.head]
+    # a group answers about histories first and then about the rest
+    to = np.concatenate((asked.to[asked.head], asked.rest_to))
+    states = np.concatenate((heads, asked.rest))[np.argsort(to, kind="stable")]
+    for x, name in zip(after, ("after", "types"), strict=True):
+        x[states] = counts(rows, name)
+    names, *sums = wide
+    if len(names):
+        at = np.minimum(np.searchsorted(names, level.states), len(names) - 1)
+        hit = np.flatnonzero(names[at] == level.states)
+        for x, v in zip(after, sums, strict=True):
+            x[hit] = v[at[hit]]
+    return shared, tuple(after)
+
+
+def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, part_bytes: int = PART_BYTES, order: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs.
 
     Tokens are the words of the text lower-cased in A-Z, and one end. The model
     learns from all documents outside the held-out fold (crc32 of the doc_id as
-    text, modulo folds): counts of every word, and of every n-gram of 2 to order
-    words, however rare. Only a caller who sets context_share thins the model
-    out, to n-grams of words that all occur twice and have this share of the tokens.
-    score is the automaton's log10 probability of the whole text, base_score
-    that of add-one smoothed words.
-
-    Texts are dealt into parts of about part_bytes where they lie. Each part
-    sends the distinct words, then n-grams, that it holds; these are summed over
-    the corpus, and sums return to the parts that hold what other parts hold as
-    well (what is in one part alone, this part has counted itself). So a part
-    builds the automaton of its own n-grams with weights from the whole corpus,
-    and no task needs more than its part's share of the model. Word counts are
-    exact; n-grams go by 64-bit codes, of which two among n are the same with a
-    chance of about n * n / 2 ** 65. Steps hand over tables in the shared folder.
-
-    A null or empty text is an end alone; rows with one doc_id are scored and
-    counted one by one; a null doc_id counts as the empty text in the fold;
-    extra columns are ignored; without training documents all scores are 0; an
-    empty table gives no rows.
+    text, modulo folds): every word, and every n-gram of 2 to order words,
+    however rare. score is the automaton's log10 probability of the whole text,
+    base_score that of add-one smoothed words.
+
+    1. Texts are dealt into parts of about part_bytes where they lie; a part is
+       written as numbers of its words, and the words as 64-bit codes.
+    2. Each part sends its distinct words and pairs, and later its longer n-grams,
+       to groups by the code of their history, so that a group sees all that
+       follows a history. Those of wide histories, which have a large share of all
+       tokens (at most 2 * order / WIDE_SHARE of them), are dealt to all groups,
+       and their sums are broadcast.
+    3. A group sums counts, tokens and types, and answers each part in the order
+       in which it asked, so answers are small numbers without codes.
+    4. Longer n-grams are only sent if other parts have both n-grams that they
+       consist of. The others occur in this part alone, so its own count is the
+       corpus's; what they add to a history that others have too is sent as a sum.
+    5. Each part builds the automaton of its own n-grams with the weights of the
+       whole corpus, and walks its texts.
+
+    No task needs more than a part and its n-grams, or a group. Two n-grams, or
+    two words, among n have the same code with a chance of about n * n / 2 ** 65;
+    counts are otherwise exact. Steps hand over tables in the shared folder.
+
+    A null or empty text is an end alone; a text longer than a part is a part;
+    rows with one doc_id are scored and counted one by one; a null doc_id counts
+    as the empty text in the fold; extra columns are ignored; without training
+    documents all scores are 0; an empty table gives no rows.
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            part, held = TaskContext.get().partitionId() << 32, 0
-            for doc_id, text in rows_of(batches, "doc_id", "text"):
-                if held > part_bytes:
-                    part, held = part + 1, 0
-                held += len(text or b"") + 1
-                yield doc_id, part, crc_bucket(doc_id, folds) != held_out_fold, pa.compress(text, codec="zstd", asbytes=True) if text else b"", len(text or b"")
-
-        yield from emitter(_PARTS, rows(), weigh=lambda r: len(r[3]))
-
-    body = sources(docs, doc_id=F.col("doc_id").cast("long"), text=text_bytes())
-    parts = written(body.mapInArrow(deal, spark_schema(_PARTS)), "lm-parts")
-
-    words = parts.mapInArrow(_count_words, spark_schema(_UNIGRAMS)).groupBy("word").agg(F.sum("n").alias("n"), F.collect_list("part").alias("parts"))
-    words = written(words.where("n > 0"), "lm-words")
-    total, types, once, twice = (int(x or 0) for x in words.agg(F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first())
-    discount = once / (once + 2 * twice) if once else 0.5
-    often = max(2.0, WIDE_SHARE * total)
-    groups = max(2 * scale_partitions(spark), total // _GROUP_ROWS + 1)
-    only = None
-    if context_share is not None:
-        only = spark.sparkContext.broadcast({bytes(r[0]) for r in words.where(F.col("n") >= max(2.0, context_share * total)).select("word").collect()})
-    wide = np.sort(word_codes([bytes(r[0]) for r in words.where(F.col("n") >= often).select("word").collect()]))  # at most 1 / WIDE_SHARE
-
-    def levels(group: list[tuple[bool, bytes, int]], k: int) -> tuple[Tokens, list[Level]]:
-        tokens = Tokens(group)
-        return tokens, list(levels_of(tokens, k, only and only.value))
-
-    def pairs(wide_of):
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, group in _by_part(batches):
-                yield _sent(part, levels(group, 2)[1][-1], None, wide_of.value, groups)
+        number = count(TaskContext.get().partitionId() << 32)
+
+        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids, sizes, words = _words(table.column("text").combine_chunks())
+            doc_id = table.column("doc_id")
+            train = np.array([crc_bucket(d, folds) != held_out_fold for d in doc_id.to_pylist()], dtype=np.uint8)
+            known = doc_id.is_valid().to_numpy().astype(np.uint8)
+            part = Part(doc_id.fill_null(0).to_numpy(), known > 0, train > 0, sizes, words, ids)
+            columns = (part.doc_id.view(np.uint64), known, train, small(sizes), words, ids.view(np.uint32), *_often(part, order))
+            return pa.RecordBatch.from_pylist([dict(zip(_PART.names, (next(number), *map(packed, columns)), strict=True))], schema=_PART)
+
+        held, size = [], 0
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+            at, done = 0, 0
+            while at < batch.num_rows:
+                upto = min(int(np.searchsorted(ends, done + part_bytes - size)) + 1, batch.num_rows)
+                held.append(batch.slice(at, upto - at))
+                size += int(ends[upto - 1]) - done
+                at, done = upto, int(ends[upto - 1])
+                if size >= part_bytes:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    body = sources(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text").cast("string"))
+    parts = written(body.mapInArrow(deal, spark_schema(_PART)), "lm-parts")
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Under code 0, how many tokens parts have."""
+        for r in _rows(batches):
+            code, n = plain(r["often"]).view(np.int64), plain(r["often_n"]).view(np.int64)
+            tokens = plain(r["sizes"]).astype(np.int64).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([0], code))), pa.array(np.concatenate(([tokens], n)))], schema=_OFTEN)
+
+    often = written(parts.select("sizes", "often", "often_n").mapInArrow(frequent, spark_schema(_OFTEN)).groupBy("code").agg(F.sum("n").alias("n")), "lm-often")
+    tokens = next((r[0] for r in often.where("code = 0").select("n").collect()), 0)
+    # the sums miss parts where a history has less than its share, so half of it is asked for; at most 2 * order / WIDE_SHARE rows
+    wide = np.sort(np.array([r[0] for r in often.where(f"code <> 0 and n >= {WIDE_SHARE / 2 * tokens!r}").select("code").collect()], dtype=np.int64).view(np.uint64))
+    discard(often)
+    parts = parts.drop("often", "often_n")
+    wide_of = spark.sparkContext.broadcast(wide)
+    groups = max(scale_partitions(spark), int(tokens // group_rows) + 1)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            for k, level in enumerate(levels_of(_part_of(row), 2), 1):
+                yield Question.of(level, k, None, wide_of.value, groups).rows(level, k, row["part"], groups, None)
+
+    def longer_ones(k: int):
+        def send(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            row = texts.to_pylist()[0]
+            part = _part_of(row)
+            level = None
+            for j, level in enumerate(levels_of(part, k), 1):
+                if j == k:
+                    break
+                if j == 1:
+                    shared = None
+                    continue
+                # answers about this length say which of its n-grams other parts have
+                question = Question.of(level, j, shared, wide_of.value, groups)
+                shared, _ = _answered(level, j, [r for r in answers.to_pylist() if r["k"] == j], question, None)
+            return pa.Table.from_batches([Question.of(level, k, shared, wide_of.value, groups).rows(level, k, row["part"], groups, shared)])
 
         return send
 
-    def grams(k: int, wide_of):
-        def send(texts: pa.Table, answers: pa.Table) -> pa.Table:
-            below, level = levels(_group(texts), k)[1][-2:]
-            return pa.Table.from_batches([_sent(texts.column("part")[0].as_py(), level, (below, np.unique(_numbers(answers, "code")[0])), wide_of.value, groups)])
+    def answered(asked: DataFrame, k: int) -> DataFrame:
+        return written(asked.groupBy("to").applyInArrow(_sum_group(wide), spark_schema(_TOLD)), f"lm-told-{k}")
 
-        return send
+    told = answered(parts.mapInArrow(first, spark_schema(_ASK)), 2)
+    for k in range(3, order + 1):
+        about = told.where(f"part >= 0 and k between 2 and {k - 1}").select("part", "to", "k", "n")
+        more = answered(parts.groupBy("part").cogroup(about.groupBy("part")).applyInArrow(longer_ones(k), spark_schema(_ASK)), k)
+        told = told.unionByName(more)
 
-    told, after_wide = [], {}
+    # a row for each group
+    stats = [plain(bytes(r[0])) for r in told.where(f"part = {_WORDS}").select("n").collect()]
+    total, types, once, twice = (int(x) for x in np.sum(stats, axis=0)) if stats else (0, 0, 0, 0)
+    discount = once / (once + 2 * twice) if once else 0.5
+    sums: defaultdict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
+    # a row for each group and length, with the wide histories that it saw
+    for r in told.where(f"part = {_WIDE}").select("k", "state", "after", "types").toLocalIterator():
+        for s, a, t in zip(*(plain(bytes(x)).tolist() for x in r[1:]), strict=True):
+            sums[r[0], s][0] += a
+            sums[r[0], s][1] += t
+    after_wide = {}
     for k in range(2, order + 1):
-        wide_of = spark.sparkContext.broadcast(wide)
-        if k == 2:
-            sent = parts.mapInArrow(pairs(wide_of), spark_schema(_SENT))
-        else:
-            sent = parts.groupBy("part").cogroup(told[-1].where("part >= 0").groupBy("part")).applyInArrow(grams(k, wide_of), spark_schema(_SENT))
-        told.append(written(sent.groupBy("to").applyInArrow(_told(wide, often), spark_schema(_TOLD)), f"lm-told-{k}"))
-        sums = told[-1].where(f"part = {_WIDE}").select("state", "after", "types").mapInArrow(_states, spark_schema(_STATES))
-        sums = sums.groupBy("state").agg(F.sum("after"), F.sum("types")).collect()  # one row for each wide history
-        columns = [np.array(c, dtype=np.int64) for c in zip(*sums, strict=True)] or [np.empty(0, dtype=np.int64)] * 3
-        by_code = np.argsort(columns[0].view(np.uint64))
-        after_wide[k] = (columns[0].view(np.uint64)[by_code], columns[1][by_code], columns[2][by_code])
-        if k < order:
-            wide = np.sort(np.concatenate([np.empty(0, dtype=np.uint64), *(_plain(bytes(r[0])) for r in told[-1].where(f"part = {_NEXT}").select("code").collect())]))
+        own = sorted((s, *v) for (j, s), v in sums.items() if j == k)
+        after_wide[k] = tuple(np.array(c, dtype=t) for c, t in zip(zip(*own, strict=True), (np.uint64, np.int64, np.int64), strict=True)) if own else (np.empty(0, dtype=np.uint64), *[np.empty(0, dtype=np.int64)] * 2)
     model = spark.sparkContext.broadcast(after_wide)
 
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens, found = levels(_group(texts), order)
-        kind = answers.column("k").to_numpy()
-        own = answers.filter(pa.array(kind == 1))
-        times = dict(zip(own.column("word").to_pylist(), own.column("times").to_pylist(), strict=True))
-        c = np.array([times.get(w, 0) for w in tokens.words], dtype=float)
-        with np.errstate(divide="ignore"):
-            p = np.where(c > 0, (c - discount) / max(total, 1), discount * types / total if total else 1.0)[tokens.ids]
-            base = np.log10((c + 1) / (total + types + 1))[tokens.ids]
-        after = []
-        for k, level in enumerate(found, 2):
-            own = answers.filter(pa.array(kind == k))
-            state_tokens, state_types = level.after()
-            at, known = _places(level.code, _numbers(own, "code")[0])
-            level.n[at[known]] = _numbers(own, "n", np.int64)[0][known]
-            for states, n, t in ((_numbers(own, "state")[0], _numbers(own, "after", np.int64)[0], _numbers(own, "types", np.int64)[0]), model.value[k]):
-                at, known = _places(level.states, states)
-                state_tokens[at[known]], state_types[at[known]] = n[known], t[known]
-            after.append((state_tokens, state_types))
-        each = BackoffAutomaton.build(found, after, p).traverse(np.log10(p))
-        lead = tokens.place == 0
-        each[lead] = base[lead] = 0.0
-        seen = (c > 0)[tokens.ids] & ~lead
-        n_tokens, n_known = (np.add.reduceat(x.astype(np.int64), tokens.starts) for x in (~lead, seen))
-        scores = [np.add.reduceat(x, tokens.starts) for x in (base, each)]
-        held_out = [not t for t in texts.column("train").to_pylist()]
-        columns = (texts.column("doc_id").combine_chunks(), held_out, n_tokens, n_known, np.full(len(n_tokens), total), *scores)
-        return pa.Table.from_arrays([pa.array(x, type=f.type) if not isinstance(x, pa.Array) else x for x, f in zip(columns, out, strict=True)], schema=out)
-
-    asked = words.select(F.lit(1).alias("k"), F.explode("parts").alias("part"), "word", F.col("n").alias("times"))
-    for k, answers in enumerate(told, 2):
-        asked = asked.unionByName(answers.where("part >= 0").withColumn("k", F.lit(k)), allowMissingColumns=True)
-    return parts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(score, spark_schema(out))
+        part = _part_of(texts.to_pylist()[0])
+        said = defaultdict(list)
+        for r in answers.to_pylist():
+            said[r["k"]].append(r)
+        levels, after, shared = [], [], None
+        for k, level in enumerate(levels_of(part, order), 1):
+            shared, sums_after = _answered(level, k, said[k], Question.of(level, k, shared if k > 2 else None, wide_of.value, groups), model.value.get(k, ()))
+            levels.append(level)
+            if k > 1:
+                after.append(sums_after)
+        c = levels[0].n.astype(float)
+        root = np.where(c > 0, (c - discount) / max(total, 1), discount * types / total if total else 1.0)
+        each = BackoffAutomaton.build(levels, after, root).traverse(part)
+        real = part.place > 0
+        base = np.where(real, np.log10((c + 1) / (total + types + 1))[part.ids], 0.0)
+        n_tokens, n_known, bases, scores = (np.add.reduceat(x, part.starts) for x in (real.astype(np.int64), (real & (c > 0)[part.ids]).astype(np.int64), base, each))
+        columns = (pa.array(part.doc_id, mask=~part.known), ~part.train, n_tokens, n_known, np.full(len(n_tokens), total), bases, scores)
+        return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(columns, out, strict=True)], schema=out)
+
+    return parts.groupBy("part").cogroup(told.where("part >= 0").select("part", "to", "k", "n", "after", "types").groupBy("part")).applyInArrow(score, spark_schema(out))
+
+
+def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the tokens of the texts, each text led by an end; tokens of each, with that end; and the sorted codes of the words, whose places the numbers are."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    values = split.flatten()
+    full = pc.greater(pc.binary_length(values), 0)
+    upto = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)))
+    offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+    sizes = np.diff(upto[offsets])
+    coded = values.filter(full).dictionary_encode()
+    words = [END, *coded.dictionary.cast(pa.binary()).to_pylist()]
+    codes = np.fromiter(map(word_code, words), dtype=np.uint64, count=len(words))
+    by = np.argsort(codes, kind="stable")
+    rank = np.empty(len(by), dtype=np.int32)
+    rank[by] = np.arange(len(by), dtype=np.int32)
+    ids = np.full(len(coded) + 2 * len(sizes), rank[0], dtype=np.int32)
+    inside = np.ones(len(ids), dtype=bool)
+    sizes = sizes + 2
+    ends = np.cumsum(sizes)
+    inside[ends - sizes] = inside[ends - 1] = False
+    ids[inside] = rank[coded.indices.to_numpy() + 1]
+    return ids, sizes, codes[by]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]

@@ -111,41 +111,8 @@ def fold_of(doc_id, n):
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
 
 
-def language_model(docs, share, folds=7, held=2):
-    """(rows, probability(h, w)) of the Witten-Bell model; h and w as tokens, None for no context or an unknown word."""
-    end = "\n"
-    texts = [(d, fold_of(d, folds) == held, [*words(fold(t)), end]) for d, t in docs]
-    uni = Counter(w for _, out, t in texts if not out for w in t)
-    total, types = sum(uni.values()), len(uni)
-    once, twice = sum(v == 1 for v in uni.values()), sum(v == 2 for v in uni.values())
-    discount = once / (once + 2 * twice) if once else 0.5
-    contexts = {w for w, c in uni.items() if c >= max(2, share * total)}
-    bi = Counter((a, b) for _, out, t in texts if not out for a, b in zip([end, *t], t) if a in contexts and b in contexts)
-    after, kinds = Counter(), Counter()
-    for (a, _), c in bi.items():
-        after[a] += c
-        kinds[a] += 1
-
-    def p_root(w):
-        if not total:
-            return 1.0
-        return (uni[w] - discount) / total if w in uni else discount * types / total
-
-    def p(h, w):
-        if h in contexts and after[h]:
-            return (bi[h, w] * (w in contexts) + kinds[h] * p_root(w)) / (after[h] + kinds[h])
-        return p_root(w)
-
-    rows = []
-    for d, out, t in texts:
-        base = sum(math.log10((uni[w] + 1) / (total + types + 1)) for w in t)
-        score = sum(math.log10(p(h, w)) for h, w in zip([end, *t], t))
-        rows.append((d, out, len(t), sum(w in uni for w in t), total, base, score))
-    return rows, p, uni, contexts
-
-
-def every_gram(docs, order, folds=7, held=2):
-    """The rows of the Witten-Bell model of all n-grams up to order, none left out."""
+def language_model(docs, order, folds=7, held=2):
+    """(rows, probability(history, word), words, histories) of the Witten-Bell model of all n-grams up to order, none left out."""
     texts = [(d, fold_of(d, folds) == held, ["\n", *words(fold(t)), "\n"]) for d, t in docs]
     uni = Counter(w for _, out, t in texts if not out for w in t[1:])
     total, types = sum(uni.values()), len(uni)
@@ -160,14 +127,16 @@ def every_gram(docs, order, folds=7, held=2):
 
     def p(h, w):
         if not h:
-            return (uni[w] - discount) / total if w in uni else discount * types / total
+            return 1.0 if not total else (uni[w] - discount) / total if w in uni else discount * types / total
         if h not in follow:
             return p(h[1:], w)
         return (follow[h][w] + len(follow[h]) * p(h[1:], w)) / (follow[h].total() + len(follow[h]))
 
+    rows = []
     for d, out, t in texts:
         base = sum(math.log10((uni[w] + 1) / (total + types + 1)) for w in t[1:])
-        yield d, out, len(t) - 1, sum(w in uni for w in t[1:]), total, base, sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), t[i])) for i in range(1, len(t)))
+        rows.append((d, out, len(t) - 1, sum(w in uni for w in t[1:]), total, base, sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), t[i])) for i in range(1, len(t)))))
+    return rows, p, uni, list(follow)
 
 
 def line_dedup(docs, min_chars=20, min_docs=3):

@@ -235,36 +235,41 @@ def test_url_filters(spark, none):
     assert {r.verdict for r in url_filters.judge_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
 
 
-def test_language_model(docs, none, rows):
-    want, p, uni, contexts = brute.language_model(rows, 0.002)
-    for size in (12 << 20, 2000):
-        out = lm_scoring.score_texts(docs, context_share=0.002, part_bytes=size).collect()
-        got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out), key=repr)
-        assert got == sorted(((*w[:5], round(w[5], 6), round(w[6], 6)) for w in want), key=repr)
-    for h in [None, *list(contexts)[:20]]:
-        assert abs(sum(p(h, w) for w in uni) + p(h, None) - 1) < 1e-9
-    assert lm_scoring.score_texts(none).count() == 0
-    alone = docs.where("doc_id = 9") if brute.fold_of(9, 7) == 2 else docs.where(f"doc_id = {next(d for d, _ in rows if d is not None and brute.fold_of(d, 7) == 2)}")
-    assert {(r.train_tokens, r.score) for r in lm_scoring.score_texts(alone).collect()} == {(0, 0.0)}
+def scored(df):
+    return sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("wide", [1e-4, 0.01, 1.0])
-def test_language_model_learns_every_pair(docs, rows, monkeypatch, wide):
-    """Rare words are histories too, wherever their pairs are summed."""
+@pytest.mark.parametrize(("order", "wide", "size"), [(3, 2e-4, 8 << 20), (3, 0.01, 2000), (3, 1.0, 2000), (2, 0.02, 700), (4, 0.005, 3000)])
+def test_language_model(docs, rows, monkeypatch, order, wide, size):
+    """Every n-gram is learned, wherever it is summed: with all histories wide, few, and none."""
     monkeypatch.setattr(lm_scoring, "WIDE_SHARE", wide)
-    want = sorted(((d, *x[:-2], *(round(v, 6) for v in x[-2:])) for d, *x in brute.every_gram(rows, 2)), key=repr)
-    for size in (12 << 20, 2000):
-        out = lm_scoring.score_texts(docs, part_bytes=size).collect()
-        assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out), key=repr) == want
+    want = sorted(((*w[:5], round(w[5], 6), round(w[6], 6)) for w in brute.language_model(rows, order)[0]), key=repr)
+    assert scored(lm_scoring.score_texts(docs, part_bytes=size, order=order, group_rows=500)) == want
 
 
-@pytest.mark.parametrize(("order", "wide"), [(3, 1e-4), (3, 0.01), (4, 1.0)])
-def test_language_model_of_longer_histories(docs, rows, monkeypatch, order, wide):
-    monkeypatch.setattr(lm_scoring, "WIDE_SHARE", wide)
-    want = sorted(((d, round(score, 6)) for d, *_, score in brute.every_gram(rows, order)), key=repr)
-    for size in (12 << 20, 2000):
-        out = lm_scoring.score_texts(docs, part_bytes=size, order=order).collect()
-        assert sorted(((r.doc_id, round(r.score, 6)) for r in out), key=repr) == want
+def test_language_model_on_edges(spark, docs, none, rows):
+    _, p, uni, histories = brute.language_model(rows, 3)
+    for h in [(), *histories[:10], *histories[-10:]]:
+        assert abs(sum(p(h, w) for w in uni) + p(h, None) - 1) < 1e-9
+    assert lm_scoring.score_texts(none).count() == 0
+    held = next(d for d, _ in rows if d is not None and brute.fold_of(d, 7) == 2)
+    assert {(r.train_tokens, r.score) for r in lm_scoring.score_texts(docs.where(f"doc_id = {held}")).collect()} == {(0, 0.0)}
+    again = [(3, "a b c a b"), (3, "a b c a b"), (3, "c"), (9, "a b d"), (None, "a b c a b")]
+    want = sorted(((*w[:5], round(w[5], 6), round(w[6], 6)) for w in brute.language_model(again, 3)[0]), key=repr)
+    assert scored(lm_scoring.score_texts(spark.createDataFrame(again, "doc_id long, text string"))) == want
+
+
+def test_the_walk_is_the_same_from_any_start():
+    """Segments of a long text begin in the state that the tokens before them lead to."""
+    r = np.random.default_rng(4)
+    sizes = np.array([2, 900, 40, 2, 333])
+    ids = np.concatenate([np.concatenate(([0], r.integers(1, 30, n - 2), [0])) for n in sizes])
+    part = lm_scoring.Part(np.arange(5), np.ones(5, dtype=bool), np.array([True, True, False, False, True]), sizes, np.sort(r.integers(1, 2**63, 30).astype(np.uint64)), ids.astype(np.int32))
+    levels = list(lm_scoring.levels_of(part, 3))
+    after = [tuple(np.bincount(x.state, w, len(x.states)).astype(np.int64) for w in (x.n, x.n > 0)) for x in levels[1:]]
+    walked = [lm_scoring.BackoffAutomaton.build(levels, after, np.full(len(levels[0].code), 1 / 30)).traverse(part, n) for n in (10_000, 256, 7, 1)]
+    for other in walked[1:]:
+        assert np.allclose(walked[0], other)
 
 
 @pytest.mark.parametrize(("bits", "keys"), [(1 << 30, 1_000_000), (1 << 16, 1), (1 << 16, 40)])
