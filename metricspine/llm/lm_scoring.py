@@ -146,7 +146,7 @@ def levels_of(part: Part, order: int) -> Iterator[Level]:
         gram = np.full(size, -1, dtype=np.int32)
         gram[at] = number
         end = at[by[first]]
-        state = history[by[first]]
+        state = history[by[first]].astype(np.int32)
         n = np.bincount(number[part.learned[at]], minlength=len(first))
         level = Level(gram, longer(level.code[state], part.words[part.ids[end]]), n, state, level.gram[end], level.code, end)
         yield level
@@ -172,6 +172,8 @@ class BackoffAutomaton:
     arcs: list[np.ndarray]
     fail: list[np.ndarray]
     known: list[np.ndarray]
+    #: By level, the length of the state that an arc leads to.
+    target: list[np.ndarray]
 
     @classmethod
     def build(cls, levels: list[Level], after: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray) -> BackoffAutomaton:
@@ -185,7 +187,11 @@ class BackoffAutomaton:
             with np.errstate(divide="ignore"):
                 arcs.append(np.log10(p))
                 fail.append(np.where(tokens > 0, np.log10(types / np.maximum(tokens + types, 1)), 0.0))
-        return cls(levels, arcs, fail, known)
+        target = []
+        for k, level in enumerate(levels):
+            own = target[-1][level.below] if k else np.zeros(len(level.code), dtype=np.int8)
+            target.append(np.where(known[k + 1], np.int8(k + 1), own) if k + 1 < len(levels) else own)
+        return cls(levels, arcs, fail, known, target)
 
     def traverse(self, part: Part, segment: int = SEGMENT) -> np.ndarray:
         """log10 probability of each token, by one walk from left to right that carries the state.
@@ -204,29 +210,30 @@ class BackoffAutomaton:
         by_size = np.argsort(-size, kind="stable")
         begin, size = begin[by_size], size[by_size]
         walking = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
-        depth = self._depth(begin, np.full(len(begin), top))
+        depth = self._depth(begin)
         for step, n in enumerate(walking.tolist()):
             at, depth = begin[:n] + step, depth[:n]
-            here = depth.copy()
+            waits, after = np.ones(n, dtype=bool), np.empty(n, dtype=np.int8)
             for k in range(top, 0, -1):
-                on = np.flatnonzero(here == k)
+                on = np.flatnonzero(waits & (depth == k))
                 level, gram = self.levels[k], self.levels[k].gram[at[on]]
                 learned = level.n[gram] > 0
                 total[at[on]] += np.where(learned, self.arcs[k][gram], self.fail[k][level.state[gram]])
-                here[on] = np.where(learned, -1, k - 1)
-            on = at[here == 0]
-            total[on] += self.arcs[0][self.levels[0].gram[on]]
-            if step + 1 < len(walking):
-                more = walking[step + 1]
-                depth = self._depth(at[:more] + 1, np.minimum(depth[:more] + 1, top))
+                read = on[learned]
+                waits[read], after[read], depth[on] = False, self.target[k][gram[learned]], k - 1
+            on = np.flatnonzero(waits)
+            gram = self.levels[0].gram[at[on]]
+            total[at[on]] += self.arcs[0][gram]
+            after[on] = self.target[0][gram]
+            depth = after
         return total
 
-    def _depth(self, at: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """The length of the state before the tokens at: the longest known history, at most `most` long."""
-        depth = np.zeros(len(at), dtype=np.int64)
+    def _depth(self, at: np.ndarray) -> np.ndarray:
+        """The length of the state before the tokens at: the longest known history."""
+        depth = np.zeros(len(at), dtype=np.int8)
         for k in range(1, len(self.levels)):
             gram = self.levels[k].gram[at]
-            fits = np.flatnonzero((gram >= 0) & (most >= k))
+            fits = np.flatnonzero(gram >= 0)
             depth[fits[self.known[k][self.levels[k].state[gram[fits]]]]] = k
         return depth
 
@@ -279,16 +286,19 @@ class Question:
         """shared: which n-grams of the level below other parts have too. An n-gram that holds one that no other part has is in no other part."""
         send = np.arange(len(level.code)) if shared is None else np.flatnonzero(shared[level.state] & shared[level.below])
         state = level.state[send]
-        own = level.code[send] if k == 1 else level.states[state]
-        if k > 1 and len(wide):
-            own = np.where(np.isin(level.states, wide)[state], level.code[send], own)
-        to = own % _U(groups)
+        if k == 1:
+            to = level.code[send] % _U(groups)
+        else:
+            to = (level.states % _U(groups))[state]
+            scattered = np.flatnonzero(_among(level.states, wide)[state])
+            to[scattered] = level.code[send[scattered]] % _U(groups)
         by = _grouped(to, np.arange(len(to)))[0]
         to, state = to[by].astype(np.int64), state[by]
         head = np.flatnonzero(np.concatenate(([True], (state[1:] != state[:-1]) | (to[1:] != to[:-1])))) if len(to) else np.empty(0, dtype=np.int64)
         rest = np.empty(0, dtype=np.int64)
         if shared is not None:
-            rest = np.unique(level.state[shared[level.state] & ~shared[level.below]])
+            rest = level.state[shared[level.state] & ~shared[level.below]]  # sorted
+            rest = rest[np.concatenate(([True], rest[1:] != rest[:-1]))] if len(rest) else rest
         rest_to = (level.states[rest] % _U(groups)).astype(np.int64)
         return cls(send[by], to, head, rest[np.argsort(rest_to, kind="stable")], np.sort(rest_to))
 
@@ -335,7 +345,7 @@ def _sum_group(wide: np.ndarray):
                 place_rest = place[len(history) :]
                 tokens = (np.bincount(state, total, len(states)) + np.bincount(place_rest, counts(mine, "rest_n"), len(states))).astype(np.int64)
                 kinds = (np.bincount(state, total > 0, len(states)) + np.bincount(place_rest, counts(mine, "rest_types"), len(states))).astype(np.int64)
-                is_wide = np.isin(states, wide)
+                is_wide = _among(states, wide)
                 if is_wide.any():
                     out.append({"part": _WIDE, "k": k, "state": packed(states[is_wide]), "after": packed(tokens[is_wide]), "types": packed(kinds[is_wide])})
                 asked = zip(np.split(place[: len(history)], np.cumsum(heads)[:-1]), np.split(place_rest, np.cumsum(rests)[:-1]), strict=True)
@@ -347,6 +357,18 @@ def _sum_group(wide: np.ndarray):
     return reduce
 
 
+def _among(codes: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which of many codes are among a few sorted ones: a table of their first bits rules most out."""
+    out = np.zeros(len(codes), dtype=bool)
+    if len(few):
+        table = np.zeros(1 << 16, dtype=bool)
+        table[few >> _U(48)] = True
+        near = np.flatnonzero(table[codes >> _U(48)])
+        at = np.minimum(np.searchsorted(few, codes[near]), len(few) - 1)
+        out[near] = few[at] == codes[near]
+    return out
+
+
 def _unpacked(rows: list[dict], name: str) -> tuple[np.ndarray, np.ndarray]:
     """The codes of all rows one after another, and how many each row has."""
     own = [plain(r[name]) for r in rows]
@@ -378,11 +400,9 @@ def _answered(level: Level, k: int, rows: list[dict], asked: Question, wide: tup
     for x, name in zip(after, ("after", "types"), strict=True):
         x[states] = counts(rows, name)
     names, *sums = wide
-    if len(names):
-        at = np.minimum(np.searchsorted(names, level.states), len(names) - 1)
-        hit = np.flatnonzero(names[at] == level.states)
-        for x, v in zip(after, sums, strict=True):
-            x[hit] = v[at[hit]]
+    hit = np.flatnonzero(_among(level.states, names))
+    for x, v in zip(after, sums, strict=True):
+        x[hit] = v[np.searchsorted(names, level.states[hit])]
     return shared, tuple(after)
 
 
@@ -552,8 +572,9 @@ def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
     sizes = np.diff(upto[offsets])
     coded = values.filter(full).dictionary_encode()
-    words = [END, *coded.dictionary.cast(pa.binary()).to_pylist()]
-    codes = np.fromiter(map(word_code, words), dtype=np.uint64, count=len(words))
+    offsets, data = (np.frombuffer(b, dtype=t) for b, t in zip(coded.dictionary.buffers()[1:], (np.int32, np.uint8), strict=True)) if len(coded.dictionary) else (np.zeros(1, dtype=np.int32), b"")
+    data, bounds = bytes(data), offsets[: len(coded.dictionary) + 1].tolist()
+    codes = np.fromiter(map(word_code, [END, *(data[a:b] for a, b in zip(bounds, bounds[1:], strict=False))]), dtype=np.uint64, count=len(coded.dictionary) + 1)
     by = np.argsort(codes, kind="stable")
     rank = np.empty(len(by), dtype=np.int32)
     rank[by] = np.arange(len(by), dtype=np.int32)
