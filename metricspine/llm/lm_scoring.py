@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import count
 
 import numpy as np
@@ -43,12 +44,22 @@ def longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Whole numbers, first bytes first: what is sorted or small takes little."""
+#: Of a word's code, the bytes that tell n-grams with one history apart.
+FOLLOWER_BYTES = 6
+
+
+def group_of(code: np.ndarray, groups: int) -> np.ndarray:
+    """Groups are ranges of codes, so sorted codes of a group are close together."""
+    return ((code >> _U(32)) * _U(groups)) >> _U(32)
+
+
+def packed(x: np.ndarray, first: int = 8) -> bytes:
+    """Whole numbers (the first bytes of each), all first bytes first, then the second: what is small takes little."""
     if not len(x):
         return b""
     wide = x.dtype.itemsize
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, wide).T).tobytes()
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, wide).T[:first]).tobytes()
+    wide = min(wide, first)
     return bytes([wide]) + len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
@@ -57,7 +68,20 @@ def plain(data: bytes | None) -> np.ndarray:
     if not data:
         return np.empty(0, dtype=np.uint64)
     planes = pa.decompress(data[9:], decompressed_size=int.from_bytes(data[1:9], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(data[0], -1).T).view(f"<u{data[0]}").ravel()
+    wide = 1 << (data[0] - 1).bit_length()
+    rows = np.frombuffer(planes, dtype=np.uint8).reshape(data[0], -1)
+    out = np.zeros((rows.shape[1], wide), dtype=np.uint8)
+    out[:, : data[0]] = rows.T
+    return out.view(f"<u{wide}").ravel()
+
+
+def packed_steps(x: np.ndarray) -> bytes:
+    """Sorted codes, as the differences between them."""
+    return packed(np.diff(x, prepend=_U(0)))
+
+
+def plain_steps(data: bytes | None) -> np.ndarray:
+    return np.cumsum(plain(data), dtype=np.uint64)
 
 
 def counts(rows: list[dict], name: str) -> np.ndarray:
@@ -91,13 +115,14 @@ class Part:
 class Level:
     """The n-grams of one length in a part, sorted by history and last word; a history is an n-gram of the level below.
 
-    gram: the n-gram that ends at each token, or -1; n: how often training texts
+    gram: the n-gram that ends at each token, or -1; word: the code of its last word; n: how often training texts
     hold it; state: its history; below: the n-gram less its first word; states:
     codes of the histories; end: a token at which it ends.
     """
 
     gram: np.ndarray
     code: np.ndarray
+    word: np.ndarray
     n: np.ndarray
     state: np.ndarray
     below: np.ndarray
@@ -134,7 +159,7 @@ def levels_of(part: Part, order: int) -> Iterator[Level]:
     end = np.zeros(len(part.words), dtype=np.int64)
     end[part.ids] = np.arange(size)
     zeros = np.zeros(len(part.words), dtype=np.int64)
-    level = Level(own, part.words, n, zeros, zeros, np.zeros(1, dtype=np.uint64), end)
+    level = Level(own, part.words, part.words, n, zeros, zeros, np.zeros(1, dtype=np.uint64), end)
     yield level
     for k in range(2, order + 1):
         # the history of the first word is the end before the text
@@ -148,7 +173,8 @@ def levels_of(part: Part, order: int) -> Iterator[Level]:
         end = at[by[first]]
         state = history[by[first]].astype(np.int32)
         n = np.bincount(number[part.learned[at]], minlength=len(first))
-        level = Level(gram, longer(level.code[state], part.words[part.ids[end]]), n, state, level.gram[end], level.code, end)
+        word = part.words[part.ids[end]]
+        level = Level(gram, longer(level.code[state], word), word, n, state, level.gram[end], level.code, end)
         yield level
 
 
@@ -240,16 +266,16 @@ class BackoffAutomaton:
 
 _PART = pa.schema([("part", pa.int64()), *((c, pa.binary()) for c in ("doc_id", "known", "train", "sizes", "words", "ids", "often", "often_n"))])
 _OFTEN = pa.schema([("code", pa.int64()), ("n", pa.int64())])
-#: What a part asks a group about n-grams of one length: their codes by history, the histories, how many n-grams each has, and how often the part has learned each; and tokens and types after histories that it doesn't ask about.
+#: What a part asks a group about n-grams of one length: codes of their last words by history, the histories, how many n-grams each has, and how often the part has learned each; and tokens and types after histories that it doesn't ask about.
 _ASK = pa.schema([("to", pa.int64()), ("part", pa.int64()), ("k", pa.int64()), *((c, pa.binary()) for c in ("code", "n", "history", "followers", "rest", "rest_n", "rest_types"))])
-#: What the group answers, in the order asked: twice the counts, plus one if another part has the n-gram too; and tokens and types after the histories, then after the rest. Rows without a part are sums after wide histories, or counts of words.
-_TOLD = pa.schema([("part", pa.int64()), ("to", pa.int64()), ("k", pa.int64()), *((c, pa.binary()) for c in ("n", "after", "types", "state"))])
+#: What the group answers, in the order asked: which n-grams other parts have too, as bits, and the counts; and tokens and types after the histories, then after the rest. Rows without a part are sums after wide histories, or counts of words.
+_TOLD = pa.schema([("part", pa.int64()), ("to", pa.int64()), ("k", pa.int64()), *((c, pa.binary()) for c in ("also", "n", "after", "types", "state"))])
 _WIDE, _WORDS = -1, -2
 
 
 def _part_of(row: dict) -> Part:
     signed = plain(row["doc_id"]).view(np.int64)
-    return Part(signed, plain(row["known"]) > 0, plain(row["train"]) > 0, plain(row["sizes"]).astype(np.int64), plain(row["words"]), plain(row["ids"]).view(np.int32))
+    return Part(signed, plain(row["known"]) > 0, plain(row["train"]) > 0, plain(row["sizes"]).astype(np.int64), plain_steps(row["words"]), plain(row["ids"]).view(np.int32))
 
 
 def _often(part: Part, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,20 +313,23 @@ class Question:
         send = np.arange(len(level.code)) if shared is None else np.flatnonzero(shared[level.state] & shared[level.below])
         state = level.state[send]
         if k == 1:
-            to = level.code[send] % _U(groups)
+            to, rank = group_of(level.code, groups), np.zeros(1, dtype=np.int32)
         else:
-            to = (level.states % _U(groups))[state]
+            to = group_of(level.states, groups)[state]
             scattered = np.flatnonzero(_among(level.states, wide)[state])
-            to[scattered] = level.code[send[scattered]] % _U(groups)
-        by = _grouped(to, np.arange(len(to)))[0]
+            to[scattered] = group_of(level.code[send[scattered]], groups)
+            # histories in the order of their codes
+            rank = np.empty(len(level.states), dtype=np.int32)
+            rank[np.argsort(level.states, kind="stable")] = np.arange(len(level.states), dtype=np.int32)
+        by = _grouped(to, rank[state])[0]
         to, state = to[by].astype(np.int64), state[by]
         head = np.flatnonzero(np.concatenate(([True], (state[1:] != state[:-1]) | (to[1:] != to[:-1])))) if len(to) else np.empty(0, dtype=np.int64)
         rest = np.empty(0, dtype=np.int64)
         if shared is not None:
             rest = level.state[shared[level.state] & ~shared[level.below]]  # sorted
             rest = rest[np.concatenate(([True], rest[1:] != rest[:-1]))] if len(rest) else rest
-        rest_to = (level.states[rest] % _U(groups)).astype(np.int64)
-        return cls(send[by], to, head, rest[np.argsort(rest_to, kind="stable")], np.sort(rest_to))
+        rest = rest[np.argsort(level.states[rest], kind="stable")]
+        return cls(send[by], to, head, rest, group_of(level.states[rest], groups).astype(np.int64))
 
     def rows(self, level: Level, k: int, part: int, groups: int, shared: np.ndarray | None) -> pa.RecordBatch:
         state = level.state[self.grams]
@@ -312,10 +341,14 @@ class Question:
         used = np.flatnonzero((np.diff(every) > 0) | (np.diff(rests) > 0))
         columns = [pa.array(used), *(pa.array(np.full(len(used), v), type=pa.int64()) for v in (part, k))]
         followers = small(np.diff(np.concatenate((self.head, [len(self.to)]))))
-        sent = [(level.code[self.grams], every), (small(level.n[self.grams]), every)]
-        sent += [(level.states[state[self.head]], heads), (followers, heads)] if k > 1 else [(followers[:0], np.zeros(groups + 1, dtype=np.int64))] * 2
-        sent += [(level.states[self.rest], rests), (n_rest, rests), (types_rest, rests)]
-        columns += [pa.array([packed(x[b[g] : b[g + 1]]) for g in used], type=pa.binary()) for x, b in sent]
+        none = np.empty(0, dtype=np.uint64), np.zeros(groups + 1, dtype=np.int64)
+        if k == 1:
+            sent = [(packed_steps, level.code[self.grams], every), (packed, small(level.n[self.grams]), every), (packed, *none), (packed, *none)]
+        else:
+            sent = [(partial(packed, first=FOLLOWER_BYTES), level.word[self.grams], every), (packed, small(level.n[self.grams]), every)]
+            sent += [(packed_steps, level.states[state[self.head]], heads), (packed, followers, heads)]
+        sent += [(packed_steps, level.states[self.rest], rests), (packed, n_rest, rests), (packed, types_rest, rests)]
+        columns += [pa.array([pack(x[b[g] : b[g + 1]]) for g in used], type=pa.binary()) for pack, x, b in sent]
         return pa.RecordBatch.from_arrays(columns, schema=_ASK)
 
 
@@ -326,19 +359,21 @@ def _sum_group(wide: np.ndarray):
         out = []
         for k in sorted({r["k"] for r in rows}):
             mine = [r for r in rows if r["k"] == k]
-            code, sizes = _unpacked(mine, "code")
+            code, sizes = _unpacked(mine, "code", plain_steps if k == 1 else plain)
+            if k > 1:
+                history, heads = _unpacked(mine, "history", plain_steps)
+                rest, rests = _unpacked(mine, "rest", plain_steps)
+                code = longer(np.repeat(history, counts(mine, "followers")), code)
             by, first = _grouped_codes(code)
             which = np.empty(len(code), dtype=np.int64)
             which[by] = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(by)]))))
             total = np.bincount(which, counts(mine, "n"), len(first)).astype(np.int64)
             several = np.bincount(which, minlength=len(first)) > 1
-            sums = np.split((total * 2 + several)[which], np.cumsum(sizes)[:-1])
+            sums, also = (np.split(x[which], np.cumsum(sizes)[:-1]) for x in (total, several))
             after, types = [None] * len(mine), [None] * len(mine)
             if k == 1:
                 out.append({"part": _WORDS, "k": 1, "n": packed(np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], dtype=np.uint64))})
             else:
-                history, heads = _unpacked(mine, "history")
-                rest, rests = _unpacked(mine, "rest")
                 states, place = np.unique(np.concatenate((history, rest)), return_inverse=True)
                 state = np.empty(len(first), dtype=np.int64)
                 state[which] = np.repeat(place[: len(history)], counts(mine, "followers"))
@@ -351,7 +386,7 @@ def _sum_group(wide: np.ndarray):
                 asked = zip(np.split(place[: len(history)], np.cumsum(heads)[:-1]), np.split(place_rest, np.cumsum(rests)[:-1]), strict=True)
                 answers = [np.concatenate(x) for x in asked]
                 after, types = ([packed(small(x[a])) for a in answers] for x in (tokens, kinds))
-            out += [{"part": r["part"], "to": r["to"], "k": k, "n": packed(small(s)), "after": a, "types": t} for r, s, a, t in zip(mine, sums, after, types, strict=True)]
+            out += [{"part": r["part"], "to": r["to"], "k": k, "also": np.packbits(b).tobytes(), "n": packed(small(s)), "after": a, "types": t} for r, b, s, a, t in zip(mine, also, sums, after, types, strict=True)]
         return pa.Table.from_pylist(out, schema=_TOLD)
 
     return reduce
@@ -369,9 +404,9 @@ def _among(codes: np.ndarray, few: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unpacked(rows: list[dict], name: str) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(rows: list[dict], name: str, unpack: Callable[[bytes | None], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The codes of all rows one after another, and how many each row has."""
-    own = [plain(r[name]) for r in rows]
+    own = [unpack(r[name]) for r in rows]
     return np.concatenate([np.empty(0, dtype=np.uint64), *own]), np.array([len(x) for x in own], dtype=np.int64)
 
 
@@ -382,17 +417,24 @@ def _grouped_codes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, np.flatnonzero(np.concatenate(([True], code[by][1:] != code[by][:-1])))
 
 
-def _answered(level: Level, k: int, rows: list[dict], asked: Question, wide: tuple[np.ndarray, ...] | None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
-    """Puts the corpus's counts in the level; returns which n-grams other parts have too, and tokens and types after the states."""
+def _also(level: Level, rows: list[dict], asked: Question) -> np.ndarray:
+    """Which n-grams other parts have too."""
     shared = np.zeros(len(level.code), dtype=bool)
+    sizes = np.bincount(asked.to)
+    bits = [np.unpackbits(np.frombuffer(r["also"], dtype=np.uint8), count=int(sizes[r["to"]])) if r["to"] < len(sizes) else [] for r in sorted(rows, key=lambda r: r["to"])]
+    shared[asked.grams] = np.concatenate([np.empty(0, dtype=np.uint8), *bits]) == 1
+    return shared
+
+
+def _answered(level: Level, k: int, rows: list[dict], asked: Question, wide: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Puts the corpus's counts in the level; returns tokens and types after the states."""
+    rows = sorted(rows, key=lambda r: r["to"])
     if k > 1:
         after = [np.bincount(level.state, x, len(level.states)).astype(np.int64) for x in (level.n, level.n > 0)]
-    rows = sorted(rows, key=lambda r: r["to"])
-    said = counts(rows, "n")
     level.n = level.n.copy()
-    level.n[asked.grams], shared[asked.grams] = said >> 1, said & 1 == 1
-    if k == 1 or wide is None:
-        return shared, None
+    level.n[asked.grams] = counts(rows, "n")
+    if k == 1:
+        return None
     heads = level.state[asked.grams][asked.head]
     # a group answers about histories first and then about the rest
     to = np.concatenate((asked.to[asked.head], asked.rest_to))
@@ -403,7 +445,7 @@ def _answered(level: Level, k: int, rows: list[dict], asked: Question, wide: tup
     hit = np.flatnonzero(_among(level.states, names))
     for x, v in zip(after, sums, strict=True):
         x[hit] = v[np.searchsorted(names, level.states[hit])]
-    return shared, tuple(after)
+    return tuple(after)
 
 
 def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, part_bytes: int = PART_BYTES, order: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -430,9 +472,10 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, part_by
     5. Each part builds the automaton of its own n-grams with the weights of the
        whole corpus, and walks its texts.
 
-    No task needs more than a part and its n-grams, or a group. Two n-grams, or
-    two words, among n have the same code with a chance of about n * n / 2 ** 65;
-    counts are otherwise exact. Steps hand over tables in the shared folder.
+    No task needs more than a part and its n-grams, or a group. Two words, or
+    histories, among n have the same code with a chance of about n * n / 2 ** 65,
+    and two of t words after one history with one of t * t / 2 ** 49; counts are
+    otherwise exact. Steps hand over tables in the shared folder.
 
     A null or empty text is an end alone; a text longer than a part is a part;
     rows with one doc_id are scored and counted one by one; a null doc_id counts
@@ -453,8 +496,10 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, part_by
             train = np.array([crc_bucket(d, folds) != held_out_fold for d in doc_id.to_pylist()], dtype=np.uint8)
             known = doc_id.is_valid().to_numpy().astype(np.uint8)
             part = Part(doc_id.fill_null(0).to_numpy(), known > 0, train > 0, sizes, words, ids)
-            columns = (part.doc_id.view(np.uint64), known, train, small(sizes), words, ids.view(np.uint32), *_often(part, order))
-            return pa.RecordBatch.from_pylist([dict(zip(_PART.names, (next(number), *map(packed, columns)), strict=True))], schema=_PART)
+            columns = {"doc_id": part.doc_id.view(np.uint64), "known": known, "train": train, "sizes": small(sizes), "ids": ids.view(np.uint32)}
+            columns |= zip(("often", "often_n"), _often(part, order), strict=True)
+            row = {"part": next(number), "words": packed_steps(words)} | {c: packed(x) for c, x in columns.items()}
+            return pa.RecordBatch.from_pylist([row], schema=_PART)
 
         held, size = [], 0
         for batch in batches:
@@ -506,9 +551,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, part_by
                 if j == 1:
                     shared = None
                     continue
-                # answers about this length say which of its n-grams other parts have
-                question = Question.of(level, j, shared, wide_of.value, groups)
-                shared, _ = _answered(level, j, [r for r in answers.to_pylist() if r["k"] == j], question, None)
+                shared = _also(level, [r for r in answers.to_pylist() if r["k"] == j], Question.of(level, j, shared, wide_of.value, groups))
             return pa.Table.from_batches([Question.of(level, k, shared, wide_of.value, groups).rows(level, k, row["part"], groups, shared)])
 
         return send
@@ -518,7 +561,7 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, part_by
 
     told = answered(parts.mapInArrow(first, spark_schema(_ASK)), 2)
     for k in range(3, order + 1):
-        about = told.where(f"part >= 0 and k between 2 and {k - 1}").select("part", "to", "k", "n")
+        about = told.where(f"part >= 0 and k between 2 and {k - 1}").select("part", "to", "k", "also")
         more = answered(parts.groupBy("part").cogroup(about.groupBy("part")).applyInArrow(longer_ones(k), spark_schema(_ASK)), k)
         told = told.unionByName(more)
 
@@ -547,20 +590,20 @@ def score_texts(docs: DataFrame, folds: int = 7, held_out_fold: int = 2, part_by
             said[r["k"]].append(r)
         levels, after, shared = [], [], None
         for k, level in enumerate(levels_of(part, order), 1):
-            shared, sums_after = _answered(level, k, said[k], Question.of(level, k, shared if k > 2 else None, wide_of.value, groups), model.value.get(k, ()))
+            question = Question.of(level, k, shared if k > 2 else None, wide_of.value, groups)
+            shared = _also(level, said[k], question) if 1 < k < order else None
+            after.append(_answered(level, k, said[k], question, model.value.get(k, ())))
             levels.append(level)
-            if k > 1:
-                after.append(sums_after)
         c = levels[0].n.astype(float)
         root = np.where(c > 0, (c - discount) / max(total, 1), discount * types / total if total else 1.0)
-        each = BackoffAutomaton.build(levels, after, root).traverse(part)
+        each = BackoffAutomaton.build(levels, after[1:], root).traverse(part)
         real = part.place > 0
         base = np.where(real, np.log10((c + 1) / (total + types + 1))[part.ids], 0.0)
         n_tokens, n_known, bases, scores = (np.add.reduceat(x, part.starts) for x in (real.astype(np.int64), (real & (c > 0)[part.ids]).astype(np.int64), base, each))
         columns = (pa.array(part.doc_id, mask=~part.known), ~part.train, n_tokens, n_known, np.full(len(n_tokens), total), bases, scores)
         return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(columns, out, strict=True)], schema=out)
 
-    return parts.groupBy("part").cogroup(told.where("part >= 0").select("part", "to", "k", "n", "after", "types").groupBy("part")).applyInArrow(score, spark_schema(out))
+    return parts.groupBy("part").cogroup(told.where("part >= 0").select("part", "to", "k", "also", "n", "after", "types").groupBy("part")).applyInArrow(score, spark_schema(out))
 
 
 def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
