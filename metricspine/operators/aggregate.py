@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bound, columns_of
@@ -57,9 +57,9 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
     return left.join(renamed, same, how).drop(*[f"_r{i}" for i in range(len(keys))])
 
 
-def grouped(df: DataFrame, rq: Resolved, plans: list[MetricPlan], catalog: Catalog) -> DataFrame:
-    """One row for each group with the metrics, which share df as their rows; one aggregation for all but order statistics."""
-    keys = labels(rq)
+def grouped(df: DataFrame, rq: Resolved, plans: list[MetricPlan], catalog: Catalog, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each group with the metrics, which share df as their rows; one aggregation for all but order statistics. more: further keys."""
+    keys = [*labels(rq), *more]
     plain = [p for p in plans if p.metric.rank is None]
     out = None
     if plain or not plans:
@@ -72,7 +72,7 @@ def grouped(df: DataFrame, rq: Resolved, plans: list[MetricPlan], catalog: Catal
     return out
 
 
-def told_apart(df: DataFrame, rq: Resolved, plans: list[MetricPlan], catalog: Catalog, extra: list[str] = ()) -> DataFrame:
+def told_apart(df: DataFrame, rq: Resolved, plans: list[MetricPlan], catalog: Catalog, extra: tuple[str, ...] = ()) -> DataFrame:
     """Each row of the metric's table once in each group: grouped by the keys and the table's own key."""
     p = plans[0]
     at, table = place(rq, p), catalog[p.metric.measured_on]
@@ -84,14 +84,15 @@ def told_apart(df: DataFrame, rq: Resolved, plans: list[MetricPlan], catalog: Ca
     return rows.agg(*columns) if columns else df.where(F.col(own[0]).isNotNull()).select(*grouping).distinct()
 
 
-def at_one_instant(df: DataFrame, rq: Resolved, time: str, choice: str) -> DataFrame:
-    """The rows of each group at its last or first instant, all ties kept.
+def at_one_instant(df: DataFrame, rq: Resolved, p: MetricPlan, catalog: Catalog, time: str) -> DataFrame:
+    """The metric over the rows of each group at the group's last or first instant, all ties kept.
 
-    With keys, the window and the aggregation after it share one exchange.
-    Without, the instant is one row that is aggregated first and joined back.
+    Every instant of a group is aggregated, with partial results before the
+    shuffle, and the group keeps the one that counts; no row is moved by itself.
     """
-    pick = F.max if choice == "last" else F.min
-    keys = labels(rq)
-    if keys:
-        return df.withColumn("_instant", pick(F.col(time)).over(Window.partitionBy(*map(quoted, keys)))).where(F.col(time) == F.col("_instant"))
-    return df.join(F.broadcast(df.agg(pick(F.col(time)).alias("_instant"))), F.col(time) == F.col("_instant"))
+    pick = F.max_by if p.metric.over_time.choice == "last" else F.min_by
+    each = grouped(df.withColumn("_instant", F.col(time)), rq, [p], catalog, ("_instant",))
+    taken = pick(quoted(p.metric.name), F.col("_instant"))
+    if p.metric.agg in ("count", "count_distinct"):
+        taken = F.coalesce(taken, F.lit(0))
+    return each.groupBy(*map(quoted, labels(rq))).agg(taken.alias(p.metric.name))

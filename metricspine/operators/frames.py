@@ -34,9 +34,15 @@ def _equal(pairs: list[tuple[Column, Column]]) -> Column:
     return out
 
 
-def with_spans(catalog: Catalog, df: DataFrame, obj: ObjectType, position: int | str) -> DataFrame:
-    """The further tables that an object spans; none of them repeats a row."""
+def with_spans(catalog: Catalog, df: DataFrame, obj: ObjectType, position: int | str, used: frozenset[str]) -> DataFrame:
+    """The further tables that an object spans; none of them repeats a row. Left-joined ones that nothing reads are left out."""
+    needed, before = set(used), -1
+    while before != len(needed):
+        before = len(needed)
+        needed |= {p.source.table for j in obj.joins.values() if j.to in needed or j.kind == "inner" for p in j.on}
     for join in obj.joins.values():
+        if join.kind == "left" and join.to not in needed:
+            continue
         pairs = [(col(position, p.source.table, p.source.column), col(position, p.target.table, p.target.column)) for p in join.on]
         df = df.join(element(catalog, position, join.to), _equal(pairs), join.kind)
     return df
@@ -91,7 +97,7 @@ def hop(catalog: Catalog, df: DataFrame, edge: Edge, position: int, how: str = "
         j = f"{position}j"
         to = [(col(j, p.source.table, p.source.column), col(position, p.target.table, p.target.column)) if p.source.table == link.via else (col(j, p.target.table, p.target.column), col(position, p.source.table, p.source.column)) for p in link.on_to]
         frm = [(col(at, p.source.table, p.source.column), col(j, p.target.table, p.target.column)) if p.target.table == link.via else (col(at, p.target.table, p.target.column), col(j, p.source.table, p.source.column)) for p in link.on_from]
-        return df.join(element(catalog, j, link.via).join(end, _equal(to)), _equal(frm), how)
+        return df.join(element(catalog, j, link.via).join(end, _equal(to), how), _equal(frm), how)
     pairs = [(col(at, p.source.table, p.source.column), col(position, p.target.table, p.target.column)) for p in link.on]
     return df.join(end, _equal(pairs), how)
 
@@ -109,13 +115,13 @@ def predicate(f: Filter, c: Column) -> Column:
     return {"eq": c == f.value, "ne": c != f.value, "gt": c > f.value, "gte": c >= f.value, "lt": c < f.value, "lte": c <= f.value}[f.op]
 
 
-def root_frame(catalog: Catalog, root: ObjectType, conditions: tuple[Condition, ...]) -> DataFrame:
+def root_frame(catalog: Catalog, root: ObjectType, conditions: tuple[Condition, ...], used: frozenset[str]) -> DataFrame:
     """The root objects that the query is about.
 
     A filter through a link picks roots by a semi-join, one step off the root
     even on a recursive link, and neither repeats nor drops their other rows.
     """
-    df = with_spans(catalog, element(catalog, 0, root.primary), root, 0)
+    df = with_spans(catalog, element(catalog, 0, root.primary), root, 0, used)
     for c in conditions:
         if c.edge is None:
             df = df.where(predicate(c.filter, col(0, c.prop.column.table, c.prop.column.column)))
@@ -123,33 +129,67 @@ def root_frame(catalog: Catalog, root: ObjectType, conditions: tuple[Condition,
         if c.edge is not None:
             far = "9f"
             one = Edge(c.edge.link.model_copy(update={"max_depth": 1}) if c.edge.link.kind == "recursive" else c.edge.link, c.edge.source, c.edge.target)
-            target = with_spans(catalog, element(catalog, far, one.target.primary), one.target, far)
+            target = with_spans(catalog, element(catalog, far, one.target.primary), one.target, far, used)
             df = hop(catalog, df, one, far, "left_semi", source=0, target=target.where(predicate(c.filter, col(far, c.prop.column.table, c.prop.column.column))))
     return df
 
 
-def extended(catalog: Catalog, df: DataFrame, path: tuple[Edge, ...], first: int, last: int) -> DataFrame:
+def extended(catalog: Catalog, df: DataFrame, path: tuple[Edge, ...], first: int, last: int, used: frozenset[str]) -> DataFrame:
     """df at position first, walked on to position last."""
     for i in range(first, last):
-        df = with_spans(catalog, hop(catalog, df, path[i], i + 1), path[i].target, i + 1)
+        df = with_spans(catalog, hop(catalog, df, path[i], i + 1), path[i].target, i + 1, used)
     return df
 
 
-def surviving(catalog: Catalog, df: DataFrame, path: tuple[Edge, ...], position: int) -> DataFrame:
+def deep(edge: Edge) -> bool:
+    """Whether a hop climbs more than one step."""
+    return edge.link.kind == "recursive" and edge.link.max_depth > 1
+
+
+def each_once(catalog: Catalog, df: DataFrame, rq: Resolved, last: int) -> DataFrame:
+    """The root frame df walked to position last, so that each row there stands once in each group of the keys up to it.
+
+    Before each join on equal columns, the frame is reduced to the distinct group
+    keys and columns of that join: a row of the joined table has one value of
+    these columns, so it meets a group once. A junction is joined as a table of
+    its own. No hop may be deep.
+    """
+    used = rq.tables()
+
+    def reduced(df: DataFrame, columns: list[str], upto: int) -> DataFrame:
+        keys = [name(k.position, k.prop.column.table, k.prop.column.column) for k in rq.keys if k.position <= upto]
+        return df.select(*dict.fromkeys([*keys, *columns])).distinct()
+
+    for i, edge in enumerate(rq.path[:last]):
+        link, at, obj = edge.link, i + 1, edge.target
+        if link.kind == "through":
+            j = f"{at}j"
+            frm = [(p.source, p.target) if p.target.table == link.via else (p.target, p.source) for p in link.on_from]
+            to = [(p.source, p.target) if p.source.table == link.via else (p.target, p.source) for p in link.on_to]
+            df = reduced(df, [name(i, a.table, a.column) for a, _ in frm], i)
+            df = df.join(element(catalog, j, link.via), _equal([(col(i, a.table, a.column), col(j, b.table, b.column)) for a, b in frm]))
+            pairs = [(name(j, a.table, a.column), col(at, b.table, b.column)) for a, b in to]
+        else:
+            pairs = [(name(i, p.source.table, p.source.column), col(at, p.target.table, p.target.column)) for p in link.on]
+        df = reduced(df, [a for a, _ in pairs], i).join(element(catalog, at, obj.primary), _equal([(F.col(a), b) for a, b in pairs]))
+        df = with_spans(catalog, df, obj, at, used)
+    return df
+
+
+def surviving(catalog: Catalog, df: DataFrame, path: tuple[Edge, ...], position: int, used: frozenset[str]) -> DataFrame:
     """The rows of a frame at position that the rest of the walk would keep, without repeating them.
 
-    The rest is joined from its first object on, and the frame is semi-joined
-    with it on the link's own columns; so the frame's table needs no key.
+    Semi-joins are nested from the far end: each object on the way is reduced to
+    the rows from which the walk goes on, and the frame is semi-joined with what
+    is left of the first, on the link's own columns. So nothing fans out, and the
+    frame's table needs no key.
     """
     if position == len(path):
         return df
     edge, at = path[position], position + 1
-    rest = with_spans(catalog, element(catalog, at, edge.target.primary), edge.target, at)
-    rest = extended(catalog, rest, path, at, len(path))
-    if edge.link.kind == "recursive" and edge.link.max_depth > 1:
+    rest = with_spans(catalog, element(catalog, at, edge.target.primary), edge.target, at, used)
+    rest = surviving(catalog, rest, path, at, used)
+    if deep(edge):
         rest = rest.select(col(at, edge.target.primary, edge.link.on[0].target.column).alias("_beyond"))
     return hop(catalog, df, edge, at, "left_semi", target=rest)
 
-
-def walk(catalog: Catalog, rq: Resolved) -> DataFrame:
-    return extended(catalog, root_frame(catalog, rq.root, rq.conditions), rq.path, 0, len(rq.path))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..model import Ontology
 from ..operators.aggregate import at_one_instant, grouped, keyed, labels, match, place, quoted, told_apart
-from ..operators.frames import extended, name, root_frame, surviving
+from ..operators.frames import deep, each_once, extended, name, root_frame, surviving
 from ..sources.catalog import Catalog
 from .verdict import IDENTITY, INLINE, PREAGGREGATE, MetricPlan, Plan
 
@@ -20,22 +20,37 @@ def build(plan: Plan, o: Ontology, catalog: Catalog) -> DataFrame:
     fanned-out walk is never built.
     """
     rq = plan.resolved
-    root = root_frame(catalog, rq.root, rq.conditions)
-    whole = keyed(extended(catalog, root, rq.path, 0, len(rq.path)), rq)
+    used = rq.tables()
+    root = root_frame(catalog, rq.root, rq.conditions, used)
+    whole = keyed(extended(catalog, root, rq.path, 0, len(rq.path), used), rq)
     frames: list[DataFrame] = []
 
+    def survivors(df: DataFrame, position: int) -> DataFrame:
+        return keyed(surviving(catalog, df, rq.path, position, used), rq)
+
+    def rows_apart(group: list[MetricPlan], extra: tuple[str, ...] = ()) -> DataFrame:
+        """Each row of the group's table once in each group, by joins alone where that is possible."""
+        p = group[0]
+        plain = p.metric.measured_on == rq.object_at(p.position).primary and all(k.position <= p.position for k in rq.keys)
+        if plain and not any(map(deep, rq.path[: p.position])):
+            return survivors(each_once(catalog, root, rq, p.position), p.position)
+        return told_apart(whole, rq, group, catalog, extra)
+
     inline = [p for p in plan.metrics if p.strategy == INLINE and not p.stock]
     before = [p for p in plan.metrics if p.strategy == PREAGGREGATE]
     apart = [p for p in plan.metrics if p.strategy == IDENTITY and not p.stock]
     if inline or not plan.metrics:
         frames.append(grouped(whole, rq, inline, catalog))
     for position in dict.fromkeys(p.position for p in before):
-        rows = surviving(catalog, extended(catalog, root, rq.path, 0, position), rq.path, position)
-        frames.append(grouped(keyed(rows, rq), rq, [p for p in before if p.position == position], catalog))
+        rows = survivors(extended(catalog, root, rq.path, 0, position, used), position)
+        frames.append(grouped(rows, rq, [p for p in before if p.position == position], catalog))
     for where in dict.fromkeys((place(rq, p), p.metric.measured_on) for p in apart):
         group = [p for p in apart if (place(rq, p), p.metric.measured_on) == where]
-        frames.append(grouped(told_apart(whole, rq, group, catalog), rq, group, catalog))
-    frames += [_stock(whole, p, plan, o, catalog) for p in plan.metrics if p.stock]
+        frames.append(grouped(rows_apart(group), rq, group, catalog))
+    for p in (p for p in plan.metrics if p.stock):
+        over = o.object_for_table(p.metric.measured_on).properties[p.metric.over_time.dimension]
+        time = name(place(rq, p), p.metric.measured_on, over.column.column)
+        frames.append(at_one_instant(rows_apart([p], (time,)) if p.strategy == IDENTITY else whole, rq, p, catalog, time))
 
     keys = labels(rq)
     spanned = any(p.metric.measured_on != rq.object_at(p.position).primary for p in apart)
@@ -51,10 +66,3 @@ def build(plan: Plan, o: Ontology, catalog: Catalog) -> DataFrame:
         out = out.orderBy(*[quoted(x.key).desc_nulls_first() if x.desc else quoted(x.key).asc_nulls_last() for x in rq.order])
     return out if rq.limit is None else out.limit(rq.limit)
 
-
-def _stock(whole: DataFrame, p: MetricPlan, plan: Plan, o: Ontology, catalog: Catalog) -> DataFrame:
-    rq = plan.resolved
-    dimension = o.object_for_table(p.metric.measured_on).properties[p.metric.over_time.dimension]
-    time = name(place(rq, p), p.metric.measured_on, dimension.column.column)
-    rows = told_apart(whole, rq, [p], catalog, [time]) if p.strategy == IDENTITY else whole
-    return grouped(at_one_instant(rows, rq, time, p.metric.over_time.choice), rq, [p], catalog)

@@ -54,6 +54,12 @@ class Resolved:
     def object_at(self, position: int) -> ObjectType:
         return self.root if position == 0 else self.path[position - 1].target
 
+    def tables(self) -> frozenset[str]:
+        """The tables that the request reads columns of, besides those that objects stand on."""
+        read = {k.prop.column.table for k in self.keys} | {c.prop.column.table for c in self.conditions} | {m.measured_on for m in self.metrics}
+        links = [e.link for e in self.path] + [c.edge.link for c in self.conditions if c.edge]
+        return frozenset(read | {ref.table for x in links for p in (*x.on, *x.on_from, *x.on_to) for ref in (p.source, p.target)})
+
 
 def _edge(o: Ontology, name: str, here: ObjectType) -> Edge:
     link = o.links.get(name)

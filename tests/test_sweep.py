@@ -39,7 +39,7 @@ def oracle(s, spec):
     """Distinct rows of the metric's table for each group, by a plain join of collected rows; for counts and sums of one table."""
     plan = s.plan(spec, "identity")
     from metricspine.operators.aggregate import keyed, labels, place
-    from metricspine.operators.frames import name, walk
+    from metricspine.operators.frames import extended, name, root_frame
 
     p = plan.metrics[0]
     table = s.catalog[p.metric.measured_on]
@@ -48,7 +48,9 @@ def oracle(s, spec):
     groups = defaultdict(set)
     column = p.metric.value.split(".")[1]
     value = name(at, table.name, table.column(column))
-    for r in keyed(walk(s.catalog, plan.resolved), plan.resolved).select(*[f"`{k}`" for k in labels(plan.resolved)], *own, value).collect():
+    rq = plan.resolved
+    whole = extended(s.catalog, root_frame(s.catalog, rq.root, rq.conditions, rq.tables()), rq.path, 0, len(rq.path), rq.tables())
+    for r in keyed(whole, plan.resolved).select(*[f"`{k}`" for k in labels(plan.resolved)], *own, value).collect():
         k = len(labels(plan.resolved))
         groups[tuple(r[:k])].add((tuple(r[k:-1]), r[-1]))
     out = {}
@@ -115,3 +117,14 @@ def test_flagship_never_joins_the_lines(spark):
     assert "LeftSemi" in text
     # one join to customers, one to their nation; the lines are only asked whether they exist
     assert text.count("Join Inner") == 2
+
+
+def test_nothing_fans_out_to_be_asked_whether_it_exists(spark):
+    """Semi-joins are nested; a metric told apart by joins has no aggregation over the fan."""
+    text = spine(spark, SMALL).df({**SPECS["fan_two_hops"][0], "metrics": ["nation_rows"]})._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join LeftSemi") == 3 and text.count("Join Inner") <= 2, text
+
+
+def test_levels_are_taken_without_a_window(spark):
+    for name in ("stock_last_by_user", "stock_by_date", "stock_last_global"):
+        assert "Window" not in QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
