@@ -161,3 +161,21 @@ ask("qualified_key", {"object": "Order", "traverse": ["Order_Customer"], "group_
     f"SELECT o_orderstatus AS status, c_mktsegment AS \"Order_Customer.segment\", {_money(f'sum({_ORDER})')} AS order_total FROM orders JOIN {_CUSTOMERS} ON c_custkey = o_custkey GROUP BY 1, 2".replace(f"JOIN {_CUSTOMERS} ON c_custkey = o_custkey", "JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"))
 ask("identity_matches_preaggregate", {**_TO_LINES, "group_by": ["segment"], "metrics": ["order_total", "avg_order"]}, f"SELECT c_mktsegment AS segment, {_money(f'sum({_ORDER})')} AS order_total, round(CAST(sum({_ORDER}) AS DOUBLE) / count(*), 6) AS avg_order FROM {_CUSTOMERS} JOIN orders ON o_custkey = c_custkey WHERE {_SOLD} GROUP BY 1", "identity")
 ask("event_value_by_kind", {"object": "Event", "group_by": ["kind"], "metrics": ["event_value"]}, f"SELECT event_type AS kind, {_money('sum(CAST(value AS DECIMAL(12,2)))')} AS event_value FROM events GROUP BY 1")
+
+_NOTES = "(SELECT o_orderkey AS id, nullif(o_orderstatus, 'P') AS grade, nullif(o_orderpriority, '5-LOW') AS haste, CAST(o_totalprice AS DECIMAL(12,2)) AS amount FROM orders)"
+_GRADED = {"object": "Note", "group_by": ["haste"], "metrics": ["noted_count", "graded_count"]}
+ask("null_group_key", {"object": "Note", "group_by": ["grade"], "metrics": ["noted_total", "noted_count", "graded_count"]}, f"SELECT grade, {_money('sum(amount)')} AS noted_total, count(*) AS noted_count, count(grade) AS graded_count FROM {_NOTES} GROUP BY 1")
+ask("null_group_key_fan", {"object": "Note", "traverse": ["Note_Lines"], "group_by": ["grade", "haste"], "metrics": ["noted_total", "line_count"]},
+    f"""WITH n AS {_NOTES}, a AS (SELECT grade, haste, sum(amount) AS t FROM n WHERE id IN (SELECT l_orderkey FROM lineitem) GROUP BY 1, 2), b AS (SELECT grade, haste, count(*) AS n FROM n JOIN lineitem ON l_orderkey = id GROUP BY 1, 2)
+    SELECT b.grade, b.haste, {_money('t')} AS noted_total, b.n AS line_count FROM b LEFT JOIN a ON a.grade IS NOT DISTINCT FROM b.grade AND a.haste IS NOT DISTINCT FROM b.haste""")
+for _name, _filter, _where in (("is_null_hits", {"op": "is_null"}, "grade IS NULL"), ("eq_null", {"op": "eq", "value": None}, "grade IS NULL"), ("ne_null", {"op": "ne", "value": None}, "grade IS NOT NULL"), ("ne_beside_null", {"op": "ne", "value": "F"}, "grade <> 'F'")):
+    ask(f"filter_{_name}", {**_GRADED, "filters": [{"property": "grade", **_filter}]}, f"SELECT haste, count(*) AS noted_count, count(grade) AS graded_count FROM {_NOTES} WHERE {_where} GROUP BY 1")
+ask("null_order_up", {**_GRADED, "order_by": [{"key": "haste"}], "limit": 4}, f"SELECT haste, count(*) AS noted_count, count(grade) AS graded_count FROM {_NOTES} GROUP BY 1 ORDER BY 1 ASC NULLS LAST LIMIT 4")
+ask("null_order_down", {**_GRADED, "order_by": [{"key": "haste", "desc": True}], "limit": 2}, f"SELECT haste, count(*) AS noted_count, count(grade) AS graded_count FROM {_NOTES} GROUP BY 1 ORDER BY 1 DESC NULLS FIRST LIMIT 2")
+_NOBODY = [{"property": "total", "op": "lt", "value": 0}]
+ask("empty_population", {"object": "Order", "filters": _NOBODY, "metrics": ["order_total", "order_count", "max_order", "median_order"]}, f"SELECT {_money(f'sum({_ORDER})')} AS order_total, count(*) AS order_count, {_money(f'max({_ORDER})')} AS max_order, {_money(_disc(0.5, _ORDER))} AS median_order FROM orders WHERE {_ORDER} < 0")
+ask("empty_population_grouped", {"object": "Order", "filters": _NOBODY, "group_by": ["status"], "metrics": ["order_count"]}, f"SELECT o_orderstatus AS status, count(*) AS order_count FROM orders WHERE {_ORDER} < 0 GROUP BY 1")
+ask("stock_empty", {"object": "DailyLevel", "filters": [{"property": "day", "op": "lt", "value": "1900-01-01"}], "metrics": ["level_last"]}, f"SELECT {_money('sum(level)')} AS level_last FROM {_LEVELS} WHERE day < DATE '1900-01-01'")
+ask("stock_across_fan", {"object": "DailyLevel", "traverse": ["Level_Events"], "group_by": ["user"], "metrics": ["level_last"]}, f'SELECT user_id AS "user", {_money("arg_max(level, day)")} AS level_last FROM {_LEVELS} GROUP BY 1', "identity")
+ask("recursive_cycle", {"object": "Ring", "traverse": ["Ring_Above"], "group_by": ["Ring_Above.id"], "metrics": ["ring_count"]},
+    "WITH RECURSIVE r AS (SELECT n_nationkey AS id, (n_nationkey + 1) % 25 AS above FROM nation), c(start, id) AS (SELECT r.id, a.id FROM r JOIN r a ON a.id = r.above UNION SELECT c.start, a.id FROM c JOIN r ON r.id = c.id JOIN r a ON a.id = r.above) SELECT id::BIGINT AS \"Ring_Above.id\", count(*) AS ring_count FROM c GROUP BY 1")

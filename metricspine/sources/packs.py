@@ -194,6 +194,12 @@ def verify_data(o: Ontology, catalog: Catalog) -> None:
         if hit:
             raise OntologyError(f"Table {t.name} has nulls in {', '.join(hit)}, declared not null")
     for link in o.links.values():
+        if link.kind == "through":
+            # a source row meets several targets if the junction repeats the columns that lead to it, and the other way round
+            for allowed, pairs, meets in ((FANNING, link.on_from, link.source), (REVERSE_FANNING, link.on_to, link.target)):
+                own = [ref.column for p in pairs for ref in (p.source, p.target) if ref.table == link.via]
+                if link.cardinality not in allowed and not catalog[link.via].is_key(own) and catalog.repeats(link.via, own):
+                    raise OntologyError(f"Link {link.name} is {link.cardinality}, but {link.via} has several rows for one {meets}", ["many_to_many"])
         sides = [(link.on, "target", "source")] if link.on else []
         for pairs, target, source in sides:
             to, frm = [[getattr(p, side) for p in pairs] for side in (target, source)]
