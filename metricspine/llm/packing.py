@@ -15,8 +15,8 @@ from .common import emitter, rows_of, sources, spark_schema, text_bytes, written
 MAX_LENGTH = 2048
 BUCKETS = 8
 TOKEN_BUDGET = 16_384
-#: A bucket's rows are dealt into so many pieces, each numbered by itself.
-PIECES = 256
+#: A bucket's rows are dealt into pieces of about so many, if buckets were of one size; each piece is numbered by itself.
+PIECE_ROWS = 20_000
 
 _GAP = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -68,7 +68,7 @@ def chunks_of(text: bytes, max_length: int) -> list[tuple[int, bytes]]:
     return [(size, text[a:b]) for size, a, b in zip(sizes, cuts, cuts[1:], strict=False)]
 
 
-def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, keep_text: bool = True) -> DataFrame:
+def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET, keep_text: bool = True, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """One row per chunk: doc_id, chunk, n_tokens, bucket, batch, place, padding and, with keep_text, text.
 
     A text has a token for each word and one for its end; longer texts are cut
@@ -79,8 +79,9 @@ def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS,
     padded to the bucket's bound; only a bucket's last batch may be smaller.
 
     Chunks are numbered without a gap and without sorting a bucket in one
-    task: a bucket is dealt into PIECES pieces by a hash of the doc_id, chunks
-    are numbered within a piece, and pieces follow one another by their counts.
+    task: a bucket is dealt into pieces by a hash of the doc_id, as many as the
+    number of chunks asks for, chunks are numbered within a piece, and pieces
+    follow one another by their counts.
 
     A null or empty text is one chunk of one token; a null doc_id counts as 0;
     rows with one doc_id are packed one by one; extra columns are ignored; an
@@ -98,18 +99,19 @@ def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS,
 
     body = sources(docs, doc_id=F.col("doc_id").cast("long"), text=text_bytes())
     chunks = written(body.mapInArrow(cut, spark_schema(schema)), "packing-chunks")
-    bounds = boundaries({r[0]: r[1] for r in chunks.groupBy("n_tokens").count().collect()}, buckets)
+    histogram = {r[0]: r[1] for r in chunks.groupBy("n_tokens").count().collect()}
+    bounds = boundaries(histogram, buckets)
+    pieces = 1 + sum(histogram.values()) // (buckets * piece_rows)
     bucket = F.lit(None).cast("long")
     for bound in reversed(bounds):
         bucket = F.when(F.col("n_tokens") <= bound, F.lit(bound).cast("long")).otherwise(bucket)
     mixed = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(1 << 31).cast("long")) * F.lit(2654435761)
-    chunks = chunks.withColumn("bucket", bucket).withColumn("_piece", F.pmod(F.shiftright(mixed, 16), F.lit(PIECES).cast("long")).cast("int"))
+    chunks = chunks.withColumn("bucket", bucket).withColumn("_piece", F.pmod(F.shiftright(mixed, 16), F.lit(pieces).cast("long")))
     counts = chunks.groupBy("bucket", "_piece").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("bucket", "_piece", (F.sum("_n").over(Window.partitionBy("bucket").orderBy("_piece")) - F.col("_n")).alias("_start"))
     numbered = chunks.withColumn("_nth", F.row_number().over(Window.partitionBy("bucket", "_piece").orderBy("doc_id", "chunk", "n_tokens")))
     rank = F.col("_start") + F.col("_nth") - 1
-    # at most buckets times PIECES rows
-    placed = numbered.join(F.broadcast(starts), ["bucket", "_piece"]).withColumn("_rank", rank).withColumn("_room", F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket"))).cast("long"))
+    placed = numbered.join(starts, ["bucket", "_piece"]).withColumn("_rank", rank).withColumn("_room", F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.col("bucket"))).cast("long"))
     return placed.select(
         "doc_id", "chunk", "n_tokens", "bucket", F.floor(F.col("_rank") / F.col("_room")).cast("long").alias("batch"), F.pmod("_rank", "_room").cast("long").alias("place"), (F.col("bucket") - F.col("n_tokens")).alias("padding"), *(["text"] if keep_text else [])
     )

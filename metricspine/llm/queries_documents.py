@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .decontamination import decontaminate
 from .line_dedup import dedup_lines
 from .lm_scoring import score_texts
-from .packing import BUCKETS, MAX_LENGTH, PIECES, TOKEN_BUDGET, pack
+from .packing import BUCKETS, MAX_LENGTH, PIECE_ROWS, TOKEN_BUDGET, pack
+from .sharding import PIECE_ROWS as SHARD_PIECE_ROWS
 from .sharding import shard_documents
 from .url_filters import judge_urls
 
@@ -92,7 +93,7 @@ def _packing_sql() -> str:
         steps.append(f"b{k} AS MATERIALIZED (SELECT b.j, CASE WHEN m.cost < b.best THEN m.cost ELSE b.best END AS best, CASE WHEN m.cost < b.best THEN list_append(m.path, h.len) ELSE b.path END AS path FROM b{k - 1} b JOIN h USING (j) LEFT JOIN m{k} m USING (j))")
     steps.append(f"bounds AS (SELECT unnest(path) AS bucket FROM b{BUCKETS} WHERE j = (SELECT max(j) FROM h))")
     steps.append("placed AS (SELECT doc_id, chunk, n_tokens, (SELECT min(bucket) FROM bounds WHERE bucket >= n_tokens) AS bucket FROM chunks)")
-    piece = f"(((doc_id % 2147483648) * 2654435761) >> 16) % {PIECES}"
+    piece = f"(((doc_id % 2147483648) * 2654435761) >> 16) % (1 + (SELECT count(*) FROM chunks) // {BUCKETS * PIECE_ROWS})"
     steps.append(f"ranked AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {piece}, doc_id, chunk, n_tokens) - 1 AS r, greatest(1, {TOKEN_BUDGET} // bucket) AS room FROM placed)")
     return f"WITH {',\n'.join(steps)}\nSELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(bucket AS BIGINT) AS bucket, CAST(r // room AS BIGINT) AS batch, CAST(r % room AS BIGINT) AS place, CAST(bucket - n_tokens AS BIGINT) AS padding FROM ranked"
 
@@ -122,14 +123,33 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS BIGINT)) AS BIGINT) AS
 FROM judged GROUP BY doc_id
 """
 
-_JUMP = """
-WITH RECURSIVE jump(n, doc_id, k, b, j) AS (
-  SELECT n, doc_id, CAST(CASE WHEN doc_id < 0 THEN CAST(doc_id AS HUGEINT) + 18446744073709551616 ELSE coalesce(doc_id, 0) END AS UHUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT)
-  FROM (SELECT DISTINCT doc_id FROM documents), (VALUES ({0}), ({0} + 1)) AS t(n)
+
+def _crc_step(c: int) -> int:
+    for _ in range(8):
+        c = c >> 1 ^ 0xEDB88320 * (c & 1)
+    return c
+
+
+_CRC_TABLE = ", ".join(str(_crc_step(c)) for c in range(256))
+
+OP9_SQL = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, CAST(coalesce(doc_id, 0) AS BIGINT) AS k, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents
+), sums AS (
+  SELECT r, doc_id, k, CAST(len(bytes) + 16 AS BIGINT) AS size,
+         CAST(xor(list_reduce(list_transform(list_prepend('FFFFFFFF', bytes), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, [{_CRC_TABLE}][(xor(c, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32
+  FROM docs
+), jump(n, key, k, b, j) AS (
+  SELECT n, k, CAST(k AS UHUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM (SELECT DISTINCT k FROM docs), (VALUES ({SHARDS}), ({SHARDS + 1})) AS t(n)
   UNION ALL
-  SELECT n, doc_id, nk, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / (CAST(nk // 8589934592 AS DOUBLE) + 1.0::DOUBLE))) AS BIGINT)
-  FROM (SELECT n, doc_id, j, (k * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS nk FROM jump WHERE j < n)
-)"""
+  SELECT n, key, nk, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / (CAST(nk // 8589934592 AS DOUBLE) + 1.0::DOUBLE))) AS BIGINT)
+  FROM (SELECT n, key, j, (k * 2862933555777941757::UHUGEINT + 1::UHUGEINT) % 18446744073709551616::UHUGEINT AS nk FROM jump WHERE j < n)
+), homes AS (SELECT n, key, max(j) AS shard FROM jump WHERE j < n GROUP BY n, key)
+SELECT s.doc_id, s.size, s.text_crc32, 'key' AS law, CAST(a.shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY a.shard ORDER BY (((s.k % 2147483648) * 2654435761) >> 16) % (1 + (SELECT count(*) FROM documents) // {SHARDS * SHARD_PIECE_ROWS}), s.k, s.size, s.text_crc32) - 1 AS slot,
+       CAST(g.shard AS INTEGER) AS grown_shard
+FROM sums s JOIN homes a ON a.n = {SHARDS} AND a.key = s.k JOIN homes g ON g.n = {SHARDS + 1} AND g.key = s.k
+"""
 
 QUERIES = {f.__name__: f for f in (op2_decontamination, op3_packing, op6_url_filters, op7_lm_scoring, op8_line_dedup, op9_sharding)}
-ORACLES = {"op2_decontamination": OP2_SQL, "op3_packing": OP3_SQL, "op6_url_filters": OP6_SQL, "op8_line_dedup": OP8_SQL}
+ORACLES = {"op2_decontamination": OP2_SQL, "op3_packing": OP3_SQL, "op6_url_filters": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}

@@ -28,20 +28,27 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", pieces: int = 256) -> DataFrame:
+#: Rows that a task numbers at once, on average.
+PIECE_ROWS = 100_000
+
+
+def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """One row per document: size, text_crc32, law, shard, slot and grown_shard.
 
     The shard follows from the key and the shard count alone, so there is no
     ring table, and no row depends on another. The slot numbers a shard's rows
-    without a gap: each shard is dealt into pieces (by a hash of the key), rows
-    are numbered within a piece, and a piece starts where those before it end;
-    so no task sorts a whole shard, and only one count per piece is gathered
-    (shards times pieces rows, whatever the input). The text itself never moves.
+    without a gap: each shard is dealt into pieces of about piece_rows (by a hash
+    of the key), rows are numbered within a piece, and a piece starts where those
+    before it end; so no task sorts a whole shard, and one count for each piece
+    is joined back. The text itself never moves, however long.
 
-    A null key counts as key 0 and keeps its null id; a null text has size 16
-    and the checksum of no bytes; rows with the same key share a shard and get
-    slots of their own; an empty table gives no rows; other columns are ignored.
+    A null key counts as key 0 and keeps its null id, so it shares the shard of a
+    key that is 0; a null text has size 16 and the checksum of no bytes; rows with
+    the same key share a shard and get slots of their own, in the order of size
+    and checksum (those with both the same in any order); an empty table gives no
+    rows; other columns are ignored.
     """
+    pieces = 1 + docs.count() // (shards * piece_rows)
 
     @F.pandas_udf("int")
     def here(k: pd.Series) -> pd.Series:
@@ -55,10 +62,10 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     number = F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")) if raw is None else F.xxhash64(raw)
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(key).alias("doc_id"), number.alias("_key"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    rows = rows.withColumn("shard", here("_key")).withColumn("grown_shard", grown("_key")).withColumn("_piece", F.pmod(F.crc32(F.col("_key").cast("string").cast("binary")), F.lit(pieces)).cast("int"))
+    rows = rows.withColumn("shard", here("_key")).withColumn("grown_shard", grown("_key")).withColumn("_piece", F.pmod(F.shiftright(F.pmod("_key", F.lit(1 << 31).cast("long")) * F.lit(2654435761), 16), F.lit(pieces)))
     numbered = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("shard", "_piece").orderBy("_key", "size", "text_crc32")))
     counts = rows.groupBy("shard", "_piece").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("shard", "_piece", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_piece")) - F.col("_n")).alias("_start"))
-    return numbered.join(F.broadcast(starts), ["shard", "_piece"]).select(
+    return numbered.join(starts, ["shard", "_piece"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_nth") - 1).cast("long").alias("slot"), "grown_shard"
     )

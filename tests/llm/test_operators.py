@@ -106,7 +106,7 @@ def test_decontamination_at_random():
 
 
 def test_packing(docs, none, rows):
-    df = packing.pack(docs, max_length=64, buckets=4, token_budget=256)
+    df = packing.pack(docs, max_length=64, buckets=4, token_budget=256, piece_rows=9)
     out = df.collect()
     joined = {}
     for r in sorted(out, key=lambda r: r.chunk):
@@ -291,7 +291,7 @@ def test_line_dedup_counts_documents_not_rows(spark):
 
 
 def test_sharding(docs, none, rows):
-    out = sharding.shard_documents(docs, 7, pieces=3).collect()
+    out = sharding.shard_documents(docs, 7, piece_rows=4).collect()
     assert len(out) == len(rows)
     by_id = {d: t for d, t in rows if d is not None}
     for r in out:
