@@ -73,6 +73,20 @@ class SuffixAutomaton:
         found = self.next[state].get(token)
         return (0, 0) if found is None else (found, matched + 1)
 
+    def walk(self, tokens: Iterable[int], width: int) -> Iterator[tuple[int, int]]:
+        """After each token the longest match, and the state of the match cut to its last width tokens.
+
+        The cut match moves along beside the full one, so no token climbs through
+        the lengths above width.
+        """
+        state = matched = cut = held = 0
+        for token in tokens:
+            state, matched = self.step(state, matched, token)
+            cut, held = self.step(cut, held, token)
+            if held > width:
+                cut, held = self.shortened(cut, width), width
+            yield matched, cut
+
     def shortened(self, state: int, n: int) -> int:
         """The state of the last n tokens of a match that is at least as long."""
         while self.length[self.link[state]] >= n:
@@ -96,9 +110,7 @@ class ItemIndex:
         self.items: dict[tuple[int, int], set[str]] = {}
         for item, tokens in sequences:
             size = min(window, len(tokens))
-            state = matched = 0
-            for token in tokens:
-                state, matched = self.automaton.step(state, matched, token)
+            for matched, state in self.automaton.walk(tokens, size):
                 if matched >= size:
                     self.items.setdefault((self.automaton.shortened(state, size), size), set()).add(item)
 
@@ -114,11 +126,10 @@ class ItemIndex:
         spans: list[tuple[int, int]] = []
         items: set[str] = set()
         longest = 0
-        step, shortened, known = self.automaton.step, self.automaton.shortened, self.items
+        shortened, known = self.automaton.shortened, self.items
         for r in runs.tolist():
-            state = matched = 0
-            for at in range(int(starts[r]), int(stops[r])):
-                state, matched = step(state, matched, int(tokens[at]))
+            first = int(starts[r])
+            for at, (matched, state) in enumerate(self.automaton.walk(tokens[first : int(stops[r])].tolist(), self.sizes[-1]), first):
                 longest = max(longest, matched)
                 for size in self.sizes:
                     if matched < size:
@@ -181,8 +192,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     lies. With more than one block, findings so far are written to the shared
     folder between them. The corpus itself is never shuffled.
 
-    A null or empty text has no words and no spans; null and empty items have
-    no windows; items with the same text all count; the same item_id in several
+    A null or empty text has no words and no spans; a very long text is scanned
+    by one task in time proportional to its words; no documents give no rows;
+    null and empty items have no windows; items with the same text all count; the same item_id in several
     rows counts once; repeated documents give repeated rows; extra columns are
     ignored; without items nothing is found.
     """

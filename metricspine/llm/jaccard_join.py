@@ -311,8 +311,8 @@ def _verify_block(members: list[tuple], cross: bool, percent: int) -> Iterator[t
     if cross:
         block = np.array([m[1] for m in members])
         link &= block[:, None] != block[None, :]
-    copies = np.array([m[2] for m in members])
-    counts = (link * copies[None, :]).sum(axis=1)
+    copies, ids = np.array([m[2] for m in members]), np.array([m[0] for m in members])
+    counts = (link * copies[None, :] * (ids[:, None] != ids[None, :])).sum(axis=1)
     root = np.arange(len(members))
     while True:
         lower = np.where(link, root[None, :], len(members)).min(axis=1)
@@ -348,8 +348,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     those that go to step 4; nothing goes to the driver but sizes. Steps hand
     over written tables.
 
-    Null and empty texts have empty sets and link with nothing; rows with one
-    doc_id are one document; a null doc_id gets no component and no links;
+    Null and empty texts have empty sets and link with nothing; a very long text
+    is one set, held by a task whole; similarities of exactly percent % link; rows
+    with one doc_id are one document, and where their texts differ n_links is that
+    of the row's own text, and counts a document for each of its texts; a null doc_id gets no component and no links;
     extra columns are ignored; an empty table gives no rows.
     """
     body = sources(docs, doc_id=F.col("doc_id").cast("long"), text=text_bytes())
@@ -389,14 +391,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     wide = connected_components(met).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     wide = written(wide.join(wide.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family"), "jaccard-wide")
 
-    token_schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary())])
+    token_schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary()), ("digest", pa.binary())])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from emitter(token_schema, ((i, s.tobytes()) for i, s in from_text(batches)), weigh=lambda r: len(r[1]))
+        yield from emitter(token_schema, ((i, s.tobytes(), xxhash.xxh3_128_digest(s.tobytes())) for i, s in from_text(batches)), weigh=lambda r: len(r[1]))
 
     copies = owned.where("rep = doc_id").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    kept = body.join(wide, "doc_id", "left_semi").mapInArrow(keep, spark_schema(token_schema))
-    kept = written(kept.where(F.length("tokens") > 0), "jaccard-rest")
+    kept = body.join(wide, "doc_id", "left_semi").mapInArrow(keep, spark_schema(token_schema)).where(F.length("tokens") > 0)
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # a doc_id with several rows, alike or not: one row for each class that it stands for
+        kept = kept.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).distinct()
+    kept = written(kept.drop("digest"), "jaccard-rest")
     large = kept.join(wide.where(F.col("size") > block), "doc_id", "left_semi")
     sizes = {r[0]: r[1] for r in large.groupBy((F.length("tokens") / 8).cast("int")).count().collect()}
     fine = _candidates(large, from_tokens, schemes(1.0, count or 0), percent, sizes)

@@ -157,7 +157,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_f
     the driver), and the class prior is estimated from histograms of a first
     model's scores, unless it is given.
 
-    Null and empty texts are scored as texts without words; repeated documents
+    Null and empty texts are scored as texts without words; a very long text is
+    described whole by one task, which holds its words; a score of exactly 0.5 is
+    predicted as 1; repeated documents
     are scored alike; a doc_id labelled both ways is no positive; labels
     without a document, and nulls in them, are ignored; without any positive
     or document the score is 0.5; extra columns are ignored.

@@ -109,7 +109,9 @@ def judge_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: f
     Texts are read once, by one task each; the counts are written to the shared
     folder, and the posterior joins them by pattern.
 
-    Null and empty texts have zero counts and fail; repeated rows count each
+    Null and empty texts have zero counts and fail; a very long text is counted
+    whole by one task, which holds its words; a posterior of exactly threshold is
+    kept; repeated rows count each
     time; a null doc_id is kept as null; extra columns are ignored; an empty
     table gives no rows.
     """

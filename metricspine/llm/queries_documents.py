@@ -39,7 +39,9 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"), order=LM_ORDER)
+    """Scores with six decimals: sums of many terms differ in the last bits with the order of addition."""
+    found = score_texts(table(spark, sf_dir, "documents"), order=LM_ORDER)
+    return found.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +134,44 @@ def _crc_step(c: int) -> int:
 
 _CRC_TABLE = ", ".join(str(_crc_step(c)) for c in range(256))
 
+def _crc_sql(hexes: str) -> str:
+    """The checksum of a list of bytes in hexadecimal."""
+    return f"CAST(xor(list_reduce(list_transform(list_prepend('FFFFFFFF', {hexes}), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, [{_CRC_TABLE}][(xor(c, b) & 255) + 1])), 4294967295) AS BIGINT)"
+
+
+OP7_SQL = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_crc_sql("regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))), '..')")} % 7 = 2 AS held_out,
+         list_concat([chr(10)], regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+'), [chr(10)]) AS w FROM documents
+), t AS MATERIALIZED (
+  SELECT r, held_out, unnest(w[2:]) AS c, unnest(w[1:len(w) - 1]) AS b, unnest(list_prepend(NULL, w[1:len(w) - 2])) AS a FROM docs
+), one AS MATERIALIZED (SELECT c, count(*) AS n FROM t WHERE NOT held_out GROUP BY 1),
+two AS MATERIALIZED (SELECT b, c, count(*) AS n FROM t WHERE NOT held_out GROUP BY 1, 2),
+three AS MATERIALIZED (SELECT a, b, c, count(*) AS n FROM t WHERE NOT held_out AND a IS NOT NULL GROUP BY 1, 2, 3),
+after_one AS (SELECT b, sum(n) AS n, count(*) AS types FROM two GROUP BY 1),
+after_two AS (SELECT a, b, sum(n) AS n, count(*) AS types FROM three GROUP BY 1, 2),
+whole AS (SELECT sum(n)::DOUBLE AS n, count(*)::DOUBLE AS types, coalesce(count(*) FILTER (n = 1) / nullif(count(*) FILTER (n = 1) + 2 * count(*) FILTER (n = 2), 0) * CASE WHEN count(*) FILTER (n = 1) > 0 THEN 1 END, 0.5)::DOUBLE AS discount FROM one),
+first_ AS (
+  SELECT t.*, coalesce(one.n, 0) AS n, CASE WHEN one.n IS NULL THEN discount * types / whole.n ELSE (one.n - discount) / whole.n END AS p, log10((coalesce(one.n, 0) + 1) / (whole.n + types + 1)) AS base
+  FROM t LEFT JOIN one ON one.c = t.c, whole
+), second AS (
+  SELECT f.r, f.a, f.b, f.c, f.n, f.base, CASE WHEN h.n IS NULL THEN f.p ELSE (coalesce(two.n, 0) + h.types * f.p) / (h.n + h.types) END AS p
+  FROM first_ f LEFT JOIN after_one h ON h.b = f.b LEFT JOIN two ON two.b = f.b AND two.c = f.c
+), third AS (
+  SELECT s.r, s.n, s.base, CASE WHEN h.n IS NULL THEN s.p ELSE (coalesce(three.n, 0) + h.types * s.p) / (h.n + h.types) END AS p
+  FROM second s LEFT JOIN after_two h ON h.a = s.a AND h.b = s.b LEFT JOIN three ON three.a = s.a AND three.b = s.b AND three.c = s.c
+)
+SELECT any_value(d.doc_id) AS doc_id, any_value(d.held_out) AS held_out, count(*) AS n_tokens, count(*) FILTER (x.n > 0) AS n_known, CAST((SELECT n FROM whole) AS BIGINT) AS train_tokens,
+       round(sum(x.base), 6) AS base_score, round(sum(log10(x.p)), 6) AS score
+FROM third x JOIN docs d ON d.r = x.r GROUP BY x.r
+"""
+
 OP9_SQL = f"""
 WITH RECURSIVE docs AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, CAST(coalesce(doc_id, 0) AS BIGINT) AS k, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents
 ), sums AS (
   SELECT r, doc_id, k, CAST(len(bytes) + 16 AS BIGINT) AS size,
-         CAST(xor(list_reduce(list_transform(list_prepend('FFFFFFFF', bytes), lambda x: CAST('0x' || x AS BIGINT)), lambda c, b: xor(c >> 8, [{_CRC_TABLE}][(xor(c, b) & 255) + 1])), 4294967295) AS BIGINT) AS text_crc32
+         {_crc_sql("bytes")} AS text_crc32
   FROM docs
 ), jump(n, key, k, b, j) AS (
   SELECT n, k, CAST(k AS UHUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM (SELECT DISTINCT k FROM docs), (VALUES ({SHARDS}), ({SHARDS + 1})) AS t(n)
@@ -152,4 +186,4 @@ FROM sums s JOIN homes a ON a.n = {SHARDS} AND a.key = s.k JOIN homes g ON g.n =
 """
 
 QUERIES = {f.__name__: f for f in (op2_decontamination, op3_packing, op6_url_filters, op7_lm_scoring, op8_line_dedup, op9_sharding)}
-ORACLES = {"op2_decontamination": OP2_SQL, "op3_packing": OP3_SQL, "op6_url_filters": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}
+ORACLES = {"op2_decontamination": OP2_SQL, "op3_packing": OP3_SQL, "op6_url_filters": OP6_SQL, "op7_lm_scoring": OP7_SQL, "op8_line_dedup": OP8_SQL, "op9_sharding": OP9_SQL}

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import emitter, rows_of, scale_partitions, sources, spark_schema, text_bytes, written
+from .common import discard, emitter, rows_of, scale_partitions, sources, spark_schema, text_bytes, written
 from .jaccard_join import _mix
 from .suffix_array import least_by_window
 
@@ -60,6 +60,24 @@ def _runs(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _SIGS = pa.schema([("sig", pa.int64()), ("ident", pa.int64())])
+_SIGNED = pa.schema([*_SIGS, ("kind", pa.int8())])
+#: Kinds of signed rows: an anchor of one text, as far as the block shows; an anchor that the block has found in several; and one of these several texts.
+_ALONE, _MARK, _FOUND = 0, 1, 2
+_BLOCK = 1_000_000
+
+
+def _signed_block(sig: np.ndarray, ident: np.ndarray) -> pa.RecordBatch:
+    """An anchor that several texts of a block share is sent once to be told to other blocks; its texts know already."""
+    order = np.lexsort((ident, sig))
+    sig, ident = sig[order], ident[order]
+    new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (ident[1:] != ident[:-1])))
+    sig, ident = sig[new], ident[new]
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    sizes = np.diff(np.concatenate((first, [len(sig)])))
+    found = np.repeat(sizes > 1, sizes)
+    mark = first[sizes > 1]
+    kind = np.concatenate((np.where(found, _FOUND, _ALONE), np.full(len(mark), _MARK))).astype(np.int8)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate((sig, sig[mark]))), pa.array(np.concatenate((ident, ident[mark]))), pa.array(kind)], schema=_SIGNED)
 
 
 def _shared_anchors(body: DataFrame, depth: int, expected: int) -> DataFrame:
@@ -75,11 +93,11 @@ def _shared_anchors(body: DataFrame, depth: int, expected: int) -> DataFrame:
                 sigs.append(own.view(np.int64))
                 idents.append(np.full(len(own), ident, dtype=np.int64))
                 size += len(own)
-            if size >= 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(idents))], schema=_SIGS)
+            if size >= _BLOCK:
+                yield _signed_block(np.concatenate(sigs), np.concatenate(idents))
                 sigs, idents, size = [], [], 0
         if sigs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(idents))], schema=_SIGS)
+            yield _signed_block(np.concatenate(sigs), np.concatenate(idents))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Streams: of each anchor its first text stays, until another comes; after that every text is sent on."""
@@ -92,7 +110,8 @@ def _shared_anchors(body: DataFrame, depth: int, expected: int) -> DataFrame:
             nonlocal held_sig, held_ident, held_sent, waiting, count
             sig = np.concatenate((held_sig, *(b.column(0).to_numpy() for b in waiting)))
             ident = np.concatenate((held_ident, *(b.column(1).to_numpy() for b in waiting)))
-            sent = np.concatenate((held_sent, np.zeros(len(sig) - len(held_sig), dtype=bool)))
+            # a mark says that there are several, and needs no answer
+            sent = np.concatenate((held_sent, *(b.column(2).to_numpy() == _MARK for b in waiting)))
             waiting, count = [], 0
             order = np.lexsort((~sent, sig))
             sig, ident, sent = sig[order], ident[order], sent[order]
@@ -105,6 +124,11 @@ def _shared_anchors(body: DataFrame, depth: int, expected: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(ident[out])], schema=_SIGS)
 
         for batch in batches:
+            found = batch.column(2).to_numpy() == _FOUND
+            if found.any():
+                told = batch.filter(pa.array(found))
+                yield pa.RecordBatch.from_arrays([told.column(0), told.column(1)], schema=_SIGS)
+                batch = batch.filter(pa.array(~found))
             waiting.append(batch)
             count += batch.num_rows
             if count >= _SIG_ROWS + len(held_sig):
@@ -113,7 +137,9 @@ def _shared_anchors(body: DataFrame, depth: int, expected: int) -> DataFrame:
             yield flush()
 
     parts = max(scale_partitions(body.sparkSession), expected // _SIG_ROWS + 1)
-    signed = body.mapInArrow(sign, spark_schema(_SIGS)).repartition(parts, "sig")
+    # what blocks have found needs no anchor's task, so a frequent anchor sends there a row for each block
+    to = F.when(F.col("kind") == _FOUND, F.col("ident")).otherwise(F.col("sig"))
+    signed = body.mapInArrow(sign, spark_schema(_SIGNED)).repartition(parts, to)
     return signed.mapInArrow(shared, spark_schema(_SIGS)).groupBy("ident").agg(F.collect_list("sig").alias("sigs"))
 
 
@@ -214,12 +240,25 @@ def _repeated_spans(body: DataFrame, homes: DataFrame, depth: int, shard_bytes:
     sigs = written(sigs.join(homes.select("ident", "home"), "ident"), "repeats-anchors")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from emitter(_SOLVED, _solve(list(rows_of(batches, "sig", "digest", "piece", "least")), depth, shard_bytes), size=20_000)
+        """Rows are sorted by anchor; those of some anchors are held at once, about shard_bytes of text or one anchor's."""
+
+        def rows():
+            held, size = [], 0
+            for row in rows_of(batches, "sig", "digest", "piece", "least"):
+                if size >= shard_bytes and row[0] != held[-1][0]:
+                    yield from _solve(held, depth, shard_bytes)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[2])
+            if held:
+                yield from _solve(held, depth, shard_bytes)
+
+        yield from emitter(_SOLVED, rows(), size=20_000)
 
     parts = max(scale_partitions(spark), int((total or 0) // (16 << 20)) + 1)
     pieces = _cut(body, sigs, depth)
     distinct = pieces.groupBy("sig", "piece").agg(F.min("doc_id").alias("least")).select("sig", F.xxhash64("piece").alias("digest"), "piece", "least")
-    solved = distinct.repartition(parts, "sig").mapInArrow(solve, spark_schema(_SOLVED))
+    solved = distinct.repartition(parts, "sig").sortWithinPartitions("sig").mapInArrow(solve, spark_schema(_SOLVED))
     placed = pieces.select("sig", F.xxhash64("piece").alias("digest"), "ident", "doc_id", "start", F.octet_length("piece").alias("n")).join(solved, ["sig", "digest"])
     whole = F.array(F.struct(F.col("start"), (F.col("start") + F.col("n")).alias("stop")))
     shifted = F.transform("inner", lambda x: F.struct((F.col("start") + x["start"]).alias("start"), (F.col("start") + x["stop"]).alias("stop")))
@@ -233,6 +272,28 @@ def _cut(body: DataFrame, sigs: DataFrame, depth: int) -> DataFrame:
     return written(chosen.mapInArrow(_pieces(depth), spark_schema(_PIECES)), "repeats-pieces")
 
 
+def _ident(salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), "text") if salt else F.xxhash64("text")
+
+
+def _identified(body: DataFrame) -> tuple[Column, DataFrame]:
+    """A number for each text, and (ident, home, n_bytes) of the texts, home being the smallest doc_id.
+
+    Numbers are 64-bit hashes. Texts of unlike digests with one number (about
+    n * n / 2 ** 65 among n texts) are numbered by another hash, until none are left.
+    """
+    ident, salt = _ident(0), 0
+    while True:
+        homes = body.withColumn("ident", ident).groupBy("ident", F.unhex(F.md5("text")).alias("_digest")).agg(F.min("doc_id").alias("home"), F.max(F.octet_length("text")).cast("long").alias("n_bytes"))
+        homes = written(homes.select("ident", "home", "n_bytes"), "repeats-homes")
+        clash = [r[0] for r in homes.groupBy("ident").count().where("count > 1").select("ident").collect()]
+        if not clash:
+            return ident, homes
+        discard(homes)
+        salt += 1
+        ident = F.when(ident.isin(clash), _ident(salt)).otherwise(ident)
+
+
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans and kept for each row of docs (doc_id, text).
 
@@ -258,15 +319,16 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD
        splits, and the spans return to their documents.
 
     Each step hands over a table in the shared folder; nothing but sizes goes to
-    the driver. A null or empty text has no bytes; rows with one doc_id never
+    the driver. A null or empty text has no bytes; a very long text is held by one
+    task, with eight bytes for each of its own; rows with one doc_id never
     remove from each other; a null doc_id keeps everything and removes nothing;
     extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     whole = sources(docs, doc_id=F.col("doc_id").cast("long"), text=text_bytes())
-    body = whole.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth)).withColumn("ident", F.xxhash64("text"))
-    homes = body.groupBy("ident", F.md5("text").alias("_digest")).agg(F.min("doc_id").alias("home"), F.max(F.octet_length("text")).cast("long").alias("n_bytes"))
-    homes = written(homes.select("ident", "home", "n_bytes"), "repeats-homes")
+    body = whole.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth))
+    ident, homes = _identified(body)
+    body = body.withColumn("ident", ident)
     spans = _repeated_spans(body, homes, depth, shard_bytes)
     judged = homes.select("ident", "home").join(spans, "ident", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
@@ -293,5 +355,8 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD
 
         yield from emitter(schema, rows(), weigh=lambda r: len(r[5]))
 
-    marked = whole.withColumn("ident", F.when(F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth), F.xxhash64("text")))
-    return marked.join(judged, "ident", "left").select("doc_id", "text", "home", "spans").mapInArrow(remove, spark_schema(schema))
+    # texts that take no part meet nothing, and are dealt out by a number of their own
+    part = F.col("doc_id").isNotNull() & (F.octet_length("text") >= depth)
+    marked = whole.withColumn("_part", part).withColumn("_at", F.when(part, ident).otherwise(F.monotonically_increasing_id()))
+    judged = judged.select(F.col("ident").alias("_at"), F.lit(True).alias("_part"), "home", "spans")
+    return marked.join(judged, ["_at", "_part"], "left").select("doc_id", "text", "home", "spans").mapInArrow(remove, spark_schema(schema))

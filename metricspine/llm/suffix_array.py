@@ -62,7 +62,9 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
 
     Each suffix is compared with its predecessor in sa from the first byte, in
     the order of the text, eight bytes at a time; those that differ drop out.
-    Kasai's carried length is not used: depth bounds the comparison instead.
+    Kasai's carried length (the last one less 1) would be wrong here: it presumes
+    that all suffixes are in full order, and these are sorted to depth alone and
+    are not all there. Depth bounds the comparison instead.
     """
     lcp = np.zeros(len(sa), dtype=np.int64)
     if len(sa) < 2:

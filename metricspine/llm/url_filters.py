@@ -35,7 +35,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     reaches; expressions meet rules on the first 32 bits of their SHA-256, and
     a meeting counts once the full digest agrees.
 
-    A null url or one without :// has an empty host and path, which no rule
+    A very long url makes as many expressions as the rules are deep, no more. A
+    null url or one without :// has an empty host and path, which no rule
     fits; nulls in a rule make it no rule; repeated rows are judged alike and
     kept; other columns may have any names; an empty table gives no rows.
     """

@@ -91,6 +91,20 @@ def test_decontamination(spark, docs, none, rows, block_words):
     assert {r.n_hit for r in decontamination.decontaminate(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_decontamination_of_one_word_repeated():
+    """A long item and a longer text of equal words: time in proportion, and the same findings."""
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        began = time.perf_counter()
+        index = decontamination.ItemIndex([("1", [b"a"] * n)], 8)
+        spans, names, longest = index.scan([b"a"] * (4 * n))
+        took.append(time.perf_counter() - began)
+        assert (spans, names, longest) == ([(0, 4 * n)], {"1"}, n)
+    assert took[1] < 30 * took[0] + 1
+
+
 def test_decontamination_at_random():
     r = random.Random(3)
     for _ in range(200):
@@ -172,6 +186,31 @@ def test_quality_classifier_learns_and_ignores_the_held_out_fold(spark):
     assert max(abs(again[k] - v.score) for k, v in scores.items()) < 1e-6
 
 
+def test_the_risk_is_minimised(spark):
+    """Newton steps over partial sums against plain gradient descent on the same risk."""
+    r = np.random.default_rng(3)
+    y = r.random(600) < 0.6
+    x = r.normal(size=(600, 3)) + np.where(y, 0.8, -0.8)[:, None]
+    positive = y & (r.random(600) < 0.5)
+    prior = 0.6
+    rows = spark.createDataFrame([(list(map(float, a)), bool(p)) for a, p in zip(x, positive, strict=True)], "x array<float>, positive boolean").repartition(3)
+    got = quality_classifier._fit(rows, np.zeros(3), np.ones(3), prior, np.zeros(4), 30)
+    z = np.column_stack((np.ones(600), np.clip(x.astype(np.float32), -8, 8)))
+    ridge = quality_classifier.RIDGE * np.array([0, 1, 1, 1])
+
+    def risk(w):
+        g = z @ w
+        above = np.logaddexp(0, g)
+        negative = above.mean() - prior * above[positive].mean()
+        return prior * (above - g)[positive].mean() + max(0.0, negative) + 0.5 * (ridge * w * w).sum()
+
+    w = np.zeros(4)
+    for _ in range(4000):
+        p = 1 / (1 + np.exp(-(z @ w)))
+        w -= 0.5 * ((z * p[:, None]).mean(axis=0) - prior * z[positive].mean(axis=0) + ridge * w)
+    assert risk(got) <= risk(w) + 1e-5
+
+
 def test_jaccard_join(docs, none, rows):
     want = brute.components(rows, 4, 85)
     for block in (64, 2):
@@ -331,6 +370,15 @@ def test_repeated_bytes_of_one_document(spark):
     assert got == [(1, 140, 0, 0), (1, 142, 0, 0), (2, 140, 140, 1), (2, 80, 80, 1)]
 
 
+def test_repeated_bytes_tells_texts_of_one_number_apart(spark, docs, rows, monkeypatch):
+    """Numbers of texts that clash are replaced; the results are those of unlike numbers."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(repeated_bytes, "_ident", lambda salt: F.xxhash64(F.lit(salt), "text") % (3 if salt == 0 else 40 if salt == 1 else 2**62))
+    df = repeated_bytes.remove_repeats(docs, 50)
+    assert found(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((d, n, k, s, brute.sha(b)) for d, n, k, s, b in brute.repeated_bytes(rows)), key=repr)
+
+
 def test_suffix_arrays_at_random():
     from metricspine.llm import suffix_array as sa
 
@@ -346,3 +394,32 @@ def test_suffix_arrays_at_random():
         for i in range(1, n):
             same = next((k for k in range(d) if keys[i][k] != keys[i - 1][k]), d)
             assert lcp[i] == same
+
+
+LONG = [("word " * 300_000)[:-1], "x" * 1_200_000, "a line of its own\n" * 60_000]
+
+
+def test_repeated_rows_and_very_long_texts(spark):
+    """Rows with one doc_id, alike and unlike, and texts of more than a megabyte: one word repeated, one line, one line repeated."""
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, near), (1, near), (2, near), (2, near + " more"), (3, near + " more"), (3, "else"), *[(10 + k, t) for k, t in enumerate(LONG)], (20, LONG[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = found(quality_rules.judge_quality(docs), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got == sorted(((d, *brute.base_rules(t)) for d, t in rows), key=repr)
+    items = [(1, "word " * 9), (2, near)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = found(decontamination.decontaminate(docs, bench), "doc_id", "n_words", "n_hit", "n_items")
+    assert got == sorted(((d, n, len(h), len(i)) for d, n, h, i in brute.contamination(rows, items)), key=repr)
+    assert sum(r.n_tokens for r in packing.pack(docs, keep_text=False).collect()) == sum(len(brute.words(t)) + 1 for _, t in rows)
+    assert quality_classifier.score_quality(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")).count() == len(rows)
+    got = {(r.doc_id, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(docs, 4, 85).collect()}
+    assert got == {(1, 1, 3), (2, 1, 3), (3, 1, 3), (3, 1, 0), (10, 10, 1), (20, 10, 1), (11, 11, 0), (12, 12, 0)}, got
+    want = sorted(brute.language_model(rows, 3)[0], key=lambda w: repr(w[:3]))
+    got = sorted(scored(lm_scoring.score_texts(docs)), key=lambda w: repr(w[:3]))
+    assert [x[:5] for x in got] == [w[:5] for w in want]
+    assert sorted(x[5] for x in got) == pytest.approx(sorted(w[5] for w in want)) and sorted(x[6] for x in got) == pytest.approx(sorted(w[6] for w in want), rel=1e-4)
+    got = found(line_dedup.dedup_lines(docs), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert got == sorted(((d, n, k, brute.sha(t)) for d, n, k, t in brute.line_dedup(rows)), key=repr)
+    assert sorted(r.size for r in sharding.shard_documents(docs, 3).collect()) == sorted(len(t) + 16 for _, t in rows)
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in repeated_bytes.remove_repeats(docs, 50).collect()}
+    assert got[20, len(LONG[0])] == len(LONG[0]) and all(got[10 + k, len(t)] == 0 for k, t in enumerate(LONG))
