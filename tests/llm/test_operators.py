@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from metricspine.llm import (
+    components,
     decontamination,
     jaccard_join,
     line_dedup,
@@ -237,6 +238,28 @@ def test_jaccard_join_of_random_sets(spark):
     assert found(df, "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute.components(rows, 4, 80), key=repr)
 
 
+def test_connected_components(spark):
+    """A star, a chain, a clique and random edges, with self-edges, repeats and nulls."""
+    r = random.Random(3)
+    edges = [(k, 500) for k in range(400, 600)] + [(k, k + 1) for k in range(700, 760)] + [(a, b) for a in range(800, 812) for b in range(800, 812)]
+    edges += [(r.randrange(1000, 1300), r.randrange(1000, 1300)) for _ in range(160)] + [(400, 500), (None, 3), (3, None), (9, 9)]
+    near = {}
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for node in sorted(near):
+        reach = [] if node in want else [node]
+        for x in reach:
+            if x not in want:
+                want[x] = node
+                reach += near[x]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {tuple(r) for r in components.connected_components(df).collect()} == set(want.items())
+    assert components.connected_components(df.limit(0)).count() == 0
+
+
 def test_signatures_never_miss():
     """The pigeonhole claim itself, for both kinds of allocation."""
     r = np.random.default_rng(2)
