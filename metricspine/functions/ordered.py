@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Of the sketch that brackets an ungrouped order statistic; ranks are off by at most rows / ACCURACY.
+#: Of the sketch that brackets an order statistic; ranks are off by at most rows / ACCURACY.
 ACCURACY = 10_000
 
 
@@ -15,29 +17,42 @@ def rank_of(p: float, n: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.ceil(F.lit(float(p)) * n.cast("double")))
 
 
+def _measure(v: Column, kind: T.DataType) -> Column | None:
+    """v on a scale that a sketch knows and that never turns the order of two values around; None for text and the like."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.nanvl(v.cast("double"), F.lit(float("inf")))
+    if isinstance(kind, T.NumericType):
+        return v.cast("double")
+    return v if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else None
+
+
 def discrete_percentile(df: DataFrame, keys: list[str], value: Column, p: float, label: str) -> DataFrame:
     """keys and the smallest value v such that at least the share p of the group's values is at most v; nulls don't count.
 
-    Values are counted first, so a group is ordered by its distinct values, in
-    a window that spills. Without keys, a sketch brackets the rank, values
-    outside the bracket are only counted, and the few inside are ordered.
+    A sketch for each group, merged from partial ones, brackets the rank. Values
+    are counted; those below the bracket are summed up to one row of their
+    group, those above are left out, and the few inside are ordered. So no
+    task orders a group, however large. Text, which no sketch knows, is
+    ordered by a group's distinct values, in a window that spills.
     """
-    counted = df.select(*[F.col(f"`{k}`") for k in keys], value.alias("_v")).groupBy(*[F.col(f"`{k}`") for k in keys], "_v").agg(F.count("_v").alias("_n"))
-    numeric = isinstance(counted.schema["_v"].dataType, T.NumericType)
+    by = [F.col(f"`{k}`") for k in keys]
+    valued = df.select(*by, value.alias("_v"))
+    counted = valued.groupBy(*by, "_v").agg(F.count("_v").alias("_n"))
+    measure = _measure(F.col("_v"), counted.schema["_v"].dataType)
+    if measure is None:
+        totals = counted.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    else:
+        low, high = (F.percentile_approx(measure, min(1.0, max(0.0, q)), ACCURACY) for q in (p - 2 / ACCURACY, p + 2 / ACCURACY))
+        totals = valued.groupBy(*by).agg(low.alias("_low"), high.alias("_high"), F.count("_v").alias("_total"))
     if keys:
-        w = Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
-        ranked = counted.withColumn("_total", F.sum("_n").over(w)).withColumn("_upto", F.sum("_n").over(w.orderBy(F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)))
-        hit = (F.col("_n") > 0) & (F.col("_upto") >= rank_of(p, F.col("_total")))
-        return ranked.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(F.when(hit, F.col("_v"))).alias(label))
-    low, high = Window.unboundedPreceding, 0
-    if not numeric:
-        ranked = counted.where("_n > 0").withColumn("_upto", F.sum("_n").over(Window.orderBy("_v").rowsBetween(low, high))).crossJoin(F.broadcast(counted.agg(F.sum("_n").alias("_total"))))
-        return ranked.agg(F.min(F.when(F.col("_upto") >= rank_of(p, F.col("_total")), F.col("_v"))).alias(label))
-    d = F.col("_v").cast("double")
-    bracket = df.select(value.cast("double").alias("_v")).agg(
-        F.percentile_approx("_v", max(0.0, p - 2 / ACCURACY), ACCURACY).alias("_low"), F.percentile_approx("_v", min(1.0, p + 2 / ACCURACY), ACCURACY).alias("_high"), F.count("_v").alias("_total")
-    )
-    near = counted.where("_n > 0").join(F.broadcast(bracket))
-    below = near.where(d < F.col("_low")).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_below"))
-    inside = near.where((d >= F.col("_low")) & (d <= F.col("_high"))).withColumn("_upto", F.sum("_n").over(Window.orderBy("_v").rowsBetween(low, high)))
-    return inside.join(F.broadcast(below)).agg(F.min(F.when(F.col("_upto") + F.col("_below") >= rank_of(p, F.col("_total")), F.col("_v"))).alias(label))
+        totals = totals.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+        near = counted.join(totals, reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]))
+    else:
+        near = counted.crossJoin(F.broadcast(totals))
+    if measure is not None:
+        # a group of nulls alone keeps its row
+        near = near.where((measure <= F.col("_high")) | (F.col("_total") == 0)).withColumn("_v", F.when(measure >= F.col("_low"), F.col("_v")))
+        near = near.groupBy(*by, "_v", "_total").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.col("_v").isNotNull() & (F.sum("_n").over(w) >= rank_of(p, F.col("_total")))
+    return near.withColumn("_hit", hit).groupBy(*by).agg(F.min(F.when(F.col("_hit"), F.col("_v"))).alias(label))

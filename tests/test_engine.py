@@ -311,6 +311,13 @@ def test_exact_order_statistics(spark):
         assert dict(discrete_percentile(df, ["g"], F.col("v"), p, "m").collect()) == want
         everything = sorted(v for _, v in data if v is not None)
         assert discrete_percentile(df, [], F.col("v"), p, "m").first()[0] == everything[max(1, math.ceil(p * len(everything))) - 1]
+    # groups by a null key, of nulls alone, of one frequent value, with nan; and a group too large for its bracket to hold it all
+    odd = [(None, 1.0), (None, 3.0), (None, 2.0), ("empty", None), ("nan", float("nan")), ("nan", 1.0), ("nan", 2.0), *[("same", 7.0)] * 50, ("same", 9.0), *[("large", float(k)) for k in range(30_000)]]
+    df = spark.createDataFrame(odd, "g string, v double").repartition(4)
+    assert dict(discrete_percentile(df, ["g"], F.col("v"), 0.5, "m").collect()) == {None: 2.0, "empty": None, "nan": 2.0, "same": 7.0, "large": 14_999.0}
+    assert dict(discrete_percentile(df, ["g"], F.col("v").cast("string"), 0.5, "m").where("g is null or g = 'same'").collect()) == {None: "2.0", "same": "7.0"}
+    assert discrete_percentile(df.where("g = 'empty'"), [], F.col("v"), 0.5, "m").first()[0] is None
+    assert discrete_percentile(df.limit(0), ["g"], F.col("v"), 0.5, "m").count() == 0
     days = spark.createDataFrame([(dt.date(2026, 1, d),) for d in (3, 1, 2)], "d date")
     assert discrete_percentile(days, [], F.col("d"), 0.5, "m").first()[0] == dt.date(2026, 1, 2)
     money = spark.createDataFrame([(Decimal("1.10"),), (Decimal("2.20"),)], "m decimal(10,2)")
