@@ -340,8 +340,9 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
        with one-deletion neighbourhoods of larger segments, which few sets meet
        by chance, and form smaller families.
     4. Families are compared exactly, in pairs of blocks of about block sets,
-       however large they are; a block sends a spanning forest of its links and
-       a count for each member, never all pairs.
+       however large they are; blocks of a large family hold sets of like size,
+       and meet only those whose sizes allow a link. A pair of blocks sends a
+       spanning forest of its links and a count for each member, never all pairs.
     5. Links join classes into components by alternating stars.
 
     Only ids, digests and signatures are shuffled, and the texts once to pick
@@ -407,10 +408,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     fine = _candidates(large, from_tokens, schemes(1.0, count or 0), percent, sizes)
     families = connected_components(fine).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     families = written(families.unionByName(wide.where(F.col("size") <= block).select("doc_id", "family")), "jaccard-families")
-    blocks = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = kept.join(families.join(blocks, "family"), "doc_id").join(copies, "doc_id")
-    members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # cells of a family that sizes allow to hold links: a member meets those of its own band and of two more on either side
+    step = max(np.log(100 / percent) / 2 * (1 + 1e-9), 1e-3)
+    sets_held = F.length("tokens") / 8
+    total = families.groupBy("family").agg(F.count(F.lit(1)).alias("total"))
+    band = F.when(F.col("total") > 5 * block, F.floor(F.log(sets_held) / float(step))).otherwise(0).cast("long")
+    placed = kept.select("doc_id", "tokens").join(families.join(total, "family"), "doc_id").select("family", band.alias("band"))
+    cells = placed.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    shapes = cells.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("shape")).join(total, "family")
+    members = kept.join(families.join(shapes, "family"), "doc_id").join(copies, "doc_id").withColumn("band", band)
+    members = members.withColumn("block", F.shiftleft("band", 32) + F.pmod(F.xxhash64("doc_id"), F.element_at("shape", F.col("band"))))
+    beside = F.filter(F.sequence(F.col("band") - 2, F.col("band") + 2), lambda x: F.map_contains_key("shape", x))
+    others = F.flatten(F.transform(beside, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), F.element_at("shape", x) - 1), lambda y: F.shiftleft(x, 32) + y)))
+    dealt = members.withColumn("other", F.explode(others))
     dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "copies", "tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -238,6 +238,15 @@ def test_jaccard_join_of_random_sets(spark):
     assert found(df, "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute.components(rows, 4, 80), key=repr)
 
 
+def test_jaccard_join_of_one_family_of_many_sizes(spark):
+    """Texts that grow a word at a time link with all whose sizes allow it; cells of like size lose none of them."""
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(words[: 8 + k])) for k in range(110)] + [(200, " ".join(words[:60])), (201, "nothing like it here at all")]
+    for percent in (80, 85, 100):
+        df = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, percent, block=2)
+        assert found(df, "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute.components(rows, 4, percent), key=repr)
+
+
 def test_connected_components(spark):
     """A star, a chain, a clique and random edges, with self-edges, repeats and nulls."""
     r = random.Random(3)
