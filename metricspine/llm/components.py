@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps (Kiveris and others, "Connected Components
     in MapReduce and Beyond", 2014) turn the edges into stars around the
     smallest nodes, in a number of rounds that grows with the logarithm of the
-    nodes. Each round is written to the shared folder. A node with many edges
+    nodes. Each round is written to the shared folder, and the one before it goes. A node with many edges
     is reduced by partial minima before the shuffle; its join back is one that
     adaptive execution splits.
 
@@ -33,7 +33,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("_m"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b").unionByName(lowest.select("a", F.col("_m").alias("b"))).distinct()
-        current = written(small, "components")
+        last, current = current, written(small, "components")
+        discard(last)
         after = _fingerprint(current)
         if after == before:
             break

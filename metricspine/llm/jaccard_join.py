@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emitter, rows_of, scale_partitions, sources, spark_schema, text_bytes, written
+from .common import discard, emitter, rows_of, scale_partitions, sources, spark_schema, text_bytes, written
 from .components import connected_components
 
 _U = np.uint64
@@ -56,6 +56,27 @@ def shingle_set(text: bytes | None, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(total)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """The parity of the elements at each of as many bits as the set has elements, rounded up to a power of two (64 at least).
+
+    An element that two sets do not share changes one bit, so the sketches of
+    two sets differ in no more bits than the sets in elements.
+    """
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(m: int, a: bytes, n: int, b: bytes, percent: int) -> bool:
+    """Whether sets of m and n elements with the sketches a and b can have a similarity of percent %; false is certain."""
+    if 100 * min(m, n) < percent * max(m, n):
+        return False
+    short, long = sorted((np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)), key=len)
+    while len(long) > len(short):
+        long = long[: len(long) // 2] ^ long[len(long) // 2 :]
+    return (100 + percent) * int(np.bitwise_count(short ^ long).sum()) <= (100 - percent) * (m + n)
+
+
 @dataclass(frozen=True)
 class Scheme:
     """How sets of two neighbouring size bands are cut: exact segments and, after them, segments with one-deletion neighbourhoods."""
@@ -134,9 +155,12 @@ def signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarr
     element apart where neighbourhoods are kept) weigh at least 1 + spare, an
     exact one 1 and one with neighbourhoods 2. Small segments meet many others
     by chance, so a set leaves out exact ones of less than two elements and
-    others of less than three, if those that are small, or match a small one,
-    weigh at most spare: then something else matches too. Failing that, it
-    leaves out only empty ones, on the same condition, or else nothing.
+    others of less than three, as long as those that are small, or match a
+    small one, weigh at most spare. They are taken in one order for all sets:
+    empty exact ones, those with neighbourhoods, then exact ones of one element
+    by its value. Segments that match have one place in it, so all that two
+    sets leave out of their matches was counted by the set that went further,
+    and something else matches too.
     """
     weights = scheme.exact + 2 * scheme.deletion
     with np.errstate(over="ignore"):
@@ -154,23 +178,27 @@ def signatures(tokens: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarr
         held = np.bincount(segment, minlength=scheme.segments)
         exact, pair = held[: scheme.exact], held[scheme.exact :]
         kept = np.ones(scheme.segments, dtype=bool)
-        for least, other in ((2, 3), (1, 1)):
-            if np.count_nonzero(exact < least) + 2 * np.count_nonzero(pair <= other) <= scheme.spare:
-                kept = np.concatenate((exact >= least, pair >= other))
-                break
         label = _mix(np.arange(scheme.segments, dtype=np.uint64) + (_U(scheme.number) << _U(32)) + _U(1))
-        full = _mix(sums + label)[kept]
+        full = _mix(sums + label)
+        one = np.flatnonzero(exact == 1)
+        small = np.concatenate((np.flatnonzero(exact == 0), scheme.exact + np.flatnonzero(pair <= 3), one[np.argsort(full[one])]))
+        small = small[np.cumsum(np.where(small < scheme.exact, 1, 2)) <= scheme.spare]
+        kept[small[held[small] < np.where(small < scheme.exact, 2, 3)]] = False
+        full = full[kept]
         near = (segment >= scheme.exact) & kept[segment]
         fewer = _mix(sums[segment[near]] - values[near] + label[segment[near]])
     return np.concatenate((full, fewer)), np.concatenate((np.zeros(len(full), dtype=bool), np.ones(len(fewer), dtype=bool)))
 
 
-_STARS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("star", pa.bool_())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _SIGNED = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("near", pa.bool_())])
 #: Signatures of a scheme that are grouped together. The sets that meet in a unit are sent on as one edge each, so a few large units send less than many small ones.
 _UNIT = 250_000
-#: Signatures that a task holds at once before it reduces them to one for each group.
+#: Signatures that a task holds at once before it reduces large groups.
 _HELD = 3_000_000
+#: Groups in which more sets than this hold the signature in full are sent as stars, others as pairs that sketches may refuse.
+_FULL = 32
 
 
 def _rooted(edges: np.ndarray) -> np.ndarray:
@@ -192,34 +220,57 @@ def _rooted(edges: np.ndarray) -> np.ndarray:
 
 
 def _reduce(sig: np.ndarray, doc: np.ndarray, near: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """What must stay of the signatures, and edges that connect each group's members.
+    """What must stay of the signatures, and edges that connect the members of each group with more than _FULL full ones.
 
-    A centre holds the signature in full. Neighbourhood signatures that no full
-    one has met yet stay, for one may come.
+    Of such a group one full signature more than _FULL stays, so that it is
+    known again; groups that are small so far stay, for more may come.
     """
     order = np.lexsort((doc, near, sig))
     sig, doc, near = sig[order], doc[order], near[order]
     new = np.concatenate(([True], sig[1:] != sig[:-1])) if len(sig) else np.empty(0, dtype=bool)
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    has_full = ~near[first][group] if len(sig) else np.empty(0, dtype=bool)
+    large = (np.bincount(group[~near], minlength=len(first)) > _FULL)[group] if len(sig) else new
     centre = doc[first][group] if len(sig) else doc
-    edge = has_full & (centre != doc)
-    stay = new | ~has_full
+    edge = large & (centre != doc)
+    stay = ~large | (np.arange(len(sig)) - first[group] <= _FULL) if len(sig) else new
     edges = _rooted(np.stack([centre[edge], doc[edge]], axis=1))
     return (sig[stay], doc[stay], near[stay]), edges
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(sig: np.ndarray, doc: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Distinct pairs that meet in what _reduce lets stay: each full signature of a small group with all others of it."""
+    if not len(sig):
+        return np.empty((0, 2), dtype=np.int64)
+    first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    rows = np.diff(np.append(first, len(sig)))
+    full = np.add.reduceat(~near, first, dtype=np.int64)
+    found = []
+    for k in range(_FULL):
+        chosen = np.flatnonzero((full > k) & (full <= _FULL) & (rows > k + 1))
+        others = rows[chosen] - k - 1
+        at = np.repeat(first[chosen] + k, others)
+        step = np.arange(len(at)) - np.repeat(np.cumsum(others) - others, others)
+        a, b = doc[at], doc[at + 1 + step]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b])
+    pairs = np.concatenate(found)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))] if len(pairs) else pairs
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
     kept = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=bool))
 
+    def batch_of(edges: np.ndarray, star: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), pa.array(np.full(len(edges), star))], schema=_MET)
+
     def reduced():
         nonlocal kept, held, count
         kept, edges = _reduce(*(np.concatenate(x) for x in zip(kept, *held, strict=True)))
         held, count = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], schema=_STARS)
+        return batch_of(edges, True)
 
     for batch in batches:
         held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)))
@@ -228,6 +279,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield reduced()
     if held:
         yield reduced()
+    yield batch_of(_pairs(*kept), False)
 
 
 def _units(schemes: list[Scheme], sizes: dict[int, int], percent: int) -> tuple[list[int], int]:
@@ -243,7 +295,10 @@ def _units(schemes: list[Scheme], sizes: dict[int, int], percent: int) -> tuple[
 
 
 def _candidates(rows: DataFrame, read, schemes: list[Scheme], percent: int, sizes: dict[int, int]) -> DataFrame:
-    """Distinct candidate edges (a, b) among the sets that read yields from the batches of rows.
+    """Distinct candidates (a, b, star) among the sets that read yields from the batches of rows.
+
+    Two sets that must be compared are a pair with star false, or both connected
+    with one centre by edges with star true.
 
     A signature's upper 24 bits name its unit, the lower 40 tell it apart there;
     two that agree by chance make a candidate that verification refuses.
@@ -275,7 +330,20 @@ def _candidates(rows: DataFrame, read, schemes: list[Scheme], percent: int, size
     spark = rows.sparkSession
     parts = max(scale_partitions(spark), expected // _HELD + 1)
     signed = rows.mapInArrow(sign, spark_schema(_SIGNED))
-    return signed.repartition(parts, F.shiftrightunsigned("sig", 40)).mapInArrow(_stars, spark_schema(_STARS)).distinct()
+    return signed.repartition(parts, F.shiftrightunsigned("sig", 40)).mapInArrow(_meet, spark_schema(_MET)).distinct()
+
+
+def _likely(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The edges (a, b) of met (a, b, star) without the pairs whose sketches (rep, n, sketch) rule a link out."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = rows_of(batches, "a", "b", "m", "left", "n", "right")
+        yield from emitter(_PAIRS, ((a, b) for a, b, m, left, n, right in rows if may_link(m, left, n, right, percent)))
+
+    left = sketches.select(F.col("rep").alias("a"), F.col("n").alias("m"), F.col("sketch").alias("left"))
+    right = sketches.select(F.col("rep").alias("b"), "n", F.col("sketch").alias("right"))
+    pairs = met.where("not star").join(left, "a").join(right, "b").select("a", "b", "m", "left", "n", "right")
+    return met.where("star").select("a", "b").unionByName(pairs.mapInArrow(judge, spark_schema(_PAIRS)))
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -299,6 +367,8 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+#: Families of so many blocks are compared as they are: a set that is cut again has some thousand signatures, more than a few copies of its elements.
+_RECUT = 16
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
@@ -335,19 +405,22 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     1. Each set is digested; equal sets form a class with its smallest doc_id.
     2. Sets are cut by universe partition for their size band and the next,
        the distance bound dealt among segments by cost (see allocate), and the
-       signatures are grouped: what meets nobody is finished.
-    3. Sets that meet form families. Those of more than block sets are cut again
-       with one-deletion neighbourhoods of larger segments, which few sets meet
-       by chance, and form smaller families.
+       signatures are grouped: what meets nobody is finished. Pairs that meet
+       by chance are refused by parity sketches, which never refuse a link;
+       only groups of very many sets are taken as they are.
+    3. Sets that meet form families. Those of more than _RECUT * block sets, for
+       which comparing all blocks would send more, are cut again with
+       one-deletion neighbourhoods of larger segments, which few sets meet by
+       chance, and form smaller families.
     4. Families are compared exactly, in pairs of blocks of about block sets,
        however large they are; blocks of a large family hold sets of like size,
        and meet only those whose sizes allow a link. A pair of blocks sends a
        spanning forest of its links and a count for each member, never all pairs.
     5. Links join classes into components by alternating stars.
 
-    Only ids, digests and signatures are shuffled, and the texts once to pick
-    those that go to step 4; nothing goes to the driver but sizes. Steps hand
-    over written tables.
+    Only ids, digests, sketches and signatures are shuffled, and the texts once
+    to pick those that go to step 4; nothing goes to the driver but sizes. Steps
+    hand over written tables, which go as soon as nothing reads them.
 
     Null and empty texts have empty sets and link with nothing; a very long text
     is one set, held by a task whole; similarities of exactly percent % link; rows
@@ -356,7 +429,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     extra columns are ignored; an empty table gives no rows.
     """
     body = sources(docs, doc_id=F.col("doc_id").cast("long"), text=text_bytes())
-    set_schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary())])
+    set_schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
 
     def from_text(batches):
         hashes = WordHashes()
@@ -368,12 +441,14 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
             yield doc_id, np.frombuffer(tokens, dtype=np.uint64)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from emitter(set_schema, ((i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None) for i, s in from_text(batches)))
+        yield from emitter(set_schema, ((i, len(s), *((xxhash.xxh3_128_digest(s.tobytes()), sketch(s)) if len(s) else (None, None))) for i, s in from_text(batches)), weigh=lambda r: len(r[3] or b""))
 
     sets = written(body.mapInArrow(digest, spark_schema(set_schema)), "jaccard-sets")
     named = sets.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
-    owned = written(sets.join(classes, "digest", "left").select("doc_id", "n_shingles", "rep", "copies"), "jaccard-classes")
+    owned = written(sets.join(classes, "digest", "left").select("doc_id", "n_shingles", "rep", "copies", F.when(F.col("rep") == F.col("doc_id"), F.col("sketch")).alias("sketch")), "jaccard-classes")
+    # a class for each set that a rep stands for
+    sketches = owned.where("rep = doc_id").select("rep", F.col("n_shingles").alias("n"), "sketch").distinct()
     largest, count = owned.where("rep = doc_id").agg(F.max("n_shingles"), F.count(F.lit(1))).first()
     sized = bands(largest or 1, percent)
     sized.append((sized[-1][1] + 1, 100 * (sized[-1][1] + 1) // percent))
@@ -388,9 +463,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     coarse = _candidates(body.where("doc_id is not null"), from_text, schemes(1e-6, count or 0), percent, sizes)
     left = reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-    met = written(coarse.join(left, "a").join(right, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "jaccard-met")
-    wide = connected_components(met).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    met = written(coarse.join(left, "a").join(right, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"), "star").distinct(), "jaccard-met")
+    wide = connected_components(_likely(met, sketches, percent)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     wide = written(wide.join(wide.groupBy("family").agg(F.count(F.lit(1)).alias("size")), "family"), "jaccard-wide")
+    discard(met)
 
     token_schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.binary()), ("digest", pa.binary())])
 
@@ -403,11 +479,13 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
         # a doc_id with several rows, alike or not: one row for each class that it stands for
         kept = kept.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).distinct()
     kept = written(kept.drop("digest"), "jaccard-rest")
-    large = kept.join(wide.where(F.col("size") > block), "doc_id", "left_semi")
+    discard(sets)
+    large = kept.join(wide.where(F.col("size") > _RECUT * block), "doc_id", "left_semi")
     sizes = {r[0]: r[1] for r in large.groupBy((F.length("tokens") / 8).cast("int")).count().collect()}
     fine = _candidates(large, from_tokens, schemes(1.0, count or 0), percent, sizes)
-    families = connected_components(fine).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    families = written(families.unionByName(wide.where(F.col("size") <= block).select("doc_id", "family")), "jaccard-families")
+    families = connected_components(_likely(fine, sketches, percent)).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    families = written(families.unionByName(wide.where(F.col("size") <= _RECUT * block).select("doc_id", "family")), "jaccard-families")
+    discard(wide)
     # cells of a family that sizes allow to hold links: a member meets those of its own band and of two more on either side
     step = max(np.log(100 / percent) / 2 * (1 + 1e-9), 1e-3)
     sets_held = F.length("tokens") / 8
@@ -440,6 +518,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, block: in
     parts = scale_partitions(docs.sparkSession)
     links = dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(verify, spark_schema(_LINKS))
     links = written(links, "jaccard-links")
+    discard(kept, families)
     several = reps.groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("_reps")).where(F.size("_reps") > 1).select("a", F.explode("_reps").alias("b"))
     labels = connected_components(links.select("a", "b").unionByName(several)).withColumnRenamed("node", "rep")
     counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("_n"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from metricspine.llm import (
@@ -247,6 +249,70 @@ def test_jaccard_join_of_one_family_of_many_sizes(spark):
         assert found(df, "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute.components(rows, 4, percent), key=repr)
 
 
+def test_jaccard_signatures():
+    """Sets at the threshold have one in common, whatever they leave out; unlike ones have none, however many small segments they have."""
+    r = np.random.default_rng(7)
+    for low, high, deletion in ((60, 76, 0), (60, 76, 3), (300, 376, 0), (300, 376, 20)):
+        h = 2 * high * 20 // 180
+        spare = jaccard_join._spare(h + 1, deletion, low * 80 // 100)
+        scheme = jaccard_join.Scheme(1, low, high, h + 1 + spare - 2 * deletion, deletion, spare)
+        seen = {}
+        for k in range(400):
+            a = np.unique(r.integers(0, 2**64, low + k % (high - low), dtype=np.uint64))
+            swapped = len(a) // 9
+            b = np.unique(np.concatenate((a[swapped:], r.integers(0, 2**64, swapped, dtype=np.uint64))))
+            assert 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+            (left, near), (right, close) = jaccard_join.signatures(a, scheme), jaccard_join.signatures(b, scheme)
+            assert set(left[~near]) & set(right) or set(left) & set(right[~close])
+            assert jaccard_join.may_link(len(a), jaccard_join.sketch(a), len(b), jaccard_join.sketch(b), 80)
+            for x in left.tolist():
+                assert seen.setdefault(x, k) == k
+
+
+def test_jaccard_meetings(monkeypatch):
+    """Signatures reduced a few at a time: each full one and every other of its group are a pair, or connected by stars."""
+    monkeypatch.setattr(jaccard_join, "_HELD", 50)
+    monkeypatch.setattr(jaccard_join, "_FULL", 3)
+    r = np.random.default_rng(3)
+    sig, doc, near = r.integers(0, 60, 600) ** 2 // 60, r.integers(0, 300, 600), r.random(600) < 0.4
+    batches = [pa.record_batch([pa.array(x[k : k + 20]) for x in (sig, doc, near)], names=["sig", "doc_id", "near"]) for k in range(0, 600, 20)]
+    pairs, root = set(), list(range(300))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for out in jaccard_join._meet(iter(batches)):
+        for a, b, star in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            if star:
+                root[top(a)] = top(b)
+            else:
+                pairs.add((a, b))
+    assert pairs and any(top(x) != x for x in range(300))
+    for i in range(600):
+        for j in range(600):
+            if sig[i] == sig[j] and doc[i] < doc[j] and not (near[i] and near[j]):
+                assert (doc[i], doc[j]) in pairs or top(doc[i]) == top(doc[j])
+
+
+def test_jaccard_join_of_texts_that_share_half(spark, monkeypatch):
+    """Texts that meet in a passage but do not link form no family; tables that nothing reads any more are gone."""
+    met = []
+    real = jaccard_join.connected_components
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda edges: met.append(edges.count()) or real(edges))
+    folders = []
+    write = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, label: folders.append(write(df, label)) or folders[-1])
+    words = [f"w{k}" for k in range(6000)]
+    rows = [(k, " ".join(words[100 * k : 100 * k + 200])) for k in range(58)] + [(90, " ".join(words[:199]))]
+    df = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, block=2)
+    assert found(df, "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute.components(rows, 5, 80), key=repr)
+    assert met[0] == 1
+    left = [f._written_at for f in folders if os.path.exists(f._written_at.removeprefix("file:"))]
+    assert {os.path.basename(x).rsplit("-", 1)[0] for x in left} == {"jaccard-classes", "jaccard-links"}
+
+
 def test_connected_components(spark):
     """A star, a chain, a clique and random edges, with self-edges, repeats and nulls."""
     r = random.Random(3)
