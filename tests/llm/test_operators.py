@@ -313,6 +313,63 @@ def test_jaccard_join_of_texts_that_share_half(spark, monkeypatch):
     assert {os.path.basename(x).rsplit("-", 1)[0] for x in left} == {"jaccard-classes", "jaccard-links"}
 
 
+def test_jaccard_groups(monkeypatch):
+    """Groups are sent as members, no more rows than signatures; each full one and every other of its group share a group or a star."""
+    monkeypatch.setattr(jaccard_join, "_HELD", 50)
+    monkeypatch.setattr(jaccard_join, "_FULL", 6)
+    r = np.random.default_rng(4)
+    sig, doc, near = r.integers(0, 90, 900) ** 2 // 90, r.integers(0, 300, 900), r.random(900) < 0.4
+    batches = [pa.record_batch([pa.array(x[k : k + 20]) for x in (sig, doc, near)], names=["sig", "doc_id", "near"]) for k in range(0, 900, 20)]
+    groups, root, sent = {}, list(range(300)), 0
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for out in jaccard_join._gather(iter(batches)):
+        for a, b, close in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            if close is None:
+                root[top(a)] = top(b)
+            else:
+                groups.setdefault(b, {})[a] = close
+                sent += 1
+    assert 0 < sent <= 900 and any(top(x) != x for x in range(300))
+    for i in range(900):
+        for j in range(900):
+            if sig[i] == sig[j] and doc[i] < doc[j] and not (near[i] and near[j]):
+                left, right = groups.get(doc[i], {}), groups.get(doc[j], {})
+                assert top(doc[i]) == top(doc[j]) or any(not (left[g] and right[g]) for g in left.keys() & right.keys())
+    assert [len(b) for b in jaccard_join._gather(iter([]))] == [0]
+
+
+def test_jaccard_judgement():
+    """A forest connects what pairs of groups that may link connect, and a doc_id with several sets links by any of them."""
+    r = np.random.default_rng(8)
+    base = [np.unique(r.integers(0, 2**64, 120, dtype=np.uint64)) for _ in range(3)]
+    sets = [(k, np.unique(np.concatenate((base[k % 3][1 + k % 5 :], r.integers(0, 2**64, k % 4, dtype=np.uint64))))) for k in range(30)]
+    sets.append((4, base[0]))
+    rows = [(g, k, len(s), jaccard_join.sketch(s)) for g in range(3) for k, s in sets if g or k < 12]
+    a, b, n, bits = (list(x) for x in zip(*rows, strict=True))
+    batch = pa.record_batch([pa.array(a), pa.array(b), pa.array([False] * len(a)), pa.array(n), pa.array(bits)], names=["a", "b", "near", "n", "sketch"])
+    edges = jaccard_join._judge(iter([batch]), 80).tolist()
+    assert len(edges) == 28
+    # base 1 holds 4, which has a set of base 0 too
+    assert all((x % 3 == 2) == (y % 3 == 2) for x, y in edges)
+
+
+def test_jaccard_join_sends_no_pairs_of_near_copies(spark, monkeypatch):
+    """Near copies that meet in many groups send forests: the edges grow with the copies, not with their square."""
+    met = []
+    real = jaccard_join.connected_components
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda edges: met.append(edges.count()) or real(edges))
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[:7 * k] + [f"v{k}"] + words[7 * k + 1 :])) for k in range(30)]
+    df = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert found(df, "doc_id", "n_shingles", "component_id", "n_links") == sorted(brute.components(rows, 4, 85), key=repr)
+    assert 29 <= met[0] <= 29 * 6 < 30 * 29 // 2
+
+
 def test_connected_components(spark):
     """A star, a chain, a clique and random edges, with self-edges, repeats and nulls."""
     r = random.Random(3)
